@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 SCENARIO_HEADER = rf"(?U)Scenario{WS}+\d+{WS}*:[^\n]*"
 TRIPLET = rf"(?U)\(([^,]+),{WS}*([^,]+),{WS}*([^)]+)\)"
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 NO_TEXT = "Aucun texte à analyser"
 
 
 def strip(text: Column) -> Column:
-    """Drop Unicode white space from both ends (``trim`` would drop spaces only)."""
-    return F.regexp_replace(text, rf"(?U)\A{WS}+|{WS}+\z", "")
+    """Drop Unicode white space from both ends (``trim`` alone would drop spaces only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -32,7 +33,7 @@ def scenario_headers(text: Column) -> Column:
 def scenario_bodies(text: Column) -> Column:
     """The text after each header, aligned with :func:`scenario_headers`."""
     pieces = F.split(text, SCENARIO_HEADER)
-    return F.slice(pieces, F.lit(2), F.size(pieces))
+    return F.slice(pieces, 2, 2**31 - 1)
 
 
 def triplets(body: Column) -> Column:

@@ -11,7 +11,7 @@ contaminated state stays so. With ``first(k)`` the least (step, position) at whi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCENARIO = ["norm_id", "scenario_id"]
@@ -29,8 +29,8 @@ def first_activations(activations: DataFrame) -> DataFrame:
     )
 
 
-def norm_links(edges: DataFrame, reach: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """One row per (norm, state): preconditions, direct successors, and what a seed here taints.
+def norm_links(edges: DataFrame, reach: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row per (norm, state): preconditions, direct successors, weight, and what a seed here taints.
 
     ``taints`` lists each descendant with those of its preconditions that become contaminated.
     """
@@ -54,10 +54,8 @@ def norm_links(edges: DataFrame, reach: DataFrame, weights: DataFrame | None = N
                      F.col("target").alias("suc"), no_taint.alias("taint"), no_weight.alias("weight")),
         via.select("norm_id", "state_id", empty.alias("pre"), empty.alias("suc"),
                    F.struct("state", "via").alias("taint"), no_weight.alias("weight")),
+        weights.select("norm_id", "state_id", empty.alias("pre"), empty.alias("suc"), no_taint.alias("taint"), "weight"),
     ]
-    if weights is not None:
-        parts.append(weights.select("norm_id", "state_id", empty.alias("pre"), empty.alias("suc"),
-                                    no_taint.alias("taint"), "weight"))
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
@@ -101,7 +99,7 @@ def decide(firsts: DataFrame, links: DataFrame) -> DataFrame:
     )
     in_time = F.transform(F.filter("told", lambda t: t["at"] < F.col("first")), lambda t: t["pre"])
     judged = (
-        gathered.join(links.select("norm_id", "state_id", "pres", "taints"), ["norm_id", "state_id"], "left")
+        gathered.join(links.select("norm_id", "state_id", "pres", "taints", "weight"), ["norm_id", "state_id"], "left")
         .withColumn("late", F.array_except(F.coalesce("pres", no_strings), in_time))
         .withColumn("seed", F.size("late") > 0)
     )
@@ -109,12 +107,13 @@ def decide(firsts: DataFrame, links: DataFrame) -> DataFrame:
     # Each seed tells everything downstream that it is tainted, and through which preconditions.
     self_row = F.struct(
         F.col("state_id").alias("k"), F.col("first").alias("first"), F.col("occurrences").alias("occurrences"),
-        F.col("seed").alias("bad"), F.col("late").alias("missing"))
+        "weight", F.col("seed").alias("bad"), F.col("late").alias("missing"))
     downstream = F.transform(
         F.when(F.col("seed"), F.col("taints")),
         lambda t: F.struct(
             t["state"].alias("k"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"),
-            F.lit(None).cast("long").alias("occurrences"), F.lit(True).alias("bad"), t["via"].alias("missing")))
+            F.lit(None).cast("long").alias("occurrences"), F.lit(None).cast("int").alias("weight"),
+            F.lit(True).alias("bad"), t["via"].alias("missing")))
     no_rows = F.array().cast(_array_of(judged, downstream))
     decided = (
         judged.select(*SCENARIO, F.inline(F.concat(F.array(self_row), F.coalesce(downstream, no_rows))))
@@ -122,6 +121,7 @@ def decide(firsts: DataFrame, links: DataFrame) -> DataFrame:
         .agg(
             F.max("first").alias("first"),
             F.max("occurrences").alias("occurrences"),
+            F.max("weight").alias("weight"),
             F.bool_or("bad").alias("contaminated"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"),
         )
@@ -131,6 +131,7 @@ def decide(firsts: DataFrame, links: DataFrame) -> DataFrame:
         F.col("first.step").alias("first_step"),
         F.col("first.u_pos").alias("first_pos"),
         F.coalesce("occurrences", F.lit(0)).alias("occurrences"),
+        "weight",
         F.col("first").isNotNull().alias("activated"),
         "contaminated", "missing",
     )
@@ -160,63 +161,46 @@ def contaminated(decisions: DataFrame) -> DataFrame:
         *SCENARIO, "state_id", F.col("activated").alias("attempted"))
 
 
-STEPS_PER_CHUNK = 1_000_000
-
-
-def _by_chunk(decisions: DataFrame, facts: DataFrame, steps_per_chunk: int) -> DataFrame:
-    """Per scenario the first steps of its validated and violated states, once per chunk of steps.
-
-    One row per chunk lets the long side be joined on (scenario, chunk): a scenario of any length is
-    spread over its chunks, and a usual one has a single chunk.
-    """
-    chunks = facts.groupBy(*SCENARIO).agg(
-        F.floor(F.max("step") / F.lit(steps_per_chunk)).cast("int").alias("_last"))
-    activated = decisions.where("activated")
-    per_scenario = activated.groupBy(*SCENARIO).agg(
+def _steps_of_states(decisions: DataFrame) -> DataFrame:
+    """Per scenario: first steps of its validated states and of its violations (few per scenario)."""
+    return decisions.where("activated").groupBy(*SCENARIO).agg(
         F.collect_list(F.when(~F.col("contaminated"), F.struct("state_id", "first_step"))).alias("valid"),
         F.collect_list(F.when(F.col("contaminated"), F.col("first_step"))).alias("violated"),
     )
-    return (
-        chunks.join(per_scenario, SCENARIO, "left")
-        .select(*SCENARIO, F.explode(F.sequence(F.lit(0), "_last")).alias("_chunk"),
-                F.coalesce("valid", F.array().cast("array<struct<state_id:string,first_step:int>>")).alias("valid"),
-                F.coalesce("violated", F.array().cast("array<int>")).alias("violated"))
-    )
 
 
-def step_trace(facts: DataFrame, decisions: DataFrame, steps_per_chunk: int = STEPS_PER_CHUNK) -> DataFrame:
-    """Per step: size of the validated set after it, violations so far, and new violations."""
-    sides = _by_chunk(decisions, facts, steps_per_chunk)
-    spine = facts.select(*SCENARIO, "step", F.floor(F.col("step") / F.lit(steps_per_chunk)).cast("int").alias("_chunk"))
+def step_trace(facts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per step: size of the validated set after it, violations so far, and new violations.
+
+    Each step counts the few decisions of its scenario up to itself, so no running sum has to see a
+    scenario as a whole and a long one can be split over tasks (AQE skew join).
+    """
     upto = lambda steps: F.size(F.filter(steps, lambda s: s <= F.col("step")))
-    return (
-        spine.join(sides, [*SCENARIO, "_chunk"], "left")
-        .select(
-            *SCENARIO, "step",
-            upto(F.transform("valid", lambda v: v["first_step"])).alias("n_validated"),
-            upto(F.col("violated")).alias("n_violations"),
-            F.size(F.filter("violated", lambda s: s == F.col("step"))).alias("n_new_violations"),
-        )
+    none = F.array().cast("array<int>")
+    valid = F.coalesce(F.transform("valid", lambda v: v["first_step"]), none)
+    violated = F.coalesce("violated", none)
+    return facts.select(*SCENARIO, "step").join(_steps_of_states(decisions), SCENARIO, "left").select(
+        *SCENARIO, "step",
+        upto(valid).alias("n_validated"),
+        upto(violated).alias("n_violations"),
+        F.size(F.filter(violated, lambda s: s == F.col("step"))).alias("n_new_violations"),
     )
 
 
-def activation_trace(
-    activations: DataFrame, decisions: DataFrame, links: DataFrame, steps_per_chunk: int = STEPS_PER_CHUNK,
-) -> DataFrame:
+def activation_trace(activations: DataFrame, decisions: DataFrame, links: DataFrame) -> DataFrame:
     """Per activation the preconditions not validated by the end of its step (the displayed set).
 
     This uses the validated set after the step, so it can differ from the missing set of a violation.
     """
-    sides = _by_chunk(decisions, activations, steps_per_chunk).drop("violated")
     no_strings = F.array().cast("array<string>")
     reached = F.transform(
         F.filter("valid", lambda v: v["first_step"] <= F.col("step")), lambda v: v["state_id"])
     return (
-        activations.withColumn("_chunk", F.floor(F.col("step") / F.lit(steps_per_chunk)).cast("int"))
-        .join(links.select("norm_id", "state_id", "pres"), ["norm_id", "state_id"], "left")
-        .join(sides, [*SCENARIO, "_chunk"], "left")
+        activations.join(links.select("norm_id", "state_id", "pres"), ["norm_id", "state_id"], "left")
+        .join(_steps_of_states(decisions).drop("violated"), SCENARIO, "left")
         .select(*SCENARIO, "step", "u_pos", "state_id",
-                F.array_sort(F.array_except(F.coalesce("pres", no_strings), reached)).alias("missing_after_step"))
+                F.array_sort(F.array_except(F.coalesce("pres", no_strings), F.coalesce(reached, no_strings)))
+                .alias("missing_after_step"))
     )
 
 

@@ -84,12 +84,12 @@ def edge_audit(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEF
 def reachability(edges: DataFrame, max_sources: int | None = None) -> DataFrame:
     """``(norm_id, src, dst)``: every state that can be reached from ``src`` over one edge or more.
 
-    ``max_sources`` is a known bound on the sources of any norm; without it the bound is measured.
+    ``max_sources`` is a known bound on the sources of any norm; without it the bound is measured, so
+    ``edges`` should be a settled table then.
     Norms of the usual size (tens of states) are closed inside one row each; larger graphs by
     repeated joins over all norms at once.
     """
     if max_sources is None:
-        edges = settle(edges.select(*EDGE), "edges")
         per_norm = edges.groupBy("norm_id").agg(F.count_distinct("source").alias("n"))
         max_sources = per_norm.agg(F.max("n")).first()[0] or 0
     if max_sources <= STATES_IN_ROW:
@@ -148,10 +148,12 @@ def cyclic_core(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """
     reach = reachability(edges) if reach is None else reach
     on_cycle = reach.where("src = dst").select("norm_id", F.col("src").alias("v"))
-    after = on_cycle.join(reach, (reach["norm_id"] == on_cycle["norm_id"]) & (reach["src"] == on_cycle["v"])) \
-        .select(reach["norm_id"], F.col("dst").alias("source")).distinct()
-    before = on_cycle.join(reach, (reach["norm_id"] == on_cycle["norm_id"]) & (reach["dst"] == on_cycle["v"])) \
-        .select(reach["norm_id"], F.col("src").alias("target")).distinct()
+    ends = reach.select(F.col("norm_id").alias("n"), F.col("src").alias("s"), F.col("dst").alias("d"))
+    same_norm = F.col("n") == F.col("norm_id")
+    after = on_cycle.join(ends, same_norm & (F.col("s") == F.col("v"))) \
+        .select("norm_id", F.col("d").alias("source")).distinct()
+    before = on_cycle.join(ends, same_norm & (F.col("d") == F.col("v"))) \
+        .select("norm_id", F.col("s").alias("target")).distinct()
     return (
         edges.select(*EDGE).distinct()
         .join(after, ["norm_id", "source"], "left_semi")

@@ -9,7 +9,7 @@ from normtrace.functions.scores import round_score, verdict
 from normtrace.operators.causal import SCENARIO
 
 
-def score(decisions: DataFrame, weights: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+def score(decisions: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
     """Weighted share of sound occurrences per scenario, in [0, 1].
 
     Every occurrence counts with the weight of its state (1 when the norm does not know it, 0 for a
@@ -18,7 +18,6 @@ def score(decisions: DataFrame, weights: DataFrame, scenarios: DataFrame | None
     """
     weighted = (
         decisions.where("activated")
-        .join(weights.select("norm_id", "state_id", "weight"), ["norm_id", "state_id"], "left")
         .withColumn("w", F.col("occurrences") * F.coalesce("weight", F.lit(1)))
     )
     sums = weighted.groupBy(*SCENARIO).agg(
@@ -43,12 +42,15 @@ def with_verdict(scores: DataFrame) -> DataFrame:
 
 
 def average_score(scenario_results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean score over the scenarios without an error, null when there are none."""
+    """Mean score over the scenarios without an error, null when there are none.
+
+    Summed as decimals, so the mean does not depend on the order in which partitions are added.
+    """
     fine = F.col("error").isNull() if "error" in scenario_results.columns else F.lit(True)
     return scenario_results.groupBy(*(by or ["norm_id"])).agg(
         F.count("*").alias("n_scenarios"),
         F.count_if(fine).alias("n_valid"),
-        round_score(F.avg(F.when(fine, F.col("score")))).alias("average_score"),
+        round_score(F.avg(F.when(fine, F.col("score").cast("decimal(20,12)")))).cast("double").alias("average_score"),
     )
 
 

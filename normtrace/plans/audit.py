@@ -19,7 +19,7 @@ def audit(norms: Norms, activations: DataFrame) -> DataFrame:
     return decide(first_activations(activations), norms.links)
 
 
-def scenario_results(decisions: DataFrame, weights: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+def scenario_results(decisions: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
     """One row per scenario: score, verdict, violations in order of detection, contaminated states.
 
     All of it is one aggregation of the decisions, which hold at most the states of the norm per
@@ -28,16 +28,13 @@ def scenario_results(decisions: DataFrame, weights: DataFrame, scenarios: DataFr
     violated = F.col("activated") & F.col("contaminated")
     w = F.when(F.col("activated"), F.col("occurrences") * F.coalesce("weight", F.lit(1))).otherwise(F.lit(0))
     entry = F.struct("first_step", "first_pos", "state_id", "missing")
-    summed = (
-        decisions.join(weights.select("norm_id", "state_id", "weight"), ["norm_id", "state_id"], "left")
-        .groupBy(*SCENARIO).agg(
-            F.sum(w).alias("_total"),
-            F.sum(F.when(F.col("contaminated"), F.lit(0)).otherwise(w)).alias("_sound"),
-            F.sort_array(F.collect_list(F.when(violated, entry))).alias("_violations"),
-            F.sort_array(F.collect_list(F.when(F.col("contaminated"), F.col("state_id")))).alias("_contaminated"),
-            F.count_if(F.col("activated") & ~F.col("contaminated")).alias("_validated"),
-            F.lit(True).alias("_evaluated"),
-        )
+    summed = decisions.groupBy(*SCENARIO).agg(
+        F.sum(w).alias("_total"),
+        F.sum(F.when(F.col("contaminated"), F.lit(0)).otherwise(w)).alias("_sound"),
+        F.sort_array(F.collect_list(F.when(violated, entry))).alias("_violations"),
+        F.sort_array(F.collect_list(F.when(F.col("contaminated"), F.col("state_id")))).alias("_contaminated"),
+        F.count_if(F.col("activated") & ~F.col("contaminated")).alias("_validated"),
+        F.lit(True).alias("_evaluated"),
     )
     if scenarios is not None:
         summed = scenarios.join(summed, SCENARIO, "left")
@@ -65,7 +62,8 @@ def with_violation_text(results: DataFrame) -> DataFrame:
 def audit_report(results: DataFrame, norms: DataFrame) -> DataFrame:
     """One row per scenario with the header of its norm (:func:`norm_summary`) and the norm's mean score.
 
-    The means are one small row per norm, joined back by key.
+    The means are one small row per norm, joined back by key; ``results`` is used twice, so it should be
+    a settled table.
     """
     means = average_score(results).select("norm_id", "average_score")
     header = norms.join(means, "norm_id", "left")

@@ -27,24 +27,20 @@ class Norms:
 def build_norms(
     states: DataFrame, pre_mapped: DataFrame, entity_rank: DataFrame, default_rank: int = DEFAULT_RANK,
 ) -> Norms:
-    """Norm side from mapped preconditions: distinct edges, forward ones only, then the closure.
+    """Norm side from mapped preconditions: distinct edges, forward ones only, then the closure."""
+    edges = graph.forward_edges(graph.distinct_edges(pre_mapped), entity_rank, default_rank)
+    return norms_from_edges(states, settle(edges, "edges"))
 
-    The small results are written to the shared folder: later joins then know their true size.
-    """
-    edges = settle(graph.forward_edges(graph.distinct_edges(pre_mapped), entity_rank, default_rank), "edges")
-    return norms_from_edges(states, edges, durable=True)
 
+def norms_from_edges(states: DataFrame, edges: DataFrame, max_sources: int | None = None) -> Norms:
+    """Norm side from edges that are taken as they are (a settled or literal table).
 
-def norms_from_edges(
-    states: DataFrame, edges: DataFrame, durable: bool = False, max_sources: int | None = None,
-) -> Norms:
-    """Norm side from edges that are taken as they are."""
+    The links are all that the scenario side joins with, more than once; they are written to the
+    shared folder, so that they are computed once and joined with their true size known.
+    """
     reach = graph.reachability(edges, max_sources)
     weights = graph.out_degree_weights(states, edges)
-    links = norm_links(edges, reach)
-    if durable:
-        reach, weights, links = settle(reach, "reach"), settle(weights, "weights"), settle(links, "links")
-    return Norms(states, edges, weights, reach, links)
+    return Norms(states, edges, weights, reach, settle(norm_links(edges, reach, weights), "links"))
 
 
 def norm_summary(states: DataFrame, edges: DataFrame, intents: DataFrame | None = None) -> DataFrame:

@@ -118,6 +118,16 @@ weights AS (
   FROM vertices v LEFT JOIN edges e ON e.source = v.state_id GROUP BY ALL),
 {CLOSURE.format(edges='edges')}, {WALK}"""
 
+
+
+def _mean(where: str = "true") -> str:
+    """Mean of 4-decimal scores, rounded to 4 decimals with ties to even, in whole numbers."""
+    total = f"CAST(sum(CAST(round(score * 10000) AS BIGINT)) FILTER ({where}) AS BIGINT)"
+    n = f"nullif(count(*) FILTER ({where}), 0)"
+    up = f"(2 * ({total} % {n}) > {n} OR (2 * ({total} % {n}) = {n} AND ({total} // {n}) % 2 = 1))"
+    return f"({total} // {n} + CASE WHEN {up} THEN 1 ELSE 0 END) / 10000.0::DOUBLE"
+
+
 DAILY = f"""{DECLARED},
 facts AS (
   SELECT user_id AS norm_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS scenario_id, event_type, k,
@@ -180,12 +190,12 @@ ORACLES["corpus_scores"] = f"""WITH RECURSIVE {DAILY}
 SELECT norm_id, scenario_id, score, verdict, n_validated, CAST(n_violations AS INTEGER) AS n_violations,
        CAST(n_contaminated AS INTEGER) AS n_contaminated FROM results"""
 ORACLES["average_score"] = f"""WITH RECURSIVE {DAILY}
-SELECT norm_id, count(*) AS n_scenarios, count(*) AS n_valid, round_even(sum(score)::DOUBLE / count(*), 4) AS average_score
+SELECT norm_id, count(*) AS n_scenarios, count(*) AS n_valid, {_mean()} AS average_score
 FROM results GROUP BY norm_id"""
-NORM_SIZES = """sizes AS (
+NORM_SIZES = f"""sizes AS (
   SELECT d.norm_id, count(DISTINCT d.target) AS nb_states, (SELECT count(*) FROM edges e WHERE e.norm_id = d.norm_id) AS nb_edges
   FROM declared d GROUP BY d.norm_id),
-means AS (SELECT norm_id, round_even(sum(score)::DOUBLE / count(*), 4) AS average_score FROM results GROUP BY norm_id)"""
+means AS (SELECT norm_id, {_mean()} AS average_score FROM results GROUP BY norm_id)"""
 ORACLES["audit_report"] = f"""WITH RECURSIVE {DAILY}, {LINES}, {NORM_SIZES},
 tainted AS (SELECT norm_id, scenario_id, string_agg(state_id, '|' ORDER BY state_id) AS contaminated_states FROM cont GROUP BY ALL)
 SELECT r.norm_id, r.scenario_id, z.nb_states, z.nb_edges, m.average_score, r.score,
@@ -200,7 +210,7 @@ FROM results JOIN sizes USING (norm_id) JOIN means USING (norm_id)"""
 ORACLES["error_isolation"] = f"""WITH RECURSIVE {DAILY},
 failed AS (SELECT DISTINCT norm_id, scenario_id FROM facts WHERE event_type = 'error')
 SELECT r.norm_id, count(*) AS n_scenarios, count(*) FILTER (f.norm_id IS NULL) AS n_valid,
-       round_even(sum(r.score) FILTER (f.norm_id IS NULL)::DOUBLE / count(*) FILTER (f.norm_id IS NULL), 4) AS average_score
+       {_mean('f.norm_id IS NULL')} AS average_score
 FROM results r LEFT JOIN failed f ON f.norm_id = r.norm_id AND f.scenario_id = r.scenario_id GROUP BY r.norm_id"""
 # Order:O before Order:P before Order:F; weights 1, 1 and 0.
 ORACLES["unevaluated_scenarios"] = """WITH o AS (
@@ -415,7 +425,7 @@ ORACLES["wide_model_summary"] = f"""WITH gen AS (
 
 # --- sources and sinks ----------------------------------------------------------------------------
 
-ORACLES["text_corpus_scan"] = f"SELECT doc_id, {PY_STRIP.format('text')} AS text FROM documents"
+ORACLES["text_corpus_scan"] = f"SELECT 'source=' || source AS folder, {PY_STRIP.format('text')} AS text FROM documents"
 ORACLES["csv_round_trip"] = """SELECT doc_id, text, 'say "' || lang || '",' || chr(10) || ' ' || source AS note, n_chars FROM documents"""
 ORACLES["process_graph_nodes"] = """SELECT o_orderkey AS file_index, CAST(i AS INTEGER) AS node_pos, o_orderkey || '-' || i AS resource_id,
        CASE i WHEN 1 THEN o_orderpriority WHEN 2 THEN 'Check "status"' ELSE '' END AS node_text,

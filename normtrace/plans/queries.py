@@ -19,7 +19,7 @@ from normtrace.operators import causal, graph, models, preconditions, scenarios,
 from normtrace.plans import audit as au
 from normtrace.plans import fixtures as fx
 from normtrace.plans.normative import norm_summary
-from normtrace.session import fresh_path, settle
+from normtrace.session import fresh_path, settle, spread
 from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
 from normtrace.streaming import incremental as inc
@@ -83,7 +83,7 @@ def top_weights(spark, sf):
 @query
 def norm_reach(spark, sf):
     kept = graph.forward_edges(graph.distinct_edges(fx.declared_edges(spark, sf)), fx.event_ranks(spark))
-    return graph.reachability(kept)
+    return graph.reachability(settle(kept, "edges"))
 
 
 @query
@@ -136,17 +136,17 @@ def activation_trace(spark, sf):
 
 @query
 def conformance_score(spark, sf):
-    return scoring.score(_user_decisions(spark, sf), fx.event_norms(spark).weights).drop("norm_id")
+    return scoring.score(_user_decisions(spark, sf)).drop("norm_id")
 
 
 @query
 def verdicts(spark, sf):
-    scores = scoring.score(_user_decisions(spark, sf), fx.event_norms(spark).weights)
+    scores = scoring.score(_user_decisions(spark, sf))
     return scoring.with_verdict(scores).select("scenario_id", "score", "verdict")
 
 
 def _daily_results(spark, sf, norms):
-    return au.scenario_results(au.audit(norms, fx.daily_activations(spark, sf)), norms.weights)
+    return au.scenario_results(au.audit(norms, fx.daily_activations(spark, sf)))
 
 
 @query
@@ -174,7 +174,7 @@ def average_score(spark, sf):
 @query
 def audit_report(spark, sf):
     norms = fx.declared_norms(spark, sf)
-    results = au.with_violation_text(_daily_results(spark, sf, norms))
+    results = au.with_violation_text(settle(_daily_results(spark, sf, norms), "results"))
     report = au.audit_report(results, norm_summary(norms.states, norms.edges))
     return report.select("norm_id", "scenario_id", "nb_states", "nb_edges", "average_score", "score",
                          "violations_text", _joined("contaminated_states"))
@@ -208,7 +208,7 @@ def unevaluated_scenarios(spark, sf):
         .withColumn("u_pos", F.lit(0))
     everyone = fx.table(spark, sf, "customer").select(
         F.lit(0).cast("long").alias("norm_id"), F.col("c_custkey").alias("scenario_id"))
-    return scoring.score(au.audit(norms, acts), norms.weights, everyone).drop("norm_id")
+    return scoring.score(au.audit(norms, acts), everyone).drop("norm_id")
 
 
 @query
@@ -336,7 +336,8 @@ def _order_texts(spark, sf):
         "Scenario 2 : total\n1. (Order %s, costs, %s, rounded)\nScenario 3: nothing follows\n",
         "o_orderpriority", "o_custkey", "o_orderkey", "o_orderkey", "o_orderstatus", "o_orderkey",
         F.floor("o_totalprice").cast("string"))
-    return fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("norm_id"), text.alias("text"))
+    orders = spread(fx.table(spark, sf, "orders"))
+    return orders.select(F.col("o_orderkey").alias("norm_id"), text.alias("text"))
 
 
 @query
@@ -357,7 +358,7 @@ def duplicate_labels(spark, sf):
     text = F.format_string(
         "Scenario 1: %s\n(order, first, %s)\nScenario 1: P\n(order, second, %s)\nScenario 1: O\n(order, third, %s)",
         "o_orderstatus", "o_orderkey", "o_orderkey", "o_orderkey")
-    texts = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("norm_id"), text.alias("text"))
+    texts = spread(fx.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("norm_id"), text.alias("text"))
     return scenarios.explode_facts(scenarios.parse_scenarios(texts))
 
 
@@ -365,7 +366,7 @@ def duplicate_labels(spark, sf):
 def parse_fallback(spark, sf):
     """Prose turned into bracketed groups without any header: whole documents, odd characters and all."""
     bracketed = F.concat(F.lit("("), F.replace(F.replace("text", F.lit(" "), F.lit(", ")), F.lit("."), F.lit(")(")), F.lit(")"))
-    texts = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("norm_id"), bracketed.alias("text"))
+    texts = spread(fx.table(spark, sf, "documents")).select(F.col("doc_id").alias("norm_id"), bracketed.alias("text"))
     return scenarios.explode_facts(scenarios.parse_scenarios(texts))
 
 
@@ -415,7 +416,7 @@ def intent_defaults(spark, sf):
 
 
 def _universe_answers(spark, sf):
-    ev = fx.events(spark, sf)
+    ev = spread(fx.events(spark, sf))
     state = F.concat_ws(":", "event_type", (F.col("k") % 4).cast("string"))
     good = F.concat(F.lit('"z:last": "first in order", "'), state, F.lit('": "reached at '), F.col("k").cast("string"), F.lit('"'))
     raw = _pick(
@@ -470,8 +471,7 @@ def answer_content(spark, sf):
 
 @query
 def violation_lines(spark, sf):
-    norms = fx.event_norms(spark)
-    results = au.scenario_results(_user_decisions(spark, sf), norms.weights)
+    results = au.scenario_results(_user_decisions(spark, sf))
     return au.with_violation_text(results).select("scenario_id", "violations_text")
 
 
@@ -494,7 +494,7 @@ def _echo_model():
 
 @query
 def generate_metrics(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    docs = spread(fx.table(spark, sf, "documents")).select("doc_id", F.col("text").alias("prompt"))
     done = models.generate_flat(docs, "prompt", lambda: _echo_model())
     return done.select("doc_id", "text", (F.col("latency_s") >= 0).alias("timed"), "prompt_tokens",
                        "completion_tokens", "total_tokens", "finish_reason", "status")
@@ -503,7 +503,7 @@ def generate_metrics(spark, sf):
 @query
 def triplet_extraction(spark, sf):
     """Two models' texts per document, one of them missing for some; the extractor fails on some."""
-    wide = fx.table(spark, sf, "documents").select(
+    wide = spread(fx.table(spark, sf, "documents")).select(
         "doc_id", F.col("text").alias("texte_reformule_a"),
         F.when(F.col("lang") == "en", F.lit(" \n")).when(F.col("lang") != "fr", F.col("text")).alias("texte_reformule_b"))
     wide = co.add_null_columns(wide, {"texte_reformule_a_extr_llama_3_3_70b": "string",
@@ -514,15 +514,14 @@ def triplet_extraction(spark, sf):
 
 @query
 def embed_text(spark, sf):
-    vectors = similarity.hash_embed(fx.table(spark, sf, "documents"), ["doc_id"], "text", dims=32)
+    vectors = similarity.hash_embed(spread(fx.table(spark, sf, "documents")), ["doc_id"], "text", dims=32)
     return vectors.select("doc_id", F.posexplode("vector").alias("bucket", "n")).select(
         "doc_id", "bucket", F.col("n").cast("int").alias("n"))
 
 
 @query
 def explanations(spark, sf):
-    norms = fx.event_norms(spark)
-    results = au.with_violation_text(au.scenario_results(_user_decisions(spark, sf), norms.weights))
+    results = au.with_violation_text(au.scenario_results(_user_decisions(spark, sf)))
     filled = results.withColumn("prompt", tx.fill_template(
         "Norm {intent_T} / facts {intent_F}: {final_score}\n{violations_text}\n",
         {"intent_T": F.lit("{intent_F}"), "intent_F": F.lit("events"),
@@ -618,13 +617,11 @@ def wide_model_summary(spark, sf):
 
 @query
 def text_corpus_scan(spark, sf):
-    """Documents as one text file each, in a folder per document, read back as a corpus."""
+    """Documents as one text file each, in nested folders, read back as a corpus."""
     path = fresh_path(spark, "corpus")
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("\n "), "text", F.lit(" \n")).alias("value"))
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
-    read = cp.read_corpus(spark, path)
-    return read.select(F.split_part(F.split_part("source", F.lit("/"), F.lit(1)), F.lit("="), F.lit(2)).cast("long").alias("doc_id"),
-                       "text")
+    docs = spread(fx.table(spark, sf, "documents")).select("lang", "source", F.concat(F.lit("\n "), "text", F.lit(" \n")).alias("value"))
+    docs.write.partitionBy("lang", "source").option("maxRecordsPerFile", 1).text(path)
+    return cp.read_corpus(spark, path).select(F.split_part("source", F.lit("/"), F.lit(1)).alias("folder"), "text")
 
 
 @query

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -42,6 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work one partition per core when the input comes in fewer.
+
+    Inputs of any size have more splits than that and are left alone; a small file is not.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    Filters on a plain column may be pushed below its projection, which computes it a second time;
+    they cannot pass a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for ``name`` in the shared folder."""
     return f"{shared_folder(spark)}/normtrace/{name}-{uuid.uuid4().hex}"
