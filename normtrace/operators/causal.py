@@ -11,139 +11,152 @@ contaminated state stays so. With ``first(k)`` the least (step, position) at whi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCENARIO = ["norm_id", "scenario_id"]
+NO_STRINGS = "array<string>"
+
+
+def place(step: Column, u_pos: Column) -> Column:
+    """(step, u_pos) as one long in the same order, so that its minimum is a plain hash aggregate."""
+    return F.shiftleft(step.cast("long"), 32).bitwiseOR(u_pos.cast("long"))
+
+
+def step_of(at: Column) -> Column:
+    return F.shiftright(at, 32).cast("int")
+
+
+def pos_of(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
 def first_activations(activations: DataFrame) -> DataFrame:
-    """Per scenario and state: first (step, u_pos) and number of occurrences.
+    """Per scenario and state: place of the first activation and number of occurrences.
 
     Aggregates on the map side, so a scenario of any length shrinks to its distinct states before
     the shuffle.
     """
     return activations.groupBy(*SCENARIO, "state_id").agg(
-        F.min(F.struct("step", "u_pos")).alias("first"),
+        F.min(place(F.col("step"), F.col("u_pos"))).alias("first"),
         F.count("*").alias("occurrences"),
     )
 
 
 def norm_links(edges: DataFrame, reach: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row per (norm, state): preconditions, direct successors, weight, and what a seed here taints.
-
-    ``taints`` lists each descendant with those of its preconditions that become contaminated.
-    """
-    tainted = reach.select("norm_id", F.col("src").alias("state_id"), "dst").unionByName(
-        # a seed contaminates itself, so it is also a tainted precondition of its successors
-        edges.select("norm_id", F.col("source").alias("state_id"), F.col("source").alias("dst")).distinct()
+    """One row per (norm, state): weight, preconditions, direct successors, all states downstream."""
+    nothing = F.lit(None).cast("string")
+
+    def part(rows: DataFrame, state: str, other: str | None, role: str) -> DataFrame:
+        given = {role: F.col(other)} if other else {}
+        return rows.select(
+            "norm_id", F.col(state).alias("state_id"),
+            *[given.get(name, nothing).alias(name) for name in ("pre", "suc", "down")],
+            (F.col("weight") if other is None else F.lit(None).cast("int")).alias("weight"))
+
+    together = (
+        part(edges, "target", "source", "pre").unionByName(part(edges, "source", "target", "suc"))
+        .unionByName(part(reach, "src", "dst", "down")).unionByName(part(weights, "state_id", None, ""))
     )
-    via = (
-        tainted.alias("t")
-        .join(edges.alias("e"), (F.col("t.norm_id") == F.col("e.norm_id")) & (F.col("t.dst") == F.col("e.source")))
-        .groupBy("t.norm_id", "t.state_id", F.col("e.target").alias("state"))
-        .agg(F.collect_set("e.source").alias("via"))
-    )
-    empty = F.lit(None).cast("string")
-    no_taint = F.lit(None).cast("struct<state:string,via:array<string>>")
-    no_weight = F.lit(None).cast("int")
-    parts = [
-        edges.select("norm_id", F.col("target").alias("state_id"), F.col("source").alias("pre"),
-                     empty.alias("suc"), no_taint.alias("taint"), no_weight.alias("weight")),
-        edges.select("norm_id", F.col("source").alias("state_id"), empty.alias("pre"),
-                     F.col("target").alias("suc"), no_taint.alias("taint"), no_weight.alias("weight")),
-        via.select("norm_id", "state_id", empty.alias("pre"), empty.alias("suc"),
-                   F.struct("state", "via").alias("taint"), no_weight.alias("weight")),
-        weights.select("norm_id", "state_id", empty.alias("pre"), empty.alias("suc"), no_taint.alias("taint"), "weight"),
-    ]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
     return together.groupBy("norm_id", "state_id").agg(
         F.collect_set("pre").alias("pres"),
         F.collect_set("suc").alias("sucs"),
-        F.collect_set("taint").alias("taints"),
+        F.collect_set("down").alias("downs"),
         F.max("weight").alias("weight"),
     )
 
 
+def _tell(state: Column, others: Column) -> Column:
+    """Generator of (pos, k): the state itself at position 0, then every state it has to tell."""
+    return F.posexplode(F.concat(F.array(state), F.coalesce(others, F.array().cast(NO_STRINGS)))).alias("pos", "k")
+
+
+def _own(value: Column | str) -> Column:
+    """The value on the state's own row, within a group of rows told to it."""
+    return F.max(F.when(F.col("pos") == 0, F.col(value) if isinstance(value, str) else value))
+
+
 def decide(firsts: DataFrame, links: DataFrame) -> DataFrame:
     """Every active or contaminated state of every scenario, decided.
 
-    ``norm_id, scenario_id, state_id, first_step, first_pos, occurrences, weight, activated,
-    contaminated, missing``. After the first activations there is one more shuffle, on the scenario;
-    both following aggregations keep that partitioning. The norm side carries no hint: Catalyst
+    ``norm_id, scenario_id, state_id, first, first_step, first_pos, occurrences, weight, activated,
+    contaminated``. After the first activations there is one more shuffle, on the scenario; both
+    aggregations that follow keep that partitioning. The norm side carries no hint: Catalyst
     broadcasts it when its size allows, else it is a join on (norm, state) that AQE splits on skew.
     """
-    no_strings = F.array().cast("array<string>")
     here = firsts.repartition(*[F.col(c) for c in SCENARIO])
 
-    # Each first activation is told to its own state and to the states that need it.
-    own = F.struct(
-        F.col("state_id").alias("k"), F.col("first").alias("first"), F.col("occurrences").alias("occurrences"),
-        F.lit(None).cast("string").alias("pre"), F.lit(None).cast(firsts.schema["first"].dataType).alias("at"))
-    told = F.transform(F.coalesce("sucs", no_strings), lambda s: F.struct(
-        s.alias("k"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"),
-        F.lit(None).cast("long").alias("occurrences"),
-        F.col("state_id").alias("pre"), F.col("first").alias("at")))
+    # Each first activation is told to the states that need it: how many preconditions came, and
+    # when the last one did, is all there is to know.
     gathered = (
         here.join(links.select("norm_id", "state_id", "sucs"), ["norm_id", "state_id"], "left")
-        .select(*SCENARIO, F.inline(F.concat(F.array(own), told)))
+        .select(*SCENARIO, "first", "occurrences", _tell(F.col("state_id"), F.col("sucs")))
         .groupBy(*SCENARIO, F.col("k").alias("state_id"))
         .agg(
-            F.max("first").alias("first"),
-            F.max("occurrences").alias("occurrences"),
-            F.collect_list(F.when(F.col("pre").isNotNull(), F.struct("pre", "at"))).alias("told"),
+            _own("first").alias("first"),
+            _own("occurrences").alias("occurrences"),
+            F.count_if(F.col("pos") > 0).alias("n_told"),
+            F.max(F.when(F.col("pos") > 0, F.col("first"))).alias("last_told"),
         )
         .where("first IS NOT NULL")
     )
-    in_time = F.transform(F.filter("told", lambda t: t["at"] < F.col("first")), lambda t: t["pre"])
-    judged = (
-        gathered.join(links.select("norm_id", "state_id", "pres", "taints", "weight"), ["norm_id", "state_id"], "left")
-        .withColumn("late", F.array_except(F.coalesce("pres", no_strings), in_time))
-        .withColumn("seed", F.size("late") > 0)
-    )
+    too_late = F.coalesce(F.col("last_told") >= F.col("first"), F.lit(False))
+    judged = gathered.join(
+        links.select("norm_id", "state_id", F.size("pres").alias("n_pres"), "downs", "weight"),
+        ["norm_id", "state_id"], "left",
+    ).withColumn("seed", (F.col("n_told") < F.coalesce("n_pres", F.lit(0))) | too_late)
 
-    # Each seed tells everything downstream that it is tainted, and through which preconditions.
-    self_row = F.struct(
-        F.col("state_id").alias("k"), F.col("first").alias("first"), F.col("occurrences").alias("occurrences"),
-        "weight", F.col("seed").alias("bad"), F.col("late").alias("missing"))
-    downstream = F.transform(
-        F.when(F.col("seed"), F.col("taints")),
-        lambda t: F.struct(
-            t["state"].alias("k"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"),
-            F.lit(None).cast("long").alias("occurrences"), F.lit(None).cast("int").alias("weight"),
-            F.lit(True).alias("bad"), t["via"].alias("missing")))
-    no_rows = F.array().cast(_array_of(judged, downstream))
+    # Each seed tells everything downstream.
     decided = (
-        judged.select(*SCENARIO, F.inline(F.concat(F.array(self_row), F.coalesce(downstream, no_rows))))
+        judged.select(*SCENARIO, "first", "occurrences", "weight", "seed",
+                      _tell(F.col("state_id"), F.when(F.col("seed"), F.col("downs"))))
         .groupBy(*SCENARIO, F.col("k").alias("state_id"))
         .agg(
-            F.max("first").alias("first"),
-            F.max("occurrences").alias("occurrences"),
-            F.max("weight").alias("weight"),
-            F.bool_or("bad").alias("contaminated"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"),
+            _own("first").alias("first"),
+            _own("occurrences").alias("occurrences"),
+            _own("weight").alias("weight"),
+            F.max("seed").alias("contaminated"),
         )
     )
     return decided.select(
-        *SCENARIO, "state_id",
-        F.col("first.step").alias("first_step"),
-        F.col("first.u_pos").alias("first_pos"),
+        *SCENARIO, "state_id", "first",
+        step_of(F.col("first")).alias("first_step"),
+        pos_of(F.col("first")).alias("first_pos"),
         F.coalesce("occurrences", F.lit(0)).alias("occurrences"),
         "weight",
         F.col("first").isNotNull().alias("activated"),
-        "contaminated", "missing",
+        "contaminated",
     )
 
 
-def _array_of(df: DataFrame, column) -> str:
-    return df.select(column.alias("x")).schema["x"].dataType.simpleString()
+def with_missing(decisions: DataFrame, links: DataFrame) -> DataFrame:
+    """Add ``missing`` to the violations: their preconditions without those validated before them.
+
+    Only validated states tell their successors; straight after :func:`decide` this needs no shuffle.
+    """
+    kept = ["first", "first_step", "first_pos", "occurrences", "weight", "activated", "contaminated"]
+    sound = F.col("activated") & ~F.col("contaminated")
+    told = (
+        decisions.join(links.select("norm_id", "state_id", "sucs"), ["norm_id", "state_id"], "left")
+        .select(*SCENARIO, *kept, F.col("state_id").alias("pre"),
+                _tell(F.col("state_id"), F.when(sound, F.col("sucs"))))
+        .groupBy(*SCENARIO, F.col("k").alias("state_id"))
+        .agg(*[_own(c).alias(c) for c in kept],
+             F.collect_list(F.when(F.col("pos") > 0, F.struct("pre", "first"))).alias("told"))
+        .where("contaminated IS NOT NULL")
+    )
+    in_time = F.transform(F.filter("told", lambda t: t["first"] < F.col("first")), lambda t: t["pre"])
+    missing = F.array_sort(F.array_except(F.coalesce("pres", F.array().cast(NO_STRINGS)), in_time))
+    return (
+        told.join(links.select("norm_id", "state_id", "pres"), ["norm_id", "state_id"], "left")
+        .select(*SCENARIO, "state_id", *kept,
+                F.when(F.col("activated") & F.col("contaminated"), missing).alias("missing"))
+    )
 
 
-def violations(decisions: DataFrame) -> DataFrame:
+def violations(decisions: DataFrame, links: DataFrame) -> DataFrame:
     """One row per contaminated state that was attempted, at its first attempt."""
-    return decisions.where("activated AND contaminated").select(
+    return with_missing(decisions, links).where("activated AND contaminated").select(
         *SCENARIO,
         F.col("first_step").alias("transition_index"),
         F.col("state_id").alias("attempted_state"),
@@ -192,7 +205,7 @@ def activation_trace(activations: DataFrame, decisions: DataFrame, links: DataFr
 
     This uses the validated set after the step, so it can differ from the missing set of a violation.
     """
-    no_strings = F.array().cast("array<string>")
+    no_strings = F.array().cast(NO_STRINGS)
     reached = F.transform(
         F.filter("valid", lambda v: v["first_step"] <= F.col("step")), lambda v: v["state_id"])
     return (

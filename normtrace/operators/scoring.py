@@ -37,6 +37,19 @@ def score(decisions: DataFrame, scenarios: DataFrame | None = None) -> DataFrame
     )
 
 
+def scenario_counts(decisions: DataFrame) -> DataFrame:
+    """Score, verdict and counts per scenario, for summaries that need no lists."""
+    w = F.when(F.col("activated"), F.col("occurrences") * F.coalesce("weight", F.lit(1))).otherwise(F.lit(0))
+    sound = F.sum(F.when(F.col("contaminated"), F.lit(0)).otherwise(w))
+    score = F.when(F.sum(w) == 0, F.lit(1.0)).otherwise(round_score(sound / F.sum(w)))
+    return with_verdict(decisions.groupBy(*SCENARIO).agg(
+        score.alias("score"),
+        F.count_if(F.col("activated") & ~F.col("contaminated")).alias("n_validated"),
+        F.count_if(F.col("activated") & F.col("contaminated")).alias("n_violations"),
+        F.count_if("contaminated").alias("n_contaminated"),
+    ))
+
+
 def with_verdict(scores: DataFrame) -> DataFrame:
     return scores.withColumn("verdict", verdict(F.col("score")))
 

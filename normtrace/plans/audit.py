@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normtrace.functions.scores import round_score, verdict, violation_text
-from normtrace.operators.causal import SCENARIO, decide, first_activations
+from normtrace.operators.causal import SCENARIO, decide, first_activations, with_missing
 from normtrace.operators.scoring import average_score
 from normtrace.plans.normative import Norms
 from normtrace.sources.traces import number_steps
@@ -19,7 +19,7 @@ def audit(norms: Norms, activations: DataFrame) -> DataFrame:
     return decide(first_activations(activations), norms.links)
 
 
-def scenario_results(decisions: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+def scenario_results(decisions: DataFrame, links: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
     """One row per scenario: score, verdict, violations in order of detection, contaminated states.
 
     All of it is one aggregation of the decisions, which hold at most the states of the norm per
@@ -28,7 +28,7 @@ def scenario_results(decisions: DataFrame, scenarios: DataFrame | None = None) -
     violated = F.col("activated") & F.col("contaminated")
     w = F.when(F.col("activated"), F.col("occurrences") * F.coalesce("weight", F.lit(1))).otherwise(F.lit(0))
     entry = F.struct("first_step", "first_pos", "state_id", "missing")
-    summed = decisions.groupBy(*SCENARIO).agg(
+    summed = with_missing(decisions, links).groupBy(*SCENARIO).agg(
         F.sum(w).alias("_total"),
         F.sum(F.when(F.col("contaminated"), F.lit(0)).otherwise(w)).alias("_sound"),
         F.sort_array(F.collect_list(F.when(violated, entry))).alias("_violations"),

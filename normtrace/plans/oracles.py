@@ -187,8 +187,7 @@ ORACLES["corpus_violations"] = f"""WITH RECURSIVE {DAILY}
 SELECT norm_id, scenario_id, CAST(step AS INTEGER) AS transition_index, state_id AS attempted_state,
        array_to_string(list_sort(missing), '|') AS missing_preconditions FROM viol"""
 ORACLES["corpus_scores"] = f"""WITH RECURSIVE {DAILY}
-SELECT norm_id, scenario_id, score, verdict, n_validated, CAST(n_violations AS INTEGER) AS n_violations,
-       CAST(n_contaminated AS INTEGER) AS n_contaminated FROM results"""
+SELECT norm_id, scenario_id, score, verdict, n_validated, n_violations, n_contaminated FROM results"""
 ORACLES["average_score"] = f"""WITH RECURSIVE {DAILY}
 SELECT norm_id, count(*) AS n_scenarios, count(*) AS n_valid, {_mean()} AS average_score
 FROM results GROUP BY norm_id"""

@@ -105,9 +105,15 @@ def _user_decisions(spark, sf):
     return au.audit(fx.event_norms(spark), fx.user_activations(spark, sf))
 
 
+def _user_results(spark, sf):
+    norms = fx.event_norms(spark)
+    return au.scenario_results(au.audit(norms, fx.user_activations(spark, sf)), norms.links)
+
+
 @query
 def causal_violations(spark, sf):
-    found = causal.violations(_user_decisions(spark, sf))
+    norms = fx.event_norms(spark)
+    found = causal.violations(au.audit(norms, fx.user_activations(spark, sf)), norms.links)
     return found.select("scenario_id", "transition_index", "attempted_state", _joined("missing_preconditions"))
 
 
@@ -146,29 +152,27 @@ def verdicts(spark, sf):
 
 
 def _daily_results(spark, sf, norms):
-    return au.scenario_results(au.audit(norms, fx.daily_activations(spark, sf)))
+    return au.scenario_results(au.audit(norms, fx.daily_activations(spark, sf)), norms.links)
 
 
 @query
 def corpus_violations(spark, sf):
     norms = fx.declared_norms(spark, sf)
-    found = causal.violations(au.audit(norms, fx.daily_activations(spark, sf)))
+    found = causal.violations(au.audit(norms, fx.daily_activations(spark, sf)), norms.links)
     return found.select("norm_id", "scenario_id", "transition_index", "attempted_state",
                         _joined("missing_preconditions"))
 
 
 @query
 def corpus_scores(spark, sf):
-    norms = fx.declared_norms(spark, sf)
-    results = _daily_results(spark, sf, norms)
-    return results.select("norm_id", "scenario_id", "score", "verdict", "n_validated",
-                          F.size("violations").alias("n_violations"),
-                          F.size("contaminated_states").alias("n_contaminated"))
+    decisions = au.audit(fx.declared_norms(spark, sf), fx.daily_activations(spark, sf))
+    return scoring.scenario_counts(decisions)
 
 
 @query
 def average_score(spark, sf):
-    return scoring.average_score(_daily_results(spark, sf, fx.declared_norms(spark, sf)))
+    decisions = au.audit(fx.declared_norms(spark, sf), fx.daily_activations(spark, sf))
+    return scoring.average_score(scoring.score(decisions))
 
 
 @query
@@ -218,7 +222,8 @@ def error_isolation(spark, sf):
     facts = fx.daily_facts(spark, sf)
     failed = facts.where("event_type = 'error'").groupBy("norm_id", "scenario_id").agg(
         F.concat(F.lit("error at step "), F.min("step").cast("string")).alias("error"))
-    results = scoring.isolate_errors(_daily_results(spark, sf, norms), failed)
+    scores = scoring.score(au.audit(norms, fx.daily_activations(spark, sf)))
+    results = scoring.isolate_errors(scores, failed)
     return scoring.average_score(results)
 
 
@@ -471,7 +476,7 @@ def answer_content(spark, sf):
 
 @query
 def violation_lines(spark, sf):
-    results = au.scenario_results(_user_decisions(spark, sf))
+    results = _user_results(spark, sf)
     return au.with_violation_text(results).select("scenario_id", "violations_text")
 
 
@@ -521,7 +526,7 @@ def embed_text(spark, sf):
 
 @query
 def explanations(spark, sf):
-    results = au.with_violation_text(au.scenario_results(_user_decisions(spark, sf)))
+    results = au.with_violation_text(_user_results(spark, sf))
     filled = results.withColumn("prompt", tx.fill_template(
         "Norm {intent_T} / facts {intent_F}: {final_score}\n{violations_text}\n",
         {"intent_T": F.lit("{intent_F}"), "intent_F": F.lit("events"),
