@@ -20,6 +20,8 @@ def build_session(app: str = "normtrace", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # list aggregates leave the hash map for sorting after 128 groups by default
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
