@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normtrace.session import settle
+
 SCENARIO = ["norm_id", "scenario_id"]
 NO_STRINGS = "array<string>"
 
@@ -175,11 +177,16 @@ def contaminated(decisions: DataFrame) -> DataFrame:
 
 
 def _steps_of_states(decisions: DataFrame) -> DataFrame:
-    """Per scenario: first steps of its validated states and of its violations (few per scenario)."""
-    return decisions.where("activated").groupBy(*SCENARIO).agg(
+    """Per scenario: first steps of its validated states and of its violations (few per scenario).
+
+    Written first: its size is known then, and a join with a hot scenario on the long side can be split
+    by AQE, which it cannot be straight on top of an aggregation.
+    """
+    steps = decisions.where("activated").groupBy(*SCENARIO).agg(
         F.collect_list(F.when(~F.col("contaminated"), F.struct("state_id", "first_step"))).alias("valid"),
         F.collect_list(F.when(F.col("contaminated"), F.col("first_step"))).alias("violated"),
     )
+    return settle(steps, "steps")
 
 
 def step_trace(facts: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from normtrace.functions.states import DEFAULT_RANK, ENTITY_RANKS, entity
 from normtrace.session import settle
 
 EDGE = ["norm_id", "source", "target"]
-STATES_IN_ROW = 128
+EDGES_IN_ROW = 1024
 
 
 def default_entity_rank(spark) -> DataFrame:
@@ -81,18 +81,18 @@ def edge_audit(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEF
     )
 
 
-def reachability(edges: DataFrame, max_sources: int | None = None) -> DataFrame:
+def reachability(edges: DataFrame, max_edges: int | None = None) -> DataFrame:
     """``(norm_id, src, dst)``: every state that can be reached from ``src`` over one edge or more.
 
-    ``max_sources`` is a known bound on the sources of any norm; without it the bound is measured, so
+    ``max_edges`` is a known bound on the edges of any norm; without it the bound is measured, so
     ``edges`` should be a settled table then.
     Norms of the usual size (tens of states) are closed inside one row each; larger graphs by
     repeated joins over all norms at once.
     """
-    if max_sources is None:
-        per_norm = edges.groupBy("norm_id").agg(F.count_distinct("source").alias("n"))
-        max_sources = per_norm.agg(F.max("n")).first()[0] or 0
-    if max_sources <= STATES_IN_ROW:
+    if max_edges is None:
+        per_norm = edges.groupBy("norm_id").agg(F.count("*").alias("n"))
+        max_edges = per_norm.agg(F.max("n")).first()[0] or 0
+    if max_edges <= EDGES_IN_ROW:
         return close_in_row(edges)
     return close_by_joins(edges)
 

@@ -9,6 +9,7 @@ from normtrace.functions.scores import round_score, verdict, violation_text
 from normtrace.operators.causal import SCENARIO, decide, first_activations, with_missing
 from normtrace.operators.scoring import average_score
 from normtrace.plans.normative import Norms
+from normtrace.session import settle
 from normtrace.sources.traces import number_steps
 
 VIOLATION = "struct<transition_index:int,attempted_state:string,missing_preconditions:array<string>>"
@@ -66,7 +67,7 @@ def audit_report(results: DataFrame, norms: DataFrame) -> DataFrame:
     a settled table.
     """
     means = average_score(results).select("norm_id", "average_score")
-    header = norms.join(means, "norm_id", "left")
+    header = settle(norms.join(means, "norm_id", "left"), "header")
     return results.join(header, "norm_id", "left")
 
 

@@ -74,8 +74,8 @@ def event_states(spark: SparkSession) -> DataFrame:
 
 
 def event_norms(spark: SparkSession) -> Norms:
-    """The literal norm; its 20 states bound the closure."""
-    return norms_from_edges(event_states(spark), event_edges(spark), max_sources=20)
+    """The literal norm."""
+    return norms_from_edges(event_states(spark), event_edges(spark), max_edges=len(EVENT_RULES))
 
 
 def declared_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,7 @@ chosen AS (SELECT * FROM spread WHERE sim >= mu + {lam} * sigma AND sim >= {floo
 FACTS0 = "SELECT 0 AS norm_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings"
 ORACLES["zscore_projection"] = f"""WITH {_label_means('0')}, {_project(FACTS0, 'vec_id', 0.5, 0.2)}
 SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
+ORACLES["zscore_projection_batched"] = ORACLES["zscore_projection"]
 ORACLES["zscore_projection_floor0"] = f"""WITH {_label_means('0')}, {_project(FACTS0, 'vec_id', 0.8, 0.0)}
 SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
 ORACLES["projection_coverage"] = f"""WITH {_label_means('0')}, {_project(FACTS0, 'vec_id', 0.5, 0.5)}

@@ -204,7 +204,7 @@ def unevaluated_scenarios(spark, sf):
     norm = fx.inline_table(spark, "norm_id bigint, source string, target string",
                            [(0, "Order:O", "Order:P"), (0, "Order:P", "Order:F")])
     states = fx.inline_table(spark, "norm_id bigint, state_id string", [(0, "Order:O"), (0, "Order:P"), (0, "Order:F")])
-    norms = fx.norms_from_edges(states, norm, max_sources=3)
+    norms = fx.norms_from_edges(states, norm, max_edges=2)
     orders = fx.table(spark, sf, "orders").select(
         F.lit(0).cast("long").alias("norm_id"), F.col("o_custkey").alias("scenario_id"), "o_orderdate", "o_orderkey",
         F.concat(F.lit("Order:"), "o_orderstatus").alias("state_id"))
@@ -249,8 +249,8 @@ def _one_norm_facts(spark, sf):
                                       F.col("embedding").alias("vector"))
 
 
-def _one_norm_states(spark, sf):
-    return fx.label_states(_vectors(spark, sf), F.lit(0).cast("long"))
+def _one_norm_universe(spark, sf):
+    return similarity.norm_universe(fx.label_states(_vectors(spark, sf), F.lit(0).cast("long")))
 
 
 def _selected(df):
@@ -259,12 +259,17 @@ def _selected(df):
 
 @query
 def zscore_projection(spark, sf):
-    return _selected(similarity.project(_one_norm_facts(spark, sf), _one_norm_states(spark, sf)))
+    return _selected(similarity.project(_one_norm_facts(spark, sf), _one_norm_universe(spark, sf)))
+
+
+@query
+def zscore_projection_batched(spark, sf):
+    return _selected(similarity.project_batched(_one_norm_facts(spark, sf), _one_norm_universe(spark, sf)))
 
 
 @query
 def zscore_projection_floor0(spark, sf):
-    return _selected(similarity.project(_one_norm_facts(spark, sf), _one_norm_states(spark, sf),
+    return _selected(similarity.project(_one_norm_facts(spark, sf), _one_norm_universe(spark, sf),
                                         lam=0.8, floor=0.0))
 
 
@@ -274,7 +279,7 @@ def projection_coverage(spark, sf):
     facts = _vectors(spark, sf).select(
         F.lit(0).cast("long").alias("norm_id"), F.col("label").cast("long").alias("scenario_id"),
         F.col("vec_id").alias("step"), F.col("embedding").alias("vector"))
-    acts = similarity.project(facts, _one_norm_states(spark, sf), floor=0.5)
+    acts = similarity.project(facts, _one_norm_universe(spark, sf), floor=0.5)
     return causal.coverage(facts, acts).drop("norm_id")
 
 
@@ -288,7 +293,7 @@ def zscore_degenerate(spark, sf):
     facts = _vectors(spark, sf).select(
         F.lit(0).cast("long").alias("norm_id"), "vec_id",
         F.transform("embedding", lambda x: F.when(F.col("label") == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("vector"))
-    return _selected(similarity.project(facts, states, floor=0.0))
+    return _selected(similarity.project(facts, similarity.norm_universe(states), floor=0.0))
 
 
 @query
@@ -300,7 +305,7 @@ def precondition_mapping(spark, sf):
     pres = _vectors(spark, sf).select(
         norm_of.alias("norm_id"), F.element_at(names, (F.col("label") + 3) % 10 + 1).alias("target"),
         (F.col("vec_id") % 20).alias("pre_pos"), F.col("embedding").alias("vector"))
-    return preconditions.map_preconditions(pres, states).select("norm_id", "target", "source")
+    return preconditions.map_preconditions(pres, similarity.norm_universe(states)).select("norm_id", "target", "source")
 
 
 _ENDINGS = sx.NEGATIVE_ENDINGS + sx.POSITIVE_ENDINGS + ["Pending", "Accepted:Late", ""]

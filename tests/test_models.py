@@ -93,11 +93,15 @@ def test_projection(spark, lam, floor):
     states = spark.createDataFrame([(n, i, f"s{i}", u.tolist()) for n, us in norms.items() for i, u in enumerate(us)],
                                    "norm_id bigint, u_pos int, state_id string, vector array<double>")
     df = spark.createDataFrame([(n, i, f.tolist()) for n, i, f in facts], "norm_id bigint, fact bigint, vector array<double>")
-    got = {}
-    for r in sm.project(df, states, lam=lam, floor=floor).collect():
-        got.setdefault((r["norm_id"], r["fact"]), set()).add(r["u_pos"])
+    universe = sm.norm_universe(states)
     want = {(n, i): plain_selection(f, norms[n], lam, floor) for n, i, f in facts}
-    assert got == {k: v for k, v in want.items() if v}
+    for found in (sm.project(df, universe, lam=lam, floor=floor),
+                  sm.project_batched(df, universe, lam=lam, floor=floor),
+                  sm.project_batched(df, universe, lam=lam, floor=floor, max_elements=1)):
+        got = {}
+        for r in found.collect():
+            got.setdefault((r["norm_id"], r["fact"]), set()).add(r["u_pos"])
+        assert got == {k: v for k, v in want.items() if v}
 
 
 def test_embedding(spark):
