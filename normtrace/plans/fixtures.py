@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normtrace.operators.graph import distinct_edges
 from normtrace.plans.normative import Norms, build_norms, norms_from_edges
+from normtrace.session import settle
 from normtrace.sources.traces import number_steps
 
 # A small acyclic norm over the event states: (state, precondition).
@@ -94,7 +96,7 @@ def declared_states(edges: DataFrame) -> DataFrame:
 
 
 def declared_norms(spark: SparkSession, sf_dir: str) -> Norms:
-    edges = declared_edges(spark, sf_dir)
+    edges = settle(distinct_edges(declared_edges(spark, sf_dir)), "declared")
     return build_norms(declared_states(edges), edges, event_ranks(spark))
 
 

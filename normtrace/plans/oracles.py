@@ -381,6 +381,19 @@ b AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 32 AS bucket, c
 SELECT d.doc_id, CAST(i.bucket AS INTEGER) AS bucket, CAST(coalesce(b.n, 0) AS INTEGER) AS n
 FROM documents d CROSS JOIN range(32) AS i(bucket) LEFT JOIN b ON b.doc_id = d.doc_id AND b.bucket = i.bucket"""
 
+ORACLES["embed_batches"] = """SELECT doc_id, CAST(i.dim AS INTEGER) AS dim, CAST(CASE i.dim WHEN 0 THEN length(text)
+       WHEN 1 THEN length(text) - length(replace(text, ' ', '')) ELSE length(text) - length(replace(text, 'e', '')) END AS INTEGER) AS x
+FROM documents CROSS JOIN range(3) AS i(dim)"""
+# request before country before account, with weights 1, 1 and 0
+ORACLES["whole_audit"] = """WITH s AS (
+  SELECT o_orderkey AS norm_id, 'Scenario 1: main' AS scenario, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 3 END AS n_facts,
+         CASE WHEN o_orderstatus = 'O' THEN 0.5 ELSE 1.0 END AS score, CASE WHEN o_orderstatus = 'O' THEN 'warn' ELSE 'ok' END AS verdict,
+         CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 ELSE 0 END AS n_validated,
+         CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 1 END AS n_violations FROM orders
+  UNION ALL SELECT o_orderkey, 'Scenario 2: other', 3, 1.0, 'ok', 2, 0 FROM orders WHERE o_orderpriority <> '1-URGENT')
+SELECT norm_id, scenario, n_facts, 'open an account' AS intent_T, 'open an account' AS intent_F, score::DOUBLE AS score, verdict,
+       true AS evaluated, CAST(n_validated AS BIGINT) AS n_validated, n_violations, n_violations || ' problems' AS explanation FROM s"""
+
 FINAL = f"""final AS (
   SELECT o_orderkey AS doc_id, o_orderpriority AS model,
          CASE WHEN o_orderstatus = 'F' THEN 'text ' || o_orderkey WHEN o_custkey % 3 = 0 THEN 'again ' || o_orderkey END AS text,

@@ -17,6 +17,7 @@ from normtrace.functions import scores as sc
 from normtrace.operators import benchmark as bm
 from normtrace.operators import causal, graph, models, preconditions, scenarios, scoring, similarity
 from normtrace.plans import audit as au
+from normtrace.plans import conformance as cf
 from normtrace.plans import fixtures as fx
 from normtrace.plans.normative import norm_summary
 from normtrace.session import fresh_path, settle, spread
@@ -539,6 +540,58 @@ def explanations(spark, sf):
     return models.explain(filled, "prompt", lambda: _echo_model()).select("scenario_id", "explanation")
 
 
+@query
+def embed_batches(spark, sf):
+    """An injected embedding model, one Arrow batch of whole texts at a time."""
+    def embedder():
+        return lambda texts: [[len(t), t.count(" "), t.count("e")] for t in texts]
+
+    vectors = similarity.embed_text(spread(fx.table(spark, sf, "documents")), "text", embedder)
+    return vectors.select("doc_id", F.posexplode("vector").alias("dim", "x")).select(
+        "doc_id", "dim", F.col("x").cast("int").alias("x"))
+
+
+def _audit_models() -> cf.Models:
+    """Stand-ins for the models of a whole audit: fixed answers, words of a small vocabulary as vectors."""
+    def fixed(answer: str):
+        return lambda: lambda prompt: {"text": answer}
+
+    def embedder():
+        words = ["request", "sent", "country", "selected", "account", "created"]
+        return lambda texts: [[t.split().count(w) for w in words] for t in texts]
+
+    def explain():
+        return lambda prompt: {"text": f"{prompt.count('tried to activate')} problems"}
+
+    return cf.Models(
+        intent=fixed('```json\n{"intent": "open an account"}\n```'),
+        universe=fixed('{"U": {"Request:Sent": "request sent", "Country:Selected": "country selected", '
+                       '"Account:Created": "account created"}}'),
+        rules=fixed('{"Pre_text": {"Country:Selected": ["request sent"], "Account:Created": ["country selected", ""]}}'),
+        explain=explain, embedder=embedder)
+
+
+@query
+def whole_audit(spark, sf):
+    """Every order is a norm with an extraction of two scenarios; the first one's order of facts depends
+    on the order's status, the second is empty for urgent orders."""
+    orders = spread(fx.table(spark, sf, "orders"))
+    fact = lambda a, b: f"1. (customer, {a}, {b})\n"
+    request, country, account = fact("request", "sent"), fact("country", "selected"), fact("account", "created")
+    steps = F.when(F.col("o_orderstatus") == "F", request + country + account) \
+        .when(F.col("o_orderstatus") == "O", country + request + account).otherwise(account)
+    second = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("")).otherwise(F.lit(request + fact("nothing", "known") + country))
+    texts = orders.select(F.col("o_orderkey").alias("norm_id"), F.concat(F.lit("Norm of order "), "o_orderkey").alias("text"))
+    extractions = orders.select(
+        F.col("o_orderkey").alias("norm_id"),
+        F.concat(F.lit("Scenario 1: main\n"), steps, F.lit("Scenario 2: other\n"), second).alias("text"))
+    models_ = _audit_models()
+    side = cf.build_norm_side(texts, models_, graph.default_entity_rank(spark))
+    report = cf.audit_extractions(extractions, side, models_)
+    return report.select("norm_id", "scenario", "n_facts", "intent_T", "intent_F", "score", "verdict", "evaluated",
+                         "n_validated", F.size("violations").alias("n_violations"), "explanation")
+
+
 def _attempts(spark, sf):
     """First attempts: one per order, successful, failed or never recorded by its status."""
     done = F.col("o_orderstatus") == "F"

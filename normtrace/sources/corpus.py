@@ -60,6 +60,6 @@ def process_flows(graphs: DataFrame) -> DataFrame:
         "file_index", "flow_pos", "f.src", "f.tgt", "f.condition")
 
 
-def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per row, non-ASCII kept, null fields kept."""
-    report.write.option("ignoreNullFields", False).json(path, mode=mode)
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists", indented: bool = False) -> None:
+    """One JSON object per row, non-ASCII kept, null fields kept; one per line unless indented."""
+    report.write.option("ignoreNullFields", False).option("pretty", indented).json(path, mode=mode)
