@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from normtrace.operators.graph import distinct_edges
 from normtrace.plans.normative import Norms, build_norms, norms_from_edges
-from normtrace.session import settle
+from normtrace.session import settle, spread
 from normtrace.sources.traces import number_steps
 
 # A small acyclic norm over the event states: (state, precondition).
@@ -44,7 +44,7 @@ def event_ranks(spark: SparkSession) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", k.alias("k"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", "ts", "user_id", "event_type", k.alias("k"))
 
 
 def _activate(steps: DataFrame, keys: list[str]) -> DataFrame:
