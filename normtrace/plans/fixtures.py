@@ -10,7 +10,9 @@ from normtrace.plans.normative import Norms, build_norms, norms_from_edges
 from normtrace.session import settle, spread
 from normtrace.sources.traces import number_steps
 
-# A small acyclic norm over the event states: (state, precondition).
+# A small acyclic norm over the event states: (state, precondition). Every user belongs to one of
+# N_NORMS norms, which all have these rules.
+N_NORMS = 4
 EVENT_RULES = [
     ("signup:1", "signup:0"), ("view:0", "signup:1"), ("view:1", "view:0"), ("view:2", "view:1"),
     ("click:0", "view:0"), ("click:1", "click:0"), ("click:2", "view:2"), ("purchase:0", "click:1"),
@@ -55,9 +57,9 @@ def _activate(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def user_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One norm, one scenario per user: ``norm_id, scenario_id, step`` and the event."""
+    """One scenario per user: ``norm_id, scenario_id, step`` and the event."""
     ordered = number_steps(events(spark, sf_dir), ["user_id"], ["ts", "event_id"])
-    return ordered.select(F.lit(0).cast("long").alias("norm_id"), F.col("user_id").alias("scenario_id"),
+    return ordered.select((F.col("user_id") % N_NORMS).alias("norm_id"), F.col("user_id").alias("scenario_id"),
                           "step", "event_type", "k")
 
 
@@ -66,17 +68,18 @@ def user_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_edges(spark: SparkSession) -> DataFrame:
-    rows = [(0, pre, state) for state, pre in EVENT_RULES]
+    rows = [(norm, pre, state) for norm in range(N_NORMS) for state, pre in EVENT_RULES]
     return inline_table(spark, "norm_id bigint, source string, target string", rows)
 
 
 def event_states(spark: SparkSession) -> DataFrame:
-    rows = [(0, f"{t}:{i}", 4 * n + i) for n, t in enumerate(EVENT_TYPES) for i in range(4)]
+    rows = [(norm, f"{t}:{i}", 4 * n + i)
+            for norm in range(N_NORMS) for n, t in enumerate(EVENT_TYPES) for i in range(4)]
     return inline_table(spark, "norm_id bigint, state_id string, u_pos int", rows)
 
 
 def event_norms(spark: SparkSession) -> Norms:
-    """The literal norm."""
+    """The literal norms."""
     return norms_from_edges(event_states(spark), event_edges(spark), max_edges=len(EVENT_RULES))
 
 

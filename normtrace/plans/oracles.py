@@ -251,20 +251,20 @@ spread AS (SELECT *, avg(sim) OVER w AS mu, stddev_pop(sim) OVER w AS sigma FROM
 chosen AS (SELECT * FROM spread WHERE sim >= mu + {lam} * sigma AND sim >= {floor})"""
 
 
-FACTS0 = "SELECT 0 AS norm_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings"
-ORACLES["zscore_projection"] = f"""WITH {_label_means('0')}, {_project(FACTS0, 'vec_id', 0.5, 0.2)}
+FACTS = "SELECT vec_id % 4 AS norm_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings"
+ORACLES["zscore_projection"] = f"""WITH {_label_means('vec_id % 4')}, {_project(FACTS, 'vec_id', 0.5, 0.2)}
 SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
 ORACLES["zscore_projection_batched"] = ORACLES["zscore_projection"]
-ORACLES["zscore_projection_floor0"] = f"""WITH {_label_means('0')}, {_project(FACTS0, 'vec_id', 0.8, 0.0)}
+ORACLES["zscore_projection_floor0"] = f"""WITH {_label_means('vec_id % 4')}, {_project(FACTS, 'vec_id', 0.8, 0.0)}
 SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
-ORACLES["projection_coverage"] = f"""WITH {_label_means('0')}, {_project(FACTS0, 'vec_id', 0.5, 0.5)}
-SELECT CAST(e.label AS BIGINT) AS scenario_id, count(*) AS n_facts,
-       count(*) FILTER (e.vec_id IN (SELECT vec_id FROM chosen)) AS n_active FROM embeddings e GROUP BY e.label"""
+ORACLES["projection_coverage"] = f"""WITH {_label_means('vec_id % 4')}, {_project(FACTS, 'vec_id', 0.5, 0.5)}
+SELECT vec_id % 4 AS norm_id, CAST(e.label AS BIGINT) AS scenario_id, count(*) AS n_facts,
+       count(*) FILTER (e.vec_id IN (SELECT vec_id FROM chosen)) AS n_active FROM embeddings e GROUP BY ALL"""
 ORACLES["zscore_degenerate"] = f"""WITH elements AS (
-  SELECT generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-overall AS (SELECT list(x ORDER BY i) AS v FROM (SELECT i, avg(x) AS x FROM elements GROUP BY i)),
+  SELECT vec_id % 4 AS norm_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+overall AS (SELECT norm_id, list(x ORDER BY i) AS v FROM (SELECT norm_id, i, avg(x) AS x FROM elements GROUP BY ALL) GROUP BY norm_id),
 sims AS (SELECT vec_id, CASE WHEN label = 0 THEN 0.0 ELSE list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) END AS sim
-         FROM embeddings, overall)
+         FROM embeddings JOIN overall ON norm_id = vec_id % 4)
 SELECT vec_id, CAST(0 AS INTEGER) AS u_pos, '{fx.LABEL_STATES[0]}' AS state_id, round(sim, 4) AS sim FROM sims WHERE sim >= 0"""
 
 

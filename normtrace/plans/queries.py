@@ -99,7 +99,7 @@ def broken_cycles(spark, sf):
     return graph.break_cycles(edges, fx.event_ranks(spark), reach=settle(graph.reachability(edges), "reach"))
 
 
-# --- causal check (one norm, one scenario per user) -------------------------------------------
+# --- causal check (literal norms, one scenario per user) -------------------------------------------
 
 
 def _user_decisions(spark, sf):
@@ -203,16 +203,17 @@ def report_json(spark, sf):
 def unevaluated_scenarios(spark, sf):
     """Every customer is a scenario over its orders' status; those without an order score 1.0."""
     norm = fx.inline_table(spark, "norm_id bigint, source string, target string",
-                           [(0, "Order:O", "Order:P"), (0, "Order:P", "Order:F")])
-    states = fx.inline_table(spark, "norm_id bigint, state_id string", [(0, "Order:O"), (0, "Order:P"), (0, "Order:F")])
+                           [(n, *edge) for n in range(2) for edge in (("Order:O", "Order:P"), ("Order:P", "Order:F"))])
+    states = fx.inline_table(spark, "norm_id bigint, state_id string",
+                             [(n, f"Order:{s}") for n in range(2) for s in "OPF"])
     norms = fx.norms_from_edges(states, norm, max_edges=2)
     orders = fx.table(spark, sf, "orders").select(
-        F.lit(0).cast("long").alias("norm_id"), F.col("o_custkey").alias("scenario_id"), "o_orderdate", "o_orderkey",
+        (F.col("o_custkey") % 2).alias("norm_id"), F.col("o_custkey").alias("scenario_id"), "o_orderdate", "o_orderkey",
         F.concat(F.lit("Order:"), "o_orderstatus").alias("state_id"))
     acts = fx.number_steps(orders, ["norm_id", "scenario_id"], ["o_orderdate", "o_orderkey"]) \
         .withColumn("u_pos", F.lit(0))
     everyone = fx.table(spark, sf, "customer").select(
-        F.lit(0).cast("long").alias("norm_id"), F.col("c_custkey").alias("scenario_id"))
+        (F.col("c_custkey") % 2).alias("norm_id"), F.col("c_custkey").alias("scenario_id"))
     return scoring.score(au.audit(norms, acts), everyone).drop("norm_id")
 
 
@@ -245,13 +246,17 @@ def _vectors(spark, sf):
     return fx.table(spark, sf, "embeddings")
 
 
-def _one_norm_facts(spark, sf):
-    return _vectors(spark, sf).select(F.lit(0).cast("long").alias("norm_id"), "vec_id",
-                                      F.col("embedding").alias("vector"))
+def _vector_norm():
+    """The vectors are dealt out to four norms, each with its own label means as states."""
+    return F.col("vec_id") % 4
 
 
-def _one_norm_universe(spark, sf):
-    return similarity.norm_universe(fx.label_states(_vectors(spark, sf), F.lit(0).cast("long")))
+def _vector_facts(spark, sf):
+    return _vectors(spark, sf).select(_vector_norm().alias("norm_id"), "vec_id", F.col("embedding").alias("vector"))
+
+
+def _vector_universe(spark, sf):
+    return similarity.norm_universe(fx.label_states(_vectors(spark, sf), _vector_norm()))
 
 
 def _selected(df):
@@ -260,17 +265,17 @@ def _selected(df):
 
 @query
 def zscore_projection(spark, sf):
-    return _selected(similarity.project(_one_norm_facts(spark, sf), _one_norm_universe(spark, sf)))
+    return _selected(similarity.project(_vector_facts(spark, sf), _vector_universe(spark, sf)))
 
 
 @query
 def zscore_projection_batched(spark, sf):
-    return _selected(similarity.project_batched(_one_norm_facts(spark, sf), _one_norm_universe(spark, sf)))
+    return _selected(similarity.project_batched(_vector_facts(spark, sf), _vector_universe(spark, sf)))
 
 
 @query
 def zscore_projection_floor0(spark, sf):
-    return _selected(similarity.project(_one_norm_facts(spark, sf), _one_norm_universe(spark, sf),
+    return _selected(similarity.project(_vector_facts(spark, sf), _vector_universe(spark, sf),
                                         lam=0.8, floor=0.0))
 
 
@@ -278,21 +283,20 @@ def zscore_projection_floor0(spark, sf):
 def projection_coverage(spark, sf):
     """Each label is a scenario, each vector a fact."""
     facts = _vectors(spark, sf).select(
-        F.lit(0).cast("long").alias("norm_id"), F.col("label").cast("long").alias("scenario_id"),
+        _vector_norm().alias("norm_id"), F.col("label").cast("long").alias("scenario_id"),
         F.col("vec_id").alias("step"), F.col("embedding").alias("vector"))
-    acts = similarity.project(facts, _one_norm_universe(spark, sf), floor=0.5)
-    return causal.coverage(facts, acts).drop("norm_id")
+    acts = similarity.project(facts, _vector_universe(spark, sf), floor=0.5)
+    return causal.coverage(facts, acts)
 
 
 @query
 def zscore_degenerate(spark, sf):
     """All states of a norm share one vector, and the facts of label 0 are zero vectors."""
-    overall = _vectors(spark, sf).groupBy().agg(
+    overall = _vectors(spark, sf).groupBy(_vector_norm().alias("norm_id")).agg(
         F.array(*[F.avg(F.element_at("embedding", i + 1).cast("double")) for i in range(64)]).alias("vector"))
-    states = overall.select(F.lit(0).cast("long").alias("norm_id"), "vector",
-                            F.posexplode(F.array(*[F.lit(s) for s in fx.LABEL_STATES[:3]])).alias("u_pos", "state_id"))
+    states = overall.select("norm_id", "vector", F.posexplode(F.array(*[F.lit(s) for s in fx.LABEL_STATES[:3]])).alias("u_pos", "state_id"))
     facts = _vectors(spark, sf).select(
-        F.lit(0).cast("long").alias("norm_id"), "vec_id",
+        _vector_norm().alias("norm_id"), "vec_id",
         F.transform("embedding", lambda x: F.when(F.col("label") == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("vector"))
     return _selected(similarity.project(facts, similarity.norm_universe(states), floor=0.0))
 

@@ -20,16 +20,24 @@ PROCESS_GRAPH = (
 def read_corpus(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """``source, text`` of every text file under ``root``: ``parentfolder/file`` and stripped content.
 
-    One row per file however deep it lies; unreadable files are left out.
+    One row per file however deep it lies; files that are no UTF-8 are left out.
     """
+    return _read_files(spark, root, glob).where(F.is_valid_utf8("value")).select("source", strip(F.col("value")).alias("text"))
+
+
+def unreadable_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
+    """``source`` of the files that :func:`read_corpus` leaves out because they are no UTF-8."""
+    return _read_files(spark, root, glob).where(~F.is_valid_utf8("value")).select("source")
+
+
+def _read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     files = (
         spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob).text(root, wholetext=True)
     )
     path = F.split(F.col("_metadata.file_path"), "/")
     name = F.concat_ws("/", F.element_at(path, -2), F.element_at(path, -1))
-    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source"),
-                        strip(F.col("value")).alias("text"))
+    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source"), "value")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -168,10 +168,10 @@ def test_stream_equals_batch_also_out_of_order(spark, tmp_path):
     rng.shuffle(acts)
     path = str(tmp_path / "in")
     cut = len(acts) // 2
-    for part in (acts[:cut], acts[cut:]):
-        spark.createDataFrame(part, ACTS).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(inc.ACTIVATIONS).option("maxFilesPerTrigger", 1).parquet(path)
-    sent = inc.run_available(spark, stream, norms.links, str(tmp_path / "state"))
+    for part in (acts[:cut], acts[cut:]):  # the second run goes on from the state of the first
+        spark.createDataFrame(part, ACTS).repartition(2).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(inc.ACTIVATIONS).option("maxFilesPerTrigger", 1).parquet(path)
+        sent = inc.run_available(spark, stream, norms.links, str(tmp_path / "state"))
     got = inc.latest(sent).cache()
     batch = au.audit(norms, spark.createDataFrame(acts, ACTS))
     missing = {tuple(r)[:4] + (tuple(r[4]),) for r in causal.violations(batch, norms.links).collect()}

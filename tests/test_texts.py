@@ -81,8 +81,10 @@ def test_corpus_csv_graph_and_report(spark, tmp_path):
     (folder / "one.txt").write_text("\n first\nsecond \n", encoding="utf-8")
     (folder / "skip.md").write_text("no")
     (tmp_path / "corpus" / "two.txt").write_text("x")
+    (tmp_path / "corpus" / "broken.txt").write_bytes(b"ab\xff\xfe c")
     got = {tuple(r) for r in cp.read_corpus(spark, str(tmp_path / "corpus")).collect()}
     assert got == {("er+ é/one.txt", "first\nsecond"), ("corpus/two.txt", "x")}
+    assert [r["source"] for r in cp.unreadable_files(spark, str(tmp_path / "corpus")).collect()] == ["corpus/broken.txt"]
 
     table = spark.createDataFrame([(1, 'a "q", b\n c '), (2, None), (3, "é")], "id int, text string")
     cp.write_table(table, str(tmp_path / "csv"))
@@ -97,6 +99,9 @@ def test_corpus_csv_graph_and_report(spark, tmp_path):
     assert tuple(cp.process_flows(graphs).first()) == (5, 0, "n1", "n2", "Yes")
 
     cp.write_report(spark.createDataFrame([(1, None, "é")], "a int, b string, c string"), str(tmp_path / "report"))
+    nested = spark.createDataFrame([(1, None, "é")], "a int, b string, c string")
+    cp.write_report(nested, str(tmp_path / "indented"), indented=True)
+    assert [tuple(r) for r in spark.read.schema(nested.schema).json(str(tmp_path / "indented"), multiLine=True).collect()] == [(1, None, "é")]
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "report").glob("*.json"))
     assert text.strip() == '{"a":1,"b":null,"c":"é"}'
 
