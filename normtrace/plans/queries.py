@@ -742,5 +742,6 @@ def stream_causal(spark, sf):
     path = fresh_path(spark, "activations")
     fx.user_activations(spark, sf).repartition(4, "step").write.parquet(path)
     stream = spark.readStream.schema(inc.ACTIVATIONS).option("maxFilesPerTrigger", 2).parquet(path)
-    sent = inc.run_available(spark, stream, fx.event_norms(spark).links)
+    sent = inc.run_available(spark, stream, fx.event_norms(spark).links,
+                             state_partitions=spark.sparkContext.defaultParallelism)
     return inc.latest(sent).select("scenario_id", "state_id", "step", "valid", _joined("missing"))

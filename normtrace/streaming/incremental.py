@@ -96,15 +96,26 @@ def downstream(decisions: DataFrame, reach: DataFrame) -> DataFrame:
     return seeds.unionByName(further).distinct()
 
 
-def run_available(spark: SparkSession, activations: DataFrame, links: DataFrame, folder: str | None = None) -> DataFrame:
+def run_available(
+    spark: SparkSession, activations: DataFrame, links: DataFrame, folder: str | None = None,
+    state_partitions: int | None = None,
+) -> DataFrame:
     """Run over all input there is now, in as many micro-batches as the source gives, and return the
-    decisions sent out. Progress and state live in ``folder``, so a later call goes on from there."""
+    decisions sent out. Progress and state live in ``folder``, so a later call goes on from there.
+
+    ``state_partitions`` (default: the session's shuffle partitions) is fixed by the first run.
+    """
     folder = folder or fresh_path(spark, "causal-stream")
-    query = (
-        incremental_decisions(activations, links).writeStream
-        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/decisions/batch={n}"))
-        .option("checkpointLocation", f"{folder}/progress")
-        .outputMode("update").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or usual))
+    try:
+        query = (
+            incremental_decisions(activations, links).writeStream
+            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/decisions/batch={n}"))
+            .option("checkpointLocation", f"{folder}/progress")
+            .outputMode("update").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     return spark.read.schema(DECISIONS).parquet(f"{folder}/decisions")
