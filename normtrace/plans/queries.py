@@ -413,7 +413,7 @@ def clean_json_answers(spark, sf):
         F.concat(F.lit(" ```json\n"), p, F.lit("\n```\n")), F.concat(F.lit("```\n"), p, fence),
         F.concat(F.lit("  "), p, F.lit(" \t")), F.concat(F.lit("```json"), p),
         F.concat(F.lit("Here it is: "), p), F.concat(p, fence))
-    answers = fx.table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    answers = spread(fx.table(spark, sf, "events")).select("event_id", raw.alias("raw"))
     return answers.select("event_id", ax.clean_answer(F.col("raw")).alias("cleaned"),
                           F.try_variant_get(ax.parse_answer(F.col("raw")), "$.k", "int").alias("k"))
 
@@ -426,7 +426,7 @@ def intent_defaults(spark, sf):
         F.concat(F.lit('```json\n{"intent": "'), kind, F.lit('"}\n```')), F.lit('{"goal": 1}'),
         F.concat(F.lit('{"intent": '), kind), F.lit('{"intent": null}'),
         F.concat(F.lit('{"a": [1], "intent": "é '), kind, F.lit('"}')))
-    answers = fx.table(spark, sf, "events").select("event_id", "event_type", raw.alias("raw"))
+    answers = spread(fx.table(spark, sf, "events")).select("event_id", "event_type", raw.alias("raw"))
     return answers.select("event_id", ax.intent_of(F.col("raw")).alias("intent"))
 
 

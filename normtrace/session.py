@@ -19,13 +19,14 @@ def build_session(app: str = "normtrace", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # rows grow after some shuffles (a state tells others), so small partitions still get a core each
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # list aggregates leave the hash map for sorting after 128 groups by default
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
         "spark.ui.enabled": "false",
     }
+    if (master or "").startswith("local"):
+        # small tables: rows grow after some shuffles (a state tells others), so give each core its share
+        settings["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "64KB"
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
     if master:
