@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from normtrace.functions import answers as ax
 from normtrace.functions import states as sx
 from normtrace.functions import text as tx
-from normtrace.functions import scores as sc
 from normtrace.operators import benchmark as bm
 from normtrace.operators import causal, graph, models, preconditions, scenarios, scoring, similarity
 from normtrace.plans import audit as au

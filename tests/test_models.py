@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from normtrace.operators import benchmark as bm
 from normtrace.operators import models as md
