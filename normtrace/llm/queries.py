@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normtrace.llm import best_fit, best_fit_decreasing, chat, hash_forest, html_density, language, multiset_hash, pieces, simhash, toxicity
+from normtrace.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bfd_packing": op2_bfd_packing,
@@ -84,5 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {}
