@@ -242,5 +242,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def drop_unreadable(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` without rows of no language: no letters, or nothing any learned language would write."""
-    judged = docs.withColumn("_language", language_of(model)("text"))
-    return judged.where((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.bits") <= REJECT_BITS)).drop("_language")
+    found = language_of(model)("text")
+    return docs.where((found["lang_pred"] != UNDETERMINED) & (found["bits"] <= REJECT_BITS))

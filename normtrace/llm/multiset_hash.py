@@ -68,10 +68,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     Rows are dealt to ranges of doc_id; the first row of a range also goes to the range above, where
     it is the next of the last row. Texts are shuffled once and no task holds more than a range. The
-    bounds are quantiles of doc_id, as many as there are shuffle partitions, four for each.
+    bounds are quantiles of doc_id, two for each shuffle partition.
     """
     spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
     bounds = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
     bounds = sorted(set(bounds))
