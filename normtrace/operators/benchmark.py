@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normtrace.operators.models import SUCCESS
@@ -38,8 +38,9 @@ def leaderboard(summary: DataFrame) -> DataFrame:
 def status_distribution(generations: DataFrame) -> DataFrame:
     """Share of each status per model in %, null statuses left out, largest first."""
     counts = generations.where("status IS NOT NULL").groupBy("model", "status").agg(F.count("*").alias("n"))
-    of_model = F.sum("n").over(Window.partitionBy("model"))
-    return counts.select("model", "status", "n", F.bround(100.0 * F.col("n") / of_model, 2).alias("pct")) \
+    totals = counts.groupBy(F.col("model").alias("_model")).agg(F.sum("n").alias("_total"))
+    shares = counts.join(totals, F.col("model").eqNullSafe(F.col("_model")))
+    return shares.select("model", "status", "n", F.bround(100.0 * F.col("n") / F.col("_total"), 2).alias("pct")) \
         .orderBy("model", F.desc("pct"), "status")
 
 

@@ -9,7 +9,6 @@ from normtrace.functions.states import DEFAULT_RANK, ENTITY_RANKS, entity
 from normtrace.session import settle
 
 EDGE = ["norm_id", "source", "target"]
-EDGES_IN_ROW = 1024
 
 
 def default_entity_rank(spark) -> DataFrame:
@@ -18,8 +17,11 @@ def default_entity_rank(spark) -> DataFrame:
 
 
 def distinct_edges(pre_mapped: DataFrame) -> DataFrame:
-    """Edges of mapped preconditions (``source`` is a precondition of ``target``), each once."""
-    return pre_mapped.select(*EDGE).distinct()
+    """Edges of mapped preconditions (``source`` is a precondition of ``target``), each once.
+
+    A row without source or target is no edge.
+    """
+    return pre_mapped.select(*EDGE).where("source IS NOT NULL AND target IS NOT NULL").distinct()
 
 
 def rank_edges(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEFAULT_RANK) -> DataFrame:
@@ -81,63 +83,27 @@ def edge_audit(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEF
     )
 
 
-def reachability(edges: DataFrame, max_edges: int | None = None) -> DataFrame:
+def reachability(edges: DataFrame) -> DataFrame:
     """``(norm_id, src, dst)``: every state that can be reached from ``src`` over one edge or more.
 
-    ``max_edges`` is a known bound on the edges of any norm; without it the bound is measured, so
-    ``edges`` should be a settled table then.
-    Norms of the usual size (tens of states) are closed inside one row each; larger graphs by
-    repeated joins over all norms at once.
+    Round i knows all pairs up to distance 2^i, with their distances. Only pairs at exactly that
+    distance are extended, by all known pairs, and each pair up to twice as far is found that way once
+    per vertex in its middle: on chains and trees once. Rounds are logarithmic in the longest shortest
+    path; each writes the new pairs only. All norms, small or large, are closed together.
     """
-    if max_edges is None:
-        per_norm = edges.groupBy("norm_id").agg(F.count("*").alias("n"))
-        max_edges = per_norm.agg(F.max("n")).first()[0] or 0
-    if max_edges <= EDGES_IN_ROW:
-        return close_in_row(edges)
-    return close_by_joins(edges)
-
-
-def close_in_row(edges: DataFrame) -> DataFrame:
-    """Transitive closure with the adjacency of one norm as a map in one row (small norms)."""
-    adjacency = (
-        edges.groupBy("norm_id", "source").agg(F.collect_set("target").alias("out"))
-        .groupBy("norm_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("source", "out"))).alias("adj"))
-    )
-    # For each vertex ``via``: whoever reaches it also reaches what it reaches.
-    closed = F.aggregate(
-        F.map_keys("adj"), F.col("adj"),
-        lambda acc, via: F.transform_values(
-            acc,
-            lambda _, out: F.when(
-                F.array_contains(out, via), F.array_union(out, F.element_at(acc, via))).otherwise(out),
-        ),
-    )
-    return (
-        adjacency.select("norm_id", F.explode(closed).alias("src", "dsts"))
-        .select("norm_id", "src", F.explode("dsts").alias("dst"))
-    )
-
-
-def close_by_joins(edges: DataFrame) -> DataFrame:
-    """Transitive closure by path doubling: round ``i`` knows all paths of up to ``2^i`` edges.
-
-    Every round is one join on ``(norm_id, vertex)`` and one distinct, written to the shared folder;
-    the rounds end when nothing new is found, after log2 of the longest shortest path.
-    """
-    known = settle(edges.select("norm_id", F.col("source").alias("src"), F.col("target").alias("dst"))
-                   .distinct(), "paths")
-    n_known = known.count()
-    while True:
-        longer = known.alias("a").join(
-            known.alias("b"),
-            (F.col("a.norm_id") == F.col("b.norm_id")) & (F.col("a.dst") == F.col("b.src")),
-        ).select("a.norm_id", "a.src", "b.dst")
-        known = settle(known.unionByName(longer).distinct(), "paths")
-        n_now = known.count()
-        if n_now == n_known:
-            return known
-        n_known = n_now
+    pair = ["norm_id", "src", "dst"]
+    known = settle(distinct_edges(edges).select("norm_id", F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("far")), "paths")
+    reach = 1
+    while not (front := known.where(F.col("far") == reach)).isEmpty():
+        onward = known.select(F.col("norm_id").alias("_norm"), F.col("src").alias("_via"), F.col("dst").alias("_end"), F.col("far").alias("_more"))
+        longer = (
+            front.join(onward, F.col("norm_id").eqNullSafe(F.col("_norm")) & (F.col("dst") == F.col("_via")))
+            .groupBy("norm_id", "src", F.col("_end").alias("dst")).agg((F.lit(reach) + F.min("_more")).alias("far"))
+        )
+        same = [longer[c].eqNullSafe(known[c]) for c in pair]
+        known = known.unionByName(settle(longer.join(known, same[0] & same[1] & same[2], "left_anti"), "paths"))
+        reach *= 2
+    return known.select(*pair)
 
 
 def cyclic_core(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ def event_states(spark: SparkSession) -> DataFrame:
 
 def event_norms(spark: SparkSession) -> Norms:
     """The literal norms."""
-    return norms_from_edges(event_states(spark), event_edges(spark), max_edges=len(EVENT_RULES))
+    return norms_from_edges(event_states(spark), event_edges(spark))
 
 
 def declared_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,13 +32,13 @@ def build_norms(
     return norms_from_edges(states, settle(edges, "edges"))
 
 
-def norms_from_edges(states: DataFrame, edges: DataFrame, max_edges: int | None = None) -> Norms:
+def norms_from_edges(states: DataFrame, edges: DataFrame) -> Norms:
     """Norm side from edges that are taken as they are (a settled or literal table).
 
     The links are all that the scenario side joins with, more than once; they are written to the
     shared folder, so that they are computed once and joined with their true size known.
     """
-    reach = graph.reachability(edges, max_edges)
+    reach = graph.reachability(edges)
     weights = graph.out_degree_weights(states, edges)
     return Norms(states, edges, weights, reach, settle(norm_links(edges, reach, weights), "links"))
 

@@ -83,19 +83,19 @@ def top_weights(spark, sf):
 @query
 def norm_reach(spark, sf):
     kept = graph.forward_edges(graph.distinct_edges(fx.declared_edges(spark, sf)), fx.event_ranks(spark))
-    return graph.reachability(settle(kept, "edges"))
+    return graph.reachability(kept)
 
 
 @query
 def cyclic_core(spark, sf):
     edges = settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges")
-    return graph.cyclic_core(edges, settle(graph.reachability(edges), "reach"))
+    return graph.cyclic_core(edges, graph.reachability(edges))
 
 
 @query
 def broken_cycles(spark, sf):
     edges = settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges")
-    return graph.break_cycles(edges, fx.event_ranks(spark), reach=settle(graph.reachability(edges), "reach"))
+    return graph.break_cycles(edges, fx.event_ranks(spark), reach=graph.reachability(edges))
 
 
 # --- causal check (literal norms, one scenario per user) -------------------------------------------
@@ -205,7 +205,7 @@ def unevaluated_scenarios(spark, sf):
                            [(n, *edge) for n in range(2) for edge in (("Order:O", "Order:P"), ("Order:P", "Order:F"))])
     states = fx.inline_table(spark, "norm_id bigint, state_id string",
                              [(n, f"Order:{s}") for n in range(2) for s in "OPF"])
-    norms = fx.norms_from_edges(states, norm, max_edges=2)
+    norms = fx.norms_from_edges(states, norm)
     orders = fx.table(spark, sf, "orders").select(
         (F.col("o_custkey") % 2).alias("norm_id"), F.col("o_custkey").alias("scenario_id"), "o_orderdate", "o_orderkey",
         F.concat(F.lit("Order:"), "o_orderstatus").alias("state_id"))

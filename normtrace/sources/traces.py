@@ -2,70 +2,33 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtrace.session import settle
 
-ROWS_PER_SLICE = 4_000_000
-MAX_SLICES = 4096
-
 
-def number_steps(
-    events: DataFrame,
-    keys: list[str],
-    order_by: list[str],
-    step: str = "step",
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def number_steps(events: DataFrame, keys: list[str], order_by: list[str], step: str = "step") -> DataFrame:
     """Add the 0-based place of each event within its key.
 
-    A window sorts one key in one task, which is right as long as no key is larger than a slice.
-    Keys above that bound (at most ``rows / rows_per_slice`` of them) are cut along the first order
-    column at equi-depth points; each slice is numbered on its own and shifted by the rows in the
-    slices before it. The numbers are the same either way.
+    The log is sorted by keys and order columns over all partitions, and written once with running
+    numbers. A key may stretch over any number of partitions: its place is the running number, less the
+    first of its partition, plus its events in the partitions before. No task sees more than its share
+    of a hot key, whatever the types of the columns. Nulls come first; null keys are a key like any
+    other; ties keep the order in which they were written, decided by the other columns.
     """
-    total = events.count()
-    plain = Window.partitionBy(*keys).orderBy(*order_by)
-    if total <= rows_per_slice:
-        return events.withColumn(step, F.row_number().over(plain) - 1)
-
-    long_keys = settle(
-        events.groupBy(*keys).count().where(F.col("count") > rows_per_slice).select(*keys), "long-keys")
-    n_long = long_keys.count()
-    if n_long == 0:
-        return events.withColumn(step, F.row_number().over(plain) - 1)
-
-    # At most total / rows_per_slice keys, so this side stays small however large the log is.
-    marked = events.join(
-        F.broadcast(long_keys.withColumn("_long", F.lit(True))), keys, "left"
-    ).withColumn("_at", _as_number(events, order_by[0]))
-    n_slices = min(MAX_SLICES, 2 * math.ceil(total / rows_per_slice))
-    points = marked.where("_long").approxQuantile(
-        "_at", [i / n_slices for i in range(1, n_slices)], 0.5 / n_slices)
-    edges = [-math.inf, *sorted(set(points)), math.inf]
-    sliced = Bucketizer(splits=edges, inputCol="_at", outputCol="_slice").transform(marked)
-    sliced = sliced.withColumn(
-        "_slice", F.when(F.col("_long"), F.col("_slice").cast("int")).otherwise(F.lit(0)))
-
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.where("_long").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order_by)
-    return (
-        sliced.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_slice"], "left")
-        .withColumn(step, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("int"))
-        .drop("_long", "_at", "_slice", "_inside", "_before")
-    )
-
-
-def _as_number(df: DataFrame, column: str):
-    if df.schema[column].dataType.typeName().startswith("timestamp"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+    rest = [f.name for f in events.schema.fields if f.name not in (*keys, *order_by) and f.dataType.typeName() not in ("map", "variant")]
+    tie = [F.xxhash64(*rest)] if rest else []
+    columns = [*map(F.col, keys), *map(F.col, order_by), *tie]
+    sorted_ = events.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    placed = settle(sorted_.withColumn("_at", F.monotonically_increasing_id()), "placed")
+
+    part = F.shiftright("_at", 33)
+    own = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    runs = placed.groupBy(*own, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*[f"_{i}" for i in range(len(keys))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    same = part == F.col("_part")
+    for i, key in enumerate(keys):
+        same &= F.col(key).eqNullSafe(F.col(f"_{i}"))
+    return placed.join(shifts, same).select(*events.columns, (F.col("_at") + F.col("_shift")).cast("int").alias(step))

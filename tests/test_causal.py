@@ -182,7 +182,34 @@ def test_stream_equals_batch_also_out_of_order(spark, tmp_path):
     assert down == {tuple(r)[:3] for r in causal.contaminated(batch).collect()}
 
 
-def test_reach_both_ways(spark):
-    edges, _ = random_case(random.Random(5), cyclic=True)
-    df = spark.createDataFrame(edges, EDGES)
-    assert {tuple(r) for r in graph.close_in_row(df).collect()} == {tuple(r) for r in graph.close_by_joins(df).collect()}
+def closure(edges):
+    """All pairs by walking from every vertex."""
+    out = {}
+    for norm, source, target in edges:
+        if source is not None and target is not None:
+            out.setdefault((norm, source), set()).add(target)
+    found = set()
+    for norm, start in out:
+        open_ = [start]
+        while open_:
+            for end in out.get((norm, open_.pop()), ()):
+                if (norm, start, end) not in found:
+                    found.add((norm, start, end))
+                    open_.append(end)
+    return found
+
+
+def test_reach_equals_walk(spark):
+    for seed, cyclic in ((5, True), (6, False), (7, True)):
+        edges, _ = random_case(random.Random(seed), cyclic=cyclic)
+        edges = [*edges, (0, None, "x"), (0, "x", None), (1, None, None), *edges[:2]]
+        got = [tuple(r) for r in graph.reachability(spark.createDataFrame(edges, EDGES)).collect()]
+        assert set(got) == closure(edges) and len(got) == len(set(got))
+    assert graph.reachability(spark.createDataFrame([], EDGES)).count() == 0
+
+
+def test_reach_of_a_long_chain_beside_small_norms(spark):
+    chain = [(-1, f"v{i:03d}", f"v{i + 1:03d}") for i in range(300)]
+    small = [(n, a, b) for n in range(50) for a, b in (("a", "b"), ("b", "c"), ("c", "a"))]
+    got = graph.reachability(spark.createDataFrame([*chain, *small], EDGES))
+    assert {r["norm_id"]: r["count"] for r in got.groupBy("norm_id").count().collect()} == {-1: 300 * 301 // 2, **{n: 9 for n in range(50)}}

@@ -1,14 +1,16 @@
+import os
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from normtrace import session
 
 
-def stub(folder):
+def stub(folder, master="local[4]"):
     get = lambda key, default=None: folder
     return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(
-        getConf=lambda: SimpleNamespace(get=get), applicationId="app"))
+        getConf=lambda: SimpleNamespace(get=get), applicationId="app", master=master))
 
 
 def test_shared_folder_is_the_clusters_or_a_temporary_one():
@@ -17,6 +19,22 @@ def test_shared_folder_is_the_clusters_or_a_temporary_one():
     assert local == session.shared_folder(stub(None)) and "spark-" in local
 
 
+@pytest.mark.parametrize("master", ["spark://x:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"])
+def test_cluster_without_a_shared_folder_stops(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(stub(None, master))
+    assert session.shared_folder(stub("hdfs://x", master)) == "hdfs://x"
+
+
+def test_intermediate_tables_go_after_use(spark):
+    outside = session.settle(spark.range(5), "outside")
+    with session.intermediate_tables(spark):
+        inside = session.settle(spark.range(7), "inside")
+        path = inside.inputFiles()[0].removeprefix("file:")
+        assert inside.count() == 7 and os.path.exists(path)
+    assert not os.path.exists(path) and outside.count() == 5
+
+
 def test_settle_keeps_rows_and_schema(spark):
     df = spark.range(100).withColumn("x", F.array(F.col("id").cast("string")))
     back = session.settle(df, "t")

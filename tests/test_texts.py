@@ -106,14 +106,27 @@ def test_corpus_csv_graph_and_report(spark, tmp_path):
     assert text.strip() == '{"a":1,"b":null,"c":"é"}'
 
 
-@pytest.mark.parametrize("rows_per_slice", [10_000, 50])
-def test_numbering_of_long_traces_is_the_same(spark, rows_per_slice):
-    events = spark.range(1000).select(
-        F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 40).alias("user"),
-        F.timestamp_seconds((F.col("id") * 7919) % 500).alias("ts"))
-    numbered = number_steps(events, ["user"], ["ts", "event_id"], rows_per_slice=rows_per_slice)
-    got = {r["event_id"]: r["step"] for r in numbered.collect()}
-    groups = {}
-    for r in events.collect():
-        groups.setdefault(r["user"], []).append((r["ts"], r["event_id"]))
-    assert got == {e: i for g in groups.values() for i, (_, e) in enumerate(sorted(g))}
+def numbers_by_hand(rows, order):
+    """Places per key; nulls first."""
+    out = {}
+    for row in sorted(rows, key=lambda r: tuple((r[i] is not None, r[i] if r[i] is not None else 0) for i in order)):
+        out.setdefault(row[0], []).append(row)
+    return {(key, row[-1]): n for key, found in out.items() for n, row in enumerate(found)}
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "double"])
+def test_numbering_of_long_traces(spark, kind):
+    hot = [("hot" if i % 3 else None if i % 2 else f"u{i % 7}", (i * 37) % 101 if i % 11 else None, i) for i in range(2000)]
+    value = {"string": "lpad(x, 5, '0')", "date": "date_add(DATE'2024-01-01', x)", "timestamp": "timestamp_seconds(x)", "double": "CAST(x AS DOUBLE)"}[kind]
+    events = spark.createDataFrame(hot, "user string, x int, id int").selectExpr("user", f"{value} AS at", "id").repartition(5)
+    got = {(r["user"], r["id"]): r["step"] for r in number_steps(events, ["user"], ["at", "id"]).collect()}
+    assert got == numbers_by_hand(hot, (1, 2))
+
+
+def test_numbering_of_ties_and_nothing(spark):
+    same = spark.createDataFrame([(1, "x")] * 500 + [(None, None)] * 300, "k int, at string").repartition(7)
+    got = number_steps(same, ["k"], ["at"]).collect()
+    assert sorted(r["step"] for r in got if r["k"] == 1) == list(range(500))
+    assert sorted(r["step"] for r in got if r["k"] is None) == list(range(300))
+    assert number_steps(same.limit(0), ["k"], ["at"]).count() == 0
+
