@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
 
 
 def loaded() -> dict:
@@ -15,20 +17,18 @@ def loaded() -> dict:
     return sys.__dict__.setdefault("_normtrace_loaded", {})
 
 
-def text_slices(rows: list, texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[list, list]]:
-    """Cut parallel lists of rows and texts so that a slice holds ``limit`` characters or one text.
+def text_slices(keys: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of an Arrow batch as lists, so many at a time as make ``limit`` bytes, or one.
 
     Null texts come out as empty ones.
     """
-    first = held = 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
-        if i > first and held + size > limit:
-            yield rows[first:i], [t or "" for t in texts[first:i]]
-            first, held = i, 0
-        held += size
-    if first < len(texts):
-        yield rows[first:], [t or "" for t in texts[first:]]
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield keys[first:last].to_pylist(), [t or "" for t in texts[first:last].to_pylist()]
+        first = last
 
 
 def record_batch(types: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:

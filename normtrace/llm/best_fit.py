@@ -77,7 +77,7 @@ def measure_pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_bytes(vocabulary)
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in text_slices(batch.column(0), batch.column(1)):
                 out: list[tuple] = []
                 for key, text in zip(keys, texts):
                     ids = encode(text) + last

@@ -127,7 +127,7 @@ def pack_matrices(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABUL
                 made += len(part)
 
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in text_slices(batch.column(0), batch.column(1)):
                 for key, text in zip(keys, texts):
                     wide = np.append(np.frombuffer(encode(text), "<u4"), np.uint32(end))
                     if wide.max() >= 1 << 16:

@@ -220,7 +220,8 @@ def language_of(model: Model | None) -> Callable[[str], Column]:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
             out = []
-            for _, texts in text_slices(series.tolist(), series.tolist()):
+            column = pa.array(series, pa.string())
+            for _, texts in text_slices(column, column):
                 read = [plain_bytes(t) for t in texts]
                 bits = model.code_lengths(read) if model else None
                 for i, text in enumerate(texts):

@@ -93,7 +93,7 @@ class Pieces:
         self.surface = [bytes([value[i]]) if i in value else b"" if processor.is_control(i) else " ⁇ ".encode() if processor.is_unknown(i) else processor.id_to_piece(i).replace(SPACE, " ").encode() for i in range(count)]
         self.longest = max(map(len, self.ids))
         self.begins = {piece[:n] for piece in self.ids for n in range(1, len(piece) + 1)}
-        self.lowest = min(self.scores.values()) - UNKNOWN_PENALTY
+        self.lowest = float(np.float32(min(self.scores.values()) - UNKNOWN_PENALTY))
         spans = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
         self.words = re.compile("(?s:.+)" if spans else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.together: dict[tuple[str, str], bool] = {}
@@ -138,7 +138,7 @@ class Pieces:
                 if piece not in scores and end > start + 1:
                     continue
                 if unigram:
-                    total = reached + scores.get(piece, self.lowest)
+                    total = float(np.float32(reached + scores.get(piece, self.lowest)))  # single precision, as the library sums
                     if end not in ends or total > ends[end][2]:
                         ends[end] = start, piece, total
                 elif end not in ends and self.stay_apart(before, piece):
@@ -217,7 +217,7 @@ def encode_documents(docs: DataFrame, name: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = open_pieces(name)
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in text_slices(batch.column(0), batch.column(1)):
                 yield record_batch({"doc_id": pa.int64(), "ids": pa.binary()}, [(k, pieces.encode(t)) for k, t in zip(keys, texts)])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -241,7 +241,7 @@ def digest_documents(docs: DataFrame, name: str = MODEL) -> DataFrame:
         pieces = open_pieces(name)
         types = {"doc_id": pa.int64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "restored": pa.bool_()}
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in text_slices(batch.column(0), batch.column(1)):
                 coded = [pieces.encode(t) for t in texts]
                 yield record_batch(types, [(k, len(c) // 4, zlib.crc32(c), pieces.decode(c) == t) for k, t, c in zip(keys, texts, coded)])
 

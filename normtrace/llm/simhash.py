@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, texts in text_slices(batch.column(0), batch.column(1)):
                 found = np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found)], ["doc_id", "fp"])
 

@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for marks, texts in text_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for marks, texts in text_slices(batch.column(0), batch.column(1)):
                 out = []
                 for mark, text in zip(marks, texts):
                     words = WORD.findall(text.lower())
