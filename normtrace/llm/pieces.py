@@ -10,8 +10,9 @@ scores. In a BPE model the scores are merge ranks, which no sum can compare; the
 every two neighbours on it stay apart if merged by themselves. Exactly one path has that, and it is the
 result of the merges, so both kinds give the ids of the model's own library.
 
-Paths of such models also meet before every word (a space mark after another character, unless a piece
-spans one), so a text is searched word by word, and words seen before are looked up.
+Paths of a BPE model also meet before every word (a space mark after another character, unless a piece
+spans one), so its texts are searched word by word, and words seen before are looked up. Unigram texts
+are searched as a whole: sums of equal paths differ by rounding, which depends on what was summed before.
 
 Defined results: a null or empty text has no ids; characters outside the model become bytes, or, in a
 model without bytes, one unknown id for each run; repeated rows come out as often as they occur; a null
@@ -34,6 +35,7 @@ from normtrace.llm.batches import loaded, record_batch, text_slices
 
 MODEL = "piece_bpe_32k.model"
 KEEP_WORDS = 400_000
+KEEP_PAIRS = 1_000_000
 KEEP_CHARS = 64
 
 # Fixed values of the model format: the space mark, the model kinds, how unknown characters are scored.
@@ -92,11 +94,12 @@ class Pieces:
         value = {i: b for b, i in self.bytes.items()}
         self.surface = [bytes([value[i]]) if i in value else b"" if processor.is_control(i) else " ⁇ ".encode() if processor.is_unknown(i) else processor.id_to_piece(i).replace(SPACE, " ").encode() for i in range(count)]
         self.longest = max(map(len, self.ids))
-        self.begins = {piece[:n] for piece in self.ids for n in range(1, len(piece) + 1)}
+        self.begins = {piece[:n]: False for piece in self.ids for n in range(1, len(piece))} | dict.fromkeys(self.ids, True)
         self.lowest = float(np.float32(min(self.scores.values()) - UNKNOWN_PENALTY))
-        spans = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
-        self.words = re.compile("(?s:.+)" if spans else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.together: dict[tuple[str, str], bool] = {}
+        whole = self.kind == UNIGRAM or any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
+        self.words = re.compile("(?s:.+)" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.together: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.seen: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -112,60 +115,67 @@ class Pieces:
                 return parts
             parts[place:place + 2] = [parts[place] + parts[place + 1]]
 
-    def stay_apart(self, before: str, piece: str) -> bool:
+    def stays(self, before: str, piece: str) -> bool:
         """Whether two pieces (or nothing and a piece) come out of the merges as they are."""
-        known = self.together.get((before, piece))
-        if known is None:
-            if len(self.together) > KEEP_WORDS:
-                self.together.clear()
-            known = self.merged(before + piece) == ([before, piece] if before else [piece])
-            self.together[before, piece] = known
-        return known
+        if self.pairs > KEEP_PAIRS:
+            self.together.clear()
+            self.pairs = 0
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.together.setdefault(before, {})[piece] = found
+        self.pairs += 1
+        return found
 
     def search(self, text: str) -> Iterator[str]:
-        """Pieces of a normalized text, handed out as soon as they are final."""
-        ends: dict[int, tuple[int, str, float]] = {0: (0, "", 0.0)}
-        unigram, scores, begins, longest = self.kind == UNIGRAM, self.scores, self.begins, self.longest
-        done = 0
-        for start in range(len(text)):
-            if start not in ends:
+        """Pieces of a normalized text, handed out as soon as they are final.
+
+        ``last`` has for every position in reach the last piece of the best way to end there.
+        """
+        unigram, begins, longest, together = self.kind == UNIGRAM, self.begins, self.longest, self.together
+        last, sums = {0: ""}, {0: 0.0}
+        size, done = len(text), 0
+        for start in range(size):
+            before = last.get(start)
+            if before is None:
                 continue
-            _, before, reached = ends[start]
-            for end in range(start + 1, min(start + longest, len(text)) + 1):
+            tried = together.get(before) or {}
+            for end in range(start + 1, min(start + longest, size) + 1):
                 piece = text[start:end]
-                if piece not in begins and end > start + 1:
+                whole = begins.get(piece)  # true for a piece, false for the beginning of one
+                if whole or end == start + 1:
+                    if unigram:  # sums in single precision, as the library forms them
+                        total = float(np.float32(sums[start] + self.scores.get(piece, self.lowest)))
+                        if end not in last or total > sums[end]:
+                            last[end], sums[end] = piece, total
+                    elif end not in last:
+                        stays = tried.get(piece)
+                        if self.stays(before, piece) if stays is None else stays:
+                            last[end] = piece
+                if whole is None:
                     break
-                if piece not in scores and end > start + 1:
-                    continue
-                if unigram:
-                    total = float(np.float32(reached + scores.get(piece, self.lowest)))  # single precision, as the library sums
-                    if end not in ends or total > ends[end][2]:
-                        ends[end] = start, piece, total
-                elif end not in ends and self.stay_apart(before, piece):
-                    ends[end] = start, piece, 0.0
             if start - done >= 4 * longest and start % longest == 0:
-                meet = self._meet(ends, start, done)
-                yield from self._path(ends, meet, done)
+                meet = self._meet(last, start, done)
+                yield from self._path(last, meet, done)
                 for gone in range(done, meet):
-                    ends.pop(gone, None)
+                    last.pop(gone, None)
+                    sums.pop(gone, None)
                 done = meet
-        yield from self._path(ends, len(text), done)
+        yield from self._path(last, size, done)
 
-    def _meet(self, ends: dict, at: int, done: int) -> int:
+    def _meet(self, last: dict[int, str], at: int, done: int) -> int:
         """The last boundary that the paths of all positions still in reach have in common."""
-        open_ = {i for i in range(at + 1, at + self.longest + 1) if i in ends}
+        open_ = {i for i in range(at + 1, at + self.longest + 1) if i in last}
         while len(open_) > 1 or max(open_) > at:
-            last = max(open_)
-            open_.remove(last)
-            open_.add(max(ends[last][0], done))
+            latest = max(open_)
+            open_.remove(latest)
+            open_.add(max(latest - len(last[latest]), done))
         return open_.pop()
 
     @staticmethod
-    def _path(ends: dict, at: int, done: int) -> list[str]:
+    def _path(last: dict[int, str], at: int, done: int) -> list[str]:
         out = []
         while at > done:
-            at, piece, _ = ends[at]
-            out.append(piece)
+            out.append(last[at])
+            at -= len(last[at])
         return out[::-1]
 
     def numbers(self, pieces: Iterator[str]) -> Iterator[int]:

@@ -60,10 +60,10 @@ def test_search_keeps_a_bounded_window(bpe):
     model, most = bpe[0], 0
 
     class Watched(pieces.Pieces):
-        def _meet(self, ends, at, done):
+        def _meet(self, last, at, done):
             nonlocal most
-            most = max(most, len(ends))
-            return super()._meet(ends, at, done)
+            most = max(most, len(last))
+            return super()._meet(last, at, done)
 
     watched = Watched.__new__(Watched)
     watched.__dict__ = model.__dict__
