@@ -6,9 +6,10 @@ before continues its block, so adjacent turns of a role share one header. A bloc
     ### role: text</turn>text</turn>
 
 and ends with a line break. In roles and texts a backslash is doubled, and the marks are broken by
-backslashes (``###`` as ``\\#\\#\\#``, ``</turn>`` as ``<\\/turn>``, a colon of a role as ``\\:``), so no
-text can hold a mark, and dropping each backslash before a character restores every text. The output is a list of segments and a parallel
-list of flags that tells which of them the loss covers: the texts of the assistant, nothing else.
+backslashes (``###`` as ``\\#\\#\\#``, ``</turn>`` as ``<\\/turn>``, the end of a role as ``:\\ ``), so no
+text can hold a mark, and dropping each backslash before a character restores every text. The output
+is a list of segments and a parallel list of flags that tells which of them the loss covers: the texts
+of the assistant, nothing else.
 
 Defined results: a null text or role is empty; a null turn sorts first, equal turns by role, then
 text; repeated rows are turns of their own; a null conv_id is one conversation; an empty table gives
@@ -29,7 +30,7 @@ TRAINED = "assistant"
 
 def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("###"), F.lit("\\#\\#\\#")), F.lit(TURN_END), F.lit("<\\/turn>"))
-    return F.replace(out, F.lit(":"), F.lit("\\:")) if role else out
+    return F.replace(out, F.lit(ROLE_END), F.lit(":\\ ")) if role else out
 
 
 def unescape(text: Column) -> Column:
@@ -58,7 +59,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     blocks = F.slice(F.split("formatted", F.lit(HEAD)), 2, F.greatest(F.size(F.split("formatted", F.lit(HEAD))) - 1, F.lit(0)))
 
     def turns(block: Column) -> Column:
-        role = F.substring_index(block, ROLE_END, 1)  # colons of a role are escaped, so the first one ends it
+        role = F.substring_index(block, ROLE_END, 1)
         texts = F.split(F.substr(block, F.length(role) + len(ROLE_END) + 1), F.lit(TURN_END))
         return F.transform(F.slice(texts, 1, F.size(texts) - 1), lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
 
