@@ -135,9 +135,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     """
     high, low = _half_counts(F.col("fp"))
     cells = distinct.groupBy(high.alias("h"), low.alias("l")).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("cuts"))
-    other = cells.select(F.col("h").alias("h2"), F.col("l").alias("l2"), F.col("cuts").alias("cuts2"))
-    near = cells.join(other, F.abs(F.col("h") - F.col("h2")) + F.abs(F.col("l") - F.col("l2")) <= radius)
-    plan = near.groupBy("h", "l", "cuts").agg(F.collect_list(F.struct("h2", "l2", "cuts2")).alias("others"))
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("step")
+    near = cells.select("h", "l", "cuts", step).select("h", "l", "cuts", (F.col("h") + F.col("step.i")).alias("h2"), (F.col("l") + F.col("step.j")).alias("l2"))
+    plan = (near.join(cells.select(F.col("h").alias("h2"), F.col("l").alias("l2"), F.col("cuts").alias("cuts2")), ["h2", "l2"])
+            .groupBy("h", "l", "cuts").agg(F.collect_list(F.struct("h2", "l2", "cuts2")).alias("others")))
     tile = lambda h, l, cut: F.concat_ws(".", h, l, cut)
     placed = (distinct.withColumns({"h": high, "l": low})
               .join(F.broadcast(plan), ["h", "l"])

@@ -1,12 +1,12 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-A text has the features of its distinct words: the word and its beginnings of 3 to 6 characters,
-present or not. One weight vector serves all ordered thresholds: P(grade > k) = s(w.x - t_k), s the
+A text has the features of its distinct words: the word, and for beginnings of 3 to 6 characters whether
+one, two or three different words have them. One weight vector serves all ordered thresholds: P(grade > k) = s(w.x - t_k), s the
 logistic function, t_1 < t_2 < ... The expected grade, the sum of these probabilities, is the severity.
 
-The labels only tell toxic from clean, so grades are drawn from the evidence: a feature tied to the
-toxic label counts as evidence, a clean text has grade 0, and toxic texts are graded 1 to 3 by thirds
-of the number of words with evidence. The fit uses a bounded sample of labelled rows (``SAMPLE_ROWS``,
+Features that mostly come with the toxic label, well beyond chance, are chosen. The labels only tell
+toxic from clean, so grades are drawn from these features: a clean text has grade 0, and toxic texts
+are graded 1 to 3 by thirds of the number of words that have one. The fit uses a bounded sample of labelled rows (``SAMPLE_ROWS``,
 those with the lowest hashes of doc_id), near copies in it counted once; scoring reads whole texts.
 
 Defined results: a null text has no features; repeated rows are scored as often as they occur; of
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,12 +35,14 @@ SAMPLE_ROWS = 6000
 GRADES = 4
 MOST_FEATURES = 4096
 LEAST_TIE = 8.0
+LEAST_SHARE = 0.8
 ROUNDS = 1500
 RATE = 0.05
 RIDGE = 1e-5
-REJECT = 0.3
+REJECT = 0.5
 BEGINNINGS = (3, 4, 5, 6)
 COPY_WORDS = 5
+LEVELS = (1, 2, 3)
 
 WORD = re.compile(r"\w+")
 
@@ -68,22 +71,25 @@ class Model:
 
     def scorer(self):
         """Weighted sum of the features of a text; words are looked up once."""
-        weights = self.weights
+        levels: dict[str, list[tuple[int, float]]] = {}
+        for feature, weight in sorted(self.weights.items()):
+            base, _, level = feature.rpartition("@")
+            levels.setdefault(base, []).append((int(level), weight))
         seen: dict[str, tuple[str, ...]] = {}
 
         def score(text: str) -> float:
             if len(seen) > 200_000:
                 seen.clear()
-            present: set[str] = set()
+            words: dict[str, int] = {}
             for word in set(WORD.findall(text.lower())):
                 known = seen.get(word)
                 if known is None:
-                    known = tuple(f for f in word_features(word) if f in weights)
+                    known = tuple(f for f in word_features(word) if f in levels)
                     if len(word) < 64:
                         seen[word] = known
-                if known:
-                    present.update(known)
-            return sum(weights[f] for f in sorted(present))
+                for f in known:
+                    words[f] = words.get(f, 0) + 1
+            return sum(weight for f in sorted(words) for level, weight in levels[f] if words[f] >= level)
 
         return score
 
@@ -147,15 +153,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return Model()
     rate = size.toxic / size.n
     tie = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    present = numbered.distinct()
+    level = F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda k: k <= F.col("words")))
+    leveled = numbered.groupBy("copy", "toxic", "feature").agg(F.count("*").alias("words")).withColumn("level", level)
+    present = leveled.select("toxic", F.concat("feature", F.lit("@"), "level").alias("feature"))
     ties = (present.groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).withColumn("tie", tie)
-            .where(F.col("tie") >= LEAST_TIE).orderBy(F.desc("tie"), "feature").limit(MOST_FEATURES).collect())
+            .where((F.col("tie") >= LEAST_TIE) & (F.col("t") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("tie"), "feature").limit(MOST_FEATURES).collect())
     if not ties:
         return Model()
-    evidence = {r.feature for r in ties if r.t >= 0.9 * r.n}
     place = {r.feature: i for i, r in enumerate(ties)}
     rows, columns, marks, hits = [], [], [], []
-    for i, doc in enumerate(_evidence(texts, place, evidence)):
+    for i, doc in enumerate(_evidence(texts, place)):
         marks.append(doc["toxic"])
         hits.append(doc["hits"])
         rows += [i] * len(doc["present"])
@@ -167,15 +174,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Model({f: float(w[i]) for f, i in place.items()}, tuple(float(x) for x in t))
 
 
-def _evidence(texts: DataFrame, place: dict[str, int], evidence: set[str]) -> list[dict]:
-    """Of every sampled text, in a fixed order: its label, chosen features and words with evidence."""
+def _evidence(texts: DataFrame, place: dict[str, int]) -> list[dict]:
+    """Of every sampled text, in a fixed order: its label, chosen features and words that have one."""
+    bases = {feature.rpartition("@")[0] for feature in place}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for copy, toxic, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                each = [[f for f in word_features(word) if f in place] for word in words]
-                out.append((copy, toxic, sorted({place[f] for fs in each for f in fs}), sum(any(f in evidence for f in fs) for fs in each)))
+                each = [[f for f in word_features(word) if f in bases] for word in words]
+                count = Counter(f for fs in each for f in fs)
+                present = {place[x] for f, n in count.items() for k in LEVELS if k <= n and (x := f"{f}@{k}") in place}
+                out.append((copy, toxic, sorted(present), sum(map(bool, each))))
             yield record_batch({"copy": pa.int64(), "toxic": pa.int32(), "present": pa.list_(pa.int32()), "hits": pa.int32()}, out)
 
     found = texts.select("copy", "toxic", "words").mapInArrow(read, "copy long, toxic int, present array<int>, hits int")

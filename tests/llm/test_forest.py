@@ -18,13 +18,12 @@ def plain_search(rows, nearest=10):
     out = {}
     for q, a in good:
         if q % 100 == 0:
-            best = {}
+            best = out.setdefault(q, {})
             for i, b in good:
                 if i != q and len(a) == len(b):
                     d = math.sqrt(((a - b) ** 2).sum())
                     best[i] = min(best.get(i, d), d)
-            out.setdefault(q, []).extend((d, i) for i, d in best.items())
-    return {q: sorted(found)[:nearest] for q, found in out.items()}
+    return {q: sorted((d, i) for i, d in best.items())[:nearest] for q, best in out.items()}
 
 
 def test_recall_and_scores(spark):
