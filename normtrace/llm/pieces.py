@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from normtrace.llm.batches import loaded, record_batch, text_slices
 
 MODEL = "piece_bpe_32k.model"
-KEEP_WORDS = 400_000
+KEEP_WORDS = 800_000
 KEEP_PAIRS = 1_000_000
 KEEP_CHARS = 64
 
@@ -88,6 +88,7 @@ class Pieces:
         self.kind = model_kind(serialized)
         count = processor.get_piece_size()
         self.ids = {processor.id_to_piece(i): i for i in range(count) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i))}
+        self.packed = {piece: array("I", [i]).tobytes() for piece, i in self.ids.items()}
         self.scores = {piece: processor.get_score(i) for piece, i in self.ids.items()}
         self.unknown = processor.unk_id()
         self.bytes = {int(processor.id_to_piece(i)[3:5], 16): i for i in range(count) if processor.is_byte(i)}
@@ -137,7 +138,7 @@ class Pieces:
             before = last.get(start)
             if before is None:
                 continue
-            tried = together.get(before) or {}
+            stays = together.get(before) or {}
             for end in range(start + 1, min(start + longest, size) + 1):
                 piece = text[start:end]
                 whole = begins.get(piece)  # true for a piece, false for the beginning of one
@@ -147,8 +148,8 @@ class Pieces:
                         if end not in last or total > sums[end]:
                             last[end], sums[end] = piece, total
                     elif end not in last:
-                        stays = tried.get(piece)
-                        if self.stays(before, piece) if stays is None else stays:
+                        good = stays.get(piece)
+                        if good or good is None and self.stays(before, piece):
                             last[end] = piece
                 if whole is None:
                     break
@@ -178,7 +179,7 @@ class Pieces:
             at -= len(last[at])
         return out[::-1]
 
-    def numbers(self, pieces: Iterator[str]) -> Iterator[int]:
+    def numbers(self, pieces: Iterable[str]) -> Iterator[int]:
         run = False
         for piece in pieces:
             known = self.ids.get(piece)
@@ -194,16 +195,23 @@ class Pieces:
         """Ids of a text, packed as little-endian unsigned 32-bit numbers."""
         if len(self.seen) > KEEP_WORDS:
             self.seen.clear()
-        seen, out = self.seen, []
-        for word in self.words.findall(self.normalize(text)):
-            ids = seen.get(word)
+        seen, words = self.seen, self.words.findall(self.normalize(text))
+        out = [seen.get(word) for word in words]
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = array("I", self.numbers(self.search(word))).tobytes()
+                word = words[i]
+                out[i] = ids = seen.get(word) or self.ids_of(word)
                 if len(word) <= KEEP_CHARS:
                     seen[word] = ids
-            out.append(ids)
         return b"".join(out)
 
+    def ids_of(self, word: str) -> bytes:
+        pieces = list(self.search(word))
+        try:
+            return b"".join([self.packed[piece] for piece in pieces])
+        except KeyError:  # characters outside the model
+            return array("I", self.numbers(pieces)).tobytes()
+
     def decode(self, packed: bytes) -> str:
         """The normalized text of packed ids."""
         raw = b"".join(map(self.surface.__getitem__, np.frombuffer(packed, "<u4").tolist()))
