@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ EXTRACTION_FAILURE_PREFIX = "Erreur d'extraction : "
 RATE_LIMIT_MARK = "429"
 MAX_TRIES = 3
 PAUSE_SECONDS = 5.0
+AT_ONCE = 8
+STAYED_LIMITED = "rate-limited to the end"
 EMPTY_REPORT = "Error: The model returned an empty or malformed audit report."
 
 METRICS = (
@@ -27,61 +30,104 @@ METRICS = (
 METRIC_NAMES = [part.split()[0] for part in METRICS.split(", ")]
 
 # A model takes a prompt and gives {"text", "prompt_tokens", "completion_tokens", "total_tokens",
-# "finish_reason"}; a loader makes one, once per worker stream.
+# "finish_reason"}. One that has a method ``batch`` takes a list of prompts instead and gives a list of
+# such answers, or exceptions, in order. A loader makes a model, once per worker stream.
 Model = Callable[[str], dict]
 Loader = Callable[[], Model]
 
 
-def _call(model: Model, prompt: str) -> dict:
-    began = time.monotonic()
+def _row(answer: dict | Exception, seconds: float) -> dict:
+    """The metrics of a call; a failing one is a row with its error."""
     try:
-        answer = model(prompt)
+        if isinstance(answer, Exception):
+            raise answer
         row = {name: answer.get(name) for name in METRIC_NAMES}
         row["text"] = answer["text"].strip()
         row["status"] = SUCCESS
-    except Exception as problem:  # a failing call is a row with its error
+    except Exception as problem:
         row = dict.fromkeys(METRIC_NAMES)
         row["status"] = f"{FAILURE_PREFIX}{problem}"
-    row["latency_s"] = round(time.monotonic() - began, 2)
+    row["latency_s"] = round(seconds, 2)
     return row
 
 
-def _call_with_retries(model: Model, prompt: str, tries: int, pause: float) -> dict:
-    for attempt in range(tries):
-        row = _call(model, prompt)
-        if RATE_LIMIT_MARK not in row["status"] or row["status"] == SUCCESS:
-            return row
-        if attempt + 1 < tries:
-            time.sleep(pause)
-    return dict.fromkeys(METRIC_NAMES)  # rate-limited to the end: nothing to record
+def _call(model: Model, prompt: str) -> dict:
+    began = time.monotonic()
+    try:
+        answer = model(prompt)
+    except Exception as problem:
+        answer = problem
+    return _row(answer, time.monotonic() - began)
+
+
+def _call_all(model: Model, prompts: list[str], pool: ThreadPoolExecutor) -> list[dict]:
+    """One row per prompt, in order: a list at once where the model can, else several calls at a time."""
+    if not hasattr(model, "batch"):
+        return list(pool.map(lambda p: _call(model, p), prompts))
+    began = time.monotonic()
+    try:
+        answers = list(model.batch(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+    except Exception as problem:
+        answers = [problem] * len(prompts)
+    return [_row(a, time.monotonic() - began) for a in answers]
+
+
+def _limited(row: dict) -> bool:
+    return row["status"] != SUCCESS and RATE_LIMIT_MARK in row["status"]
+
+
+def _call_with_retries(model: Model, prompts: list[str], pool: ThreadPoolExecutor, tries: int, pause: float) -> list[dict]:
+    rows = _call_all(model, prompts, pool)
+    for _ in range(1, tries):
+        again = [i for i, row in enumerate(rows) if _limited(row)]
+        if not again:
+            break
+        time.sleep(pause)
+        for i, row in zip(again, _call_all(model, [prompts[i] for i in again], pool)):
+            rows[i] = row
+    if tries > 1:  # rate-limited to the end: nothing to record
+        rows = [dict.fromkeys(METRIC_NAMES) if _limited(row) else row for row in rows]
+    return rows
 
 
 def generate(
     df: DataFrame, prompt: str, loader: Loader, tries: int = 1, pause: float = PAUSE_SECONDS,
-    out: str = "generation",
+    out: str = "generation", at_once: int = AT_ONCE,
 ) -> DataFrame:
     """Add a struct with the answer and its metrics; only the prompt column goes to Python.
 
-    With ``tries`` above 1 a rate-limited call is repeated after a pause; a row that stays
-    rate-limited has a null status, and :func:`upsert` then keeps what was known before.
+    A model of single prompts gets up to ``at_once`` calls at a time per worker, so it must bear that;
+    a null prompt is not asked and has null metrics. With ``tries`` above 1 rate-limited calls are
+    repeated after a pause; a row that stays rate-limited has a null status, and :func:`upsert` then
+    keeps what was known before.
     """
     @F.pandas_udf(METRICS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loader()
-        for batch in batches:
-            rows = [
-                _call(model, p) if tries == 1 else _call_with_retries(model, p, tries, pause)
-                for p in batch.tolist()
-            ]
-            frame = pd.DataFrame(rows, columns=METRIC_NAMES)
-            for name in ("prompt_tokens", "completion_tokens", "total_tokens"):
-                frame[name] = frame[name].astype("Int32")
-            yield frame
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                asked = batch.notna()
+                rows = [dict.fromkeys(METRIC_NAMES)] * len(batch)
+                for i, row in zip(asked.to_numpy().nonzero()[0], _call_with_retries(model, batch[asked].tolist(), pool, tries, pause)):
+                    rows[i] = row
+                frame = pd.DataFrame(rows, columns=METRIC_NAMES)
+                for name in ("prompt_tokens", "completion_tokens", "total_tokens"):
+                    frame[name] = frame[name].astype("Int32")
+                yield frame
 
     # Non-deterministic, so that the optimizer never calls the model twice for one row.
     return df.withColumn(out, run.asNondeterministic()(F.col(prompt)))
 
 
+def failure(generation: str) -> Column:
+    """Why a call failed: its error, or that it stayed rate-limited; null for a success."""
+    status = F.col(f"{generation}.status")
+    error = F.substr(status, F.lit(len(FAILURE_PREFIX) + 1))
+    return F.when(status.isNull(), F.lit(STAYED_LIMITED)).when(status != SUCCESS, error)
+
+
 def generate_flat(df: DataFrame, prompt: str, loader: Loader, **options) -> DataFrame:
     """Like :func:`generate`, with the metrics as columns (``text`` is the answer)."""
     done = generate(df, prompt, loader, out="_g", **options)
@@ -93,27 +139,18 @@ def extract_triplets(df: DataFrame, text: str, loader: Loader, prompt: Column |
                      out: str = "extraction") -> DataFrame:
     """Extraction text per row; a blank text gives the sentinel, a failing call its error text."""
     asked = df.withColumn("_p", F.when(~is_blank(F.col(text)), F.col(text) if prompt is None else prompt))
-    done = generate(asked, "_p", _skip_null(loader), out="_g")
-    error = F.expr(f"substr(_g.status, {len(FAILURE_PREFIX) + 1})")
+    done = generate(asked, "_p", loader, out="_g")
     value = (
         F.when(F.col("_p").isNull(), F.lit(NO_TEXT))
         .when(F.col("_g.status") == SUCCESS, F.col("_g.text"))
-        .otherwise(F.concat(F.lit(EXTRACTION_FAILURE_PREFIX), error))
+        .otherwise(F.concat(F.lit(EXTRACTION_FAILURE_PREFIX), failure("_g")))
     )
     return done.withColumn(out, value).drop("_p", "_g")
 
 
-def _skip_null(loader: Loader) -> Loader:
-    def load() -> Model:
-        model = loader()
-        return lambda prompt: {"text": ""} if prompt is None else model(prompt)
-
-    return load
-
-
-def explain(df: DataFrame, prompt: str, loader: Loader, out: str = "explanation") -> DataFrame:
+def explain(df: DataFrame, prompt: str, loader: Loader, out: str = "explanation", **options) -> DataFrame:
     """Report text per row; a failed or empty answer gives a fixed sentence."""
-    done = generate(df, prompt, loader, out="_g")
+    done = generate(df, prompt, loader, out="_g", **options)
     text = F.nullif(F.col("_g.text"), F.lit(""))
     return done.withColumn(out, strip(F.coalesce(text, F.lit(EMPTY_REPORT)))).drop("_g")
 

@@ -72,14 +72,13 @@ def audit_report(results: DataFrame, norms: DataFrame) -> DataFrame:
 
 
 def report_documents(
-    results: DataFrame, norms: DataFrame, scenarios_per_document: int = 10_000,
-    execution_time_seconds: float | None = None,
+    results: DataFrame, norms: DataFrame, execution_time_seconds: float | None = None, nested: bool = False,
 ) -> DataFrame:
-    """Nested report objects, ready for the JSON writer: one per norm.
+    """Report objects, ready for the JSON writer: one per scenario, each with the header of its norm.
 
-    A norm with more scenarios than a document may hold gets several, told apart by ``part``; every
-    scenario is in exactly one. ``results`` needs ``scenario_pos`` and may carry ``scenario``,
-    ``intent_F`` and ``explanation``.
+    ``nested`` makes one object per norm with all its scenarios in order instead, which then have to
+    fit in a row. ``results`` needs ``scenario_pos`` and may carry ``scenario``, ``intent_F`` and
+    ``explanation``.
     """
     def col(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in results.columns else F.lit(None).cast(kind)
@@ -90,14 +89,15 @@ def report_documents(
         F.col("score"), col("intent_F").alias("intent_F"), F.col("violations"), F.col("contaminated_states"),
         F.coalesce(col("explanation"), F.lit("")).alias("explanation"),
     )
-    part = F.floor((F.col("scenario_pos") - 1) / F.lit(scenarios_per_document)).cast("int")
-    documents = results.groupBy("norm_id", part.alias("part")).agg(
-        F.sort_array(F.collect_list(entry)).alias("_scenarios"))
+    if nested:
+        documents = results.groupBy("norm_id").agg(F.sort_array(F.collect_list(entry)).alias("_scenarios"))
+    else:
+        documents = results.select("norm_id", F.array(entry).alias("_scenarios"))
     means = average_score(results).select("norm_id", "average_score")
     return (
         documents.join(norms, "norm_id", "left").join(means, "norm_id", "left")
         .select(
-            "norm_id", "part",
+            "norm_id",
             F.lit(execution_time_seconds).cast("double").alias("execution_time_seconds"),
             "average_score",
             F.struct("intent_T", "nb_states", "nb_edges").alias("normative_reference"),

@@ -449,3 +449,14 @@ ORACLES["process_graph_flows"] = """SELECT o_orderkey AS file_index, CAST(i AS I
        o_orderkey || '-' || (i + 1) AS tgt,
        CASE WHEN i < 2 THEN '' WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'No' END AS condition
 FROM orders CROSS JOIN range(3) AS r(i)"""
+# Fails on MACHINERY; request before country in BUILDING, else country is tried first and contaminated.
+ORACLES["csv_audit_report"] = """SELECT c_custkey || '#m' AS norm_id, CASE WHEN fails THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.5 END::DOUBLE AS average_score,
+       CASE WHEN NOT fails THEN 'open' ELSE 'EXTRACTION_FAILED' END AS intent_T, 2::BIGINT AS nb_edges, 'Scenario 1: main' AS scenario,
+       CASE WHEN fails THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.5 END::DOUBLE AS score, CASE WHEN NOT fails THEN 'open' END AS intent_F,
+       CASE WHEN fails OR c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS n_violations, CASE WHEN fails OR c_mktsegment = 'BUILDING' THEN 0 ELSE 2 END AS n_contaminated,
+       CASE WHEN fails THEN '' WHEN c_mktsegment = 'BUILDING' THEN '0 problems' ELSE '1 problems' END AS explanation
+FROM (SELECT *, c_mktsegment = 'MACHINERY' AS fails FROM customer)"""
+ORACLES["batched_generations"] = r"""SELECT min(doc_id) AS doc_id, 'Succès' AS status, length(text) || ':' || regexp_replace(left(text, 3), '\s+$', '') AS answer FROM documents GROUP BY text"""
+ORACLES["timed_calls"] = """SELECT page_id, url AS answer, true AS timed FROM pages"""
+ORACLES["corpus_file_status"] = """SELECT 'lang=' || lang AS folder, CASE WHEN doc_id % 10 = 0 THEN 'not UTF-8' ELSE 'read' END AS status, count(*) AS n_files
+FROM documents GROUP BY ALL"""

@@ -6,6 +6,8 @@ Array results are joined to text at the end, so that they compare as plain value
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from time import sleep
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -595,6 +597,77 @@ def whole_audit(spark, sf):
                          "n_validated", F.size("violations").alias("n_violations"), "explanation")
 
 
+def _limited(answer: str, failing: str = "", refusals: int = 2):
+    """Loader of a stand-in that refuses each prompt so often before it answers; one that holds ``failing`` never works."""
+    def load():
+        asked = {}
+
+        def model(prompt):
+            asked[prompt] = asked.get(prompt, 0) + 1
+            if failing and failing in prompt:
+                raise ValueError("model down")
+            if asked[prompt] <= refusals:
+                raise ValueError("429 too many requests")
+            return {"text": answer}
+
+        return model
+
+    return load
+
+
+@query
+def csv_audit_report(spark, sf):
+    """From a CSV of texts and extractions to report objects; models refuse twice, and fail on one segment."""
+    fact = lambda a, b: f"1. (customer, {a}, {b})\n"
+    request, country = fact("request", "sent"), fact("country", "selected")
+    segment = F.col("c_mktsegment")
+    steps = F.when(segment == "BUILDING", request + country).otherwise(country + request)
+    wide = fx.table(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit('Norm of "'), segment, F.lit('",\ncustomer '), F.col("c_custkey").cast("string")).alias("texte_reformule_m"),
+        F.concat(F.lit("Scenario 1: main\n"), steps).alias("texte_reformule_m_extr_llama_3_3_70b"))
+    path = fresh_path(spark, "extractions")
+    cp.write_table(wide, path)
+    models_ = replace(_audit_models(), intent=_limited('{"intent": "open"}', failing="MACHINERY"))
+    report = cf.audit_table(spread(cp.read_table(spark, path, wide.schema)), ["c_custkey"], models_, graph.default_entity_rank(spark), calls=cf.Calls(pause=0.0))
+    return report.select("norm_id", "average_score", "normative_reference.intent_T", "normative_reference.nb_edges", F.inline("scenarios")).select(
+        "norm_id", "average_score", "intent_T", "nb_edges", "scenario", "score", "intent_F", F.size("violations").alias("n_violations"),
+        F.size("contaminated_states").alias("n_contaminated"), "explanation")
+
+
+@query
+def batched_generations(spark, sf):
+    """A model that takes lists of prompts: whole texts, some of which it refuses twice, each answer at its place."""
+    class Lists:
+        def __init__(self):
+            self.refused = {}
+
+        def batch(self, prompts):
+            out = []
+            for p in prompts:
+                self.refused[p] = self.refused.get(p, 0) + 1
+                out.append(ValueError("429") if len(p) % 3 == 0 and self.refused[p] <= 2 else {"text": f"{len(p)}:{p[:3]}"})
+            return out
+
+    docs = spread(fx.table(spark, sf, "documents")).select("doc_id", "text").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    done = models.generate(docs, "text", lambda: Lists(), tries=3, pause=0.0)
+    return done.select("doc_id", "generation.status", F.col("generation.text").alias("answer"))
+
+
+@query
+def timed_calls(spark, sf):
+    """Latency of a model that takes a while, on every page address."""
+    def slow():
+        def model(prompt):
+            sleep(0.02)
+            return {"text": prompt}
+
+        return model
+
+    pages = spread(fx.table(spark, sf, "pages")).select("page_id", F.col("url").alias("prompt"))
+    timed = F.col("generation.latency_s").between(0.02, 5.0)
+    return models.generate(pages, "prompt", slow).select("page_id", F.col("generation.text").alias("answer"), timed.alias("timed"))
+
+
 def _attempts(spark, sf):
     """First attempts: one per order, successful, failed or never recorded by its status."""
     done = F.col("o_orderstatus") == "F"
@@ -690,6 +763,16 @@ def text_corpus_scan(spark, sf):
     return cp.read_corpus(spark, path).select(F.split_part("source", F.lit("/"), F.lit(1)).alias("folder"), "text")
 
 
+@query
+def corpus_file_status(spark, sf):
+    """One file per document, every tenth no UTF-8: what became of each file on reading."""
+    path = fresh_path(spark, "corpus")
+    odd = F.when(F.col("doc_id") % 10 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    docs = spread(fx.table(spark, sf, "documents")).select("lang", F.concat("text", odd).alias("value"))
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path)
+    return cp.file_status(spark, path).groupBy(F.split_part("source", F.lit("/"), F.lit(1)).alias("folder"), "status").agg(F.count("*").alias("n_files"))
+
+
 @query
 def csv_round_trip(spark, sf):
     path = fresh_path(spark, "csv")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,27 +17,42 @@ PROCESS_GRAPH = (
 )
 
 
+READ, NOT_UTF8, FAILED = "read", "not UTF-8", "failed"
+
+
 def read_corpus(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """``source, text`` of every text file under ``root``: ``parentfolder/file`` and stripped content.
 
-    One row per file however deep it lies; files that are no UTF-8 are left out.
+    One row per file however deep it lies; files that are no UTF-8 are left out (:func:`file_status`
+    tells which). A file that cannot be read at all stops the job.
     """
-    return _read_files(spark, root, glob).where(F.is_valid_utf8("value")).select("source", strip(F.col("value")).alias("text"))
+    files = _files(spark.read.option("wholetext", True), "text", root, glob)
+    return files.where(F.is_valid_utf8("value")).select(_source(), strip(F.col("value")).alias("text"))
+
+
+def file_status(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
+    """``source, status`` of every file listed under ``root``: read, not UTF-8, or failed on reading."""
+    path = F.col("_metadata.file_path").alias("_path")
+    listed = _files(spark.read, "binaryFile", root, glob).select(path, _source())
+    tried = _files(spark.read.option("wholetext", True).option("ignoreCorruptFiles", True), "text", root, glob)
+    opened = tried.select(path, F.is_valid_utf8("value").alias("_valid"))
+    status = F.when(F.col("_valid").isNull(), FAILED).when(F.col("_valid"), READ).otherwise(NOT_UTF8)
+    return listed.join(opened, "_path", "left").select("source", status.alias("status"))
 
 
 def unreadable_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """``source`` of the files that :func:`read_corpus` leaves out because they are no UTF-8."""
-    return _read_files(spark, root, glob).where(~F.is_valid_utf8("value")).select("source")
+    """The files that give no text, with the reason."""
+    return file_status(spark, root, glob).where(F.col("status") != READ)
+
+
+def _files(reader: DataFrameReader, kind: str, root: str, glob: str) -> DataFrame:
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format(kind).load(root)
 
 
-def _read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    files = (
-        spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).text(root, wholetext=True)
-    )
+def _source() -> Column:
     path = F.split(F.col("_metadata.file_path"), "/")
     name = F.concat_ws("/", F.element_at(path, -2), F.element_at(path, -1))
-    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source"), "value")
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

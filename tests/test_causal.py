@@ -145,11 +145,12 @@ def test_report(spark):
     assert (rows["two"]["score"], rows["two"]["n_validated"], rows["two"]["violations"]) == (1.0, 2, [])
     assert (rows["three"]["score"], rows["three"]["evaluated"]) == (1.0, False)
     summary = norm_summary(norms.states, norms.edges)
-    for per_document, parts in ((10, 1), (2, 2)):
-        docs = au.report_documents(results, summary, per_document).orderBy("part").collect()
-        assert len(docs) == parts
-        assert [s["scenario"] for d in docs for s in d["scenarios"]] == ["one", "two", "three"]
-        assert docs[0]["normative_reference"]["nb_edges"] == 2 and docs[0]["average_score"] == round(2 / 3, 4)
+    for nested, count in ((True, 1), (False, 3)):
+        docs = au.report_documents(results, summary, nested=nested).collect()
+        assert len(docs) == count
+        assert sorted(s["scenario"] for d in docs for s in d["scenarios"]) == ["one", "three", "two"]
+        assert all(d["normative_reference"]["nb_edges"] == 2 and d["average_score"] == round(2 / 3, 4) for d in docs)
+    assert [s["scenario"] for s in au.report_documents(results, summary, nested=True).first()["scenarios"]] == ["one", "two", "three"]
     assert au.audit_report(results, summary).count() == 3
 
 

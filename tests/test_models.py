@@ -89,14 +89,15 @@ def test_projection(spark, lam, floor):
     norms[4] = np.ones((3, 6))
     facts = [(n, i, rng.normal(size=6) + (0.5 if i % 2 else 0)) for n in norms for i in range(30)]
     facts.append((4, 99, np.zeros(6)))
+    odd = [(0, 200, None), (1, 201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (77, 202, [1.0] * 6)]
     states = spark.createDataFrame([(n, i, f"s{i}", u.tolist()) for n, us in norms.items() for i, u in enumerate(us)],
                                    "norm_id bigint, u_pos int, state_id string, vector array<double>")
-    df = spark.createDataFrame([(n, i, f.tolist()) for n, i, f in facts], "norm_id bigint, fact bigint, vector array<double>")
+    df = spark.createDataFrame([*[(n, i, f.tolist()) for n, i, f in facts], *odd], "norm_id bigint, fact bigint, vector array<double>")
     universe = sm.norm_universe(states)
     want = {(n, i): plain_selection(f, norms[n], lam, floor) for n, i, f in facts}
     for found in (sm.project(df, universe, lam=lam, floor=floor),
                   sm.project_batched(df, universe, lam=lam, floor=floor),
-                  sm.project_batched(df, universe, lam=lam, floor=floor, max_elements=1)):
+                  sm.project_batched(df, universe, lam=lam, floor=floor, facts_per_group=7)):
         got = {}
         for r in found.collect():
             got.setdefault((r["norm_id"], r["fact"]), set()).add(r["u_pos"])

@@ -84,7 +84,7 @@ def test_corpus_csv_graph_and_report(spark, tmp_path):
     (tmp_path / "corpus" / "broken.txt").write_bytes(b"ab\xff\xfe c")
     got = {tuple(r) for r in cp.read_corpus(spark, str(tmp_path / "corpus")).collect()}
     assert got == {("er+ é/one.txt", "first\nsecond"), ("corpus/two.txt", "x")}
-    assert [r["source"] for r in cp.unreadable_files(spark, str(tmp_path / "corpus")).collect()] == ["corpus/broken.txt"]
+    assert [tuple(r) for r in cp.unreadable_files(spark, str(tmp_path / "corpus")).collect()] == [("corpus/broken.txt", cp.NOT_UTF8)]
 
     table = spark.createDataFrame([(1, 'a "q", b\n c '), (2, None), (3, "é")], "id int, text string")
     cp.write_table(table, str(tmp_path / "csv"))
