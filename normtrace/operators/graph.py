@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from normtrace.functions.states import DEFAULT_RANK, ENTITY_RANKS, entity
@@ -83,26 +83,30 @@ def edge_audit(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEF
     )
 
 
-def reachability(edges: DataFrame) -> DataFrame:
+def reachability(edges: DataFrame, settled: bool = False) -> DataFrame:
     """``(norm_id, src, dst)``: every state that can be reached from ``src`` over one edge or more.
 
     Round i knows all pairs up to distance 2^i, with their distances. Only pairs at exactly that
     distance are extended, by all known pairs, and each pair up to twice as far is found that way once
     per vertex in its middle: on chains and trees once. Rounds are logarithmic in the longest shortest
-    path; each writes the new pairs only. All norms, small or large, are closed together.
+    path; each writes the new pairs only. All norms, small or large, are closed together. ``settled``
+    edges are a written or literal table of distinct edges without nulls and are taken as they are.
     """
     pair = ["norm_id", "src", "dst"]
-    known = settle(distinct_edges(edges).select("norm_id", F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("far")), "paths")
-    reach = 1
-    while not (front := known.where(F.col("far") == reach)).isEmpty():
+    known = (edges if settled else settle(distinct_edges(edges), "edges")).select("norm_id", F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("far"))
+    reach = farthest = 1
+    while farthest == reach:
+        front = known.where(F.col("far") == reach)
         onward = known.select(F.col("norm_id").alias("_norm"), F.col("src").alias("_via"), F.col("dst").alias("_end"), F.col("far").alias("_more"))
         longer = (
             front.join(onward, F.col("norm_id").eqNullSafe(F.col("_norm")) & (F.col("dst") == F.col("_via")))
             .groupBy("norm_id", "src", F.col("_end").alias("dst")).agg((F.lit(reach) + F.min("_more")).alias("far"))
         )
         same = [longer[c].eqNullSafe(known[c]) for c in pair]
-        known = known.unionByName(settle(longer.join(known, same[0] & same[1] & same[2], "left_anti"), "paths"))
-        reach *= 2
+        seen = Observation()
+        new = longer.join(known, same[0] & same[1] & same[2], "left_anti").observe(seen, F.max("far").alias("far"))
+        known = known.unionByName(settle(new, "paths"))
+        reach, farthest = 2 * reach, seen.get["far"]
     return known.select(*pair)
 
 

@@ -38,7 +38,7 @@ def norms_from_edges(states: DataFrame, edges: DataFrame) -> Norms:
     The links are all that the scenario side joins with, more than once; they are written to the
     shared folder, so that they are computed once and joined with their true size known.
     """
-    reach = graph.reachability(edges)
+    reach = graph.reachability(edges, settled=True)
     weights = graph.out_degree_weights(states, edges)
     return Norms(states, edges, weights, reach, settle(norm_links(edges, reach, weights), "links"))
 

@@ -91,13 +91,13 @@ def norm_reach(spark, sf):
 @query
 def cyclic_core(spark, sf):
     edges = settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges")
-    return graph.cyclic_core(edges, graph.reachability(edges))
+    return graph.cyclic_core(edges, graph.reachability(edges, settled=True))
 
 
 @query
 def broken_cycles(spark, sf):
     edges = settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges")
-    return graph.break_cycles(edges, fx.event_ranks(spark), reach=graph.reachability(edges))
+    return graph.break_cycles(edges, fx.event_ranks(spark), reach=graph.reachability(edges, settled=True))
 
 
 # --- causal check (literal norms, one scenario per user) -------------------------------------------
