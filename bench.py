@@ -21,7 +21,7 @@ HEADLINE = [
     "rank_filtered_edges", "norm_reach", "cyclic_core", "causal_violations", "step_trace", "conformance_score",
     "corpus_violations", "corpus_scores", "audit_report", "report_json", "zscore_projection", "precondition_mapping",
     "parse_scenarios", "parse_fallback", "clean_json_answers", "validate_universe", "complete_rules", "embed_text",
-    "generate_metrics", "retry_upsert", "model_summary", "status_distribution", "csv_round_trip",
+    "generate_metrics", "retry_upsert", "broken_cycles", "whole_audit", "stream_causal", "text_corpus_scan", "model_summary", "status_distribution", "csv_round_trip",
 ]
 
 

@@ -183,6 +183,7 @@ SELECT w.scenario_id, w.state_id, CAST(w.step AS INTEGER) AS step, NOT w.bad AS
        array_to_string(list_sort(w.missing), '|') AS missing
 FROM walk w JOIN firsts f ON f.scenario_id = w.scenario_id AND f.n = w.n"""
 
+ORACLES["stream_contamination"] = f"""WITH RECURSIVE {USER} SELECT scenario_id, state_id FROM cont"""
 ORACLES["corpus_violations"] = f"""WITH RECURSIVE {DAILY}
 SELECT norm_id, scenario_id, CAST(step AS INTEGER) AS transition_index, state_id AS attempted_state,
        array_to_string(list_sort(missing), '|') AS missing_preconditions FROM viol"""

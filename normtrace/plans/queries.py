@@ -818,12 +818,21 @@ def process_graph_flows(spark, sf):
 # --- stream -------------------------------------------------------------------------------------------------
 
 
+def _streamed(spark, sf, norms):
+    """The user activations as files, followed as a stream in two batches; the last decisions sent out."""
+    path = fresh_path(spark, "activations")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fx.user_activations(spark, sf).repartition(files, "step").write.parquet(path)
+    stream = spark.readStream.schema(inc.ACTIVATIONS).option("maxFilesPerTrigger", max(1, files // 2)).parquet(path)
+    return inc.latest(inc.run_available(spark, stream, norms.links))
+
+
+@query
+def stream_contamination(spark, sf):
+    norms = fx.event_norms(spark)
+    return inc.downstream(_streamed(spark, sf, norms), norms.reach).select("scenario_id", "state_id")
+
+
 @query
 def stream_causal(spark, sf):
-    """The user activations as files, followed as a stream; the last decisions sent out."""
-    path = fresh_path(spark, "activations")
-    fx.user_activations(spark, sf).repartition(4, "step").write.parquet(path)
-    stream = spark.readStream.schema(inc.ACTIVATIONS).option("maxFilesPerTrigger", 2).parquet(path)
-    sent = inc.run_available(spark, stream, fx.event_norms(spark).links,
-                             state_partitions=spark.sparkContext.defaultParallelism)
-    return inc.latest(sent).select("scenario_id", "state_id", "step", "valid", _joined("missing"))
+    return _streamed(spark, sf, fx.event_norms(spark)).select("scenario_id", "state_id", "step", "valid", _joined("missing"))

@@ -11,6 +11,7 @@ holds, so a scenario with a third of all rows sends few of them to its task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,10 @@ class FirstActivationWalk(StatefulProcessor):
 
 
 def incremental_decisions(activations: DataFrame, links: DataFrame) -> DataFrame:
-    """Streaming decisions for a streaming ``activations`` table; the norm side is a static join."""
-    activations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Streaming decisions for a streaming ``activations`` table; the norm side is a static join.
+
+    The query has to be started inside :func:`stream_settings`.
+    """
     firsts = activations.mapInPandas(_batch_firsts, ACTIVATIONS)
     return (
         firsts.join(links.select("norm_id", "state_id", "pres"), ["norm_id", "state_id"], "left")
@@ -96,6 +99,22 @@ def downstream(decisions: DataFrame, reach: DataFrame) -> DataFrame:
     return seeds.unionByName(further).distinct()
 
 
+@contextmanager
+def stream_settings(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
+    """Settings a query takes over when it starts; the session has its own again afterwards."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if state_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
+    usual = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in usual.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def run_available(
     spark: SparkSession, activations: DataFrame, links: DataFrame, folder: str | None = None,
     state_partitions: int | None = None,
@@ -106,16 +125,12 @@ def run_available(
     ``state_partitions`` (default: the session's shuffle partitions) is fixed by the first run.
     """
     folder = folder or fresh_path(spark, "causal-stream")
-    usual = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or usual))
-    try:
+    with stream_settings(spark, state_partitions):
         query = (
             incremental_decisions(activations, links).writeStream
             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/decisions/batch={n}"))
             .option("checkpointLocation", f"{folder}/progress")
             .outputMode("update").trigger(availableNow=True).start()
         )
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    query.awaitTermination()
     return spark.read.schema(DECISIONS).parquet(f"{folder}/decisions")
