@@ -31,6 +31,11 @@ def text_slices(keys: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> It
         first = last
 
 
+def struct_array(types: dict[str, pa.DataType], rows: list[tuple]) -> pa.StructArray:
+    """An Arrow array of structs."""
+    return pa.StructArray.from_arrays(record_batch(types, rows).columns, list(types))
+
+
 def record_batch(types: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     """An Arrow batch of rows."""
     columns = list(zip(*rows)) or [[]] * len(types)

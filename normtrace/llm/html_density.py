@@ -24,10 +24,12 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normtrace.llm.batches import text_slices
+
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -279,9 +281,10 @@ def main_text(html: str) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html)``."""
 
-    @F.pandas_udf("string")
-    def read(htmls: pd.Series) -> pd.Series:
-        return pd.Series([main_text(html or "") for html in htmls], dtype=object)
+    @F.arrow_udf("string")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([main_text(html) for _, htmls in text_slices(pa.nulls(len(column)), column) for html in htmls], pa.string())
 
     found = pages.select("page_id", "url", read("html").alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

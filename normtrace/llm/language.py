@@ -22,19 +22,18 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normtrace.llm.batches import text_slices
+from normtrace.llm.batches import struct_array, text_slices
 
 ORDER = 4
 SAMPLE_ROWS = 300
 LEAST_ROWS = 5
 LEAST_SEEN = 2
 UNDETERMINED = "und"
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 SCALE = 8.0
 REJECT_BITS = 7.0
 
@@ -216,12 +215,13 @@ def learn(docs: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -
 def language_of(model: Model | None) -> Callable[[str], Column]:
     """A column function: the best language of a text, how far it leads (0 to 1), its bits per byte."""
 
-    @F.pandas_udf("lang_pred string, score double, bits double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
+    types = {"lang_pred": pa.string(), "score": pa.float64(), "bits": pa.float64()}
+
+    @F.arrow_udf("lang_pred string, score double, bits double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
             out = []
-            column = pa.array(series, pa.string())
-            for _, texts in text_slices(column, column):
+            for _, texts in text_slices(pa.nulls(len(column)), column):
                 read = [plain_bytes(t) for t in texts]
                 bits = model.code_lengths(read) if model else None
                 for i, text in enumerate(texts):
@@ -231,7 +231,7 @@ def language_of(model: Model | None) -> Callable[[str], Column]:
                     each = bits[i] / (len(read[i]) + 1)
                     best = int(each.argmin())
                     out.append((model.langs[best], float(1 / np.exp2(SCALE * (each[best] - each)).sum()), float(each[best])))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "bits"])
+            yield struct_array(types, out)
 
     return judge
 

@@ -23,12 +23,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normtrace.llm.batches import record_batch, text_slices
+from normtrace.llm.batches import record_batch, struct_array, text_slices
 from normtrace.session import settle
 
 SAMPLE_ROWS = 6000
@@ -43,6 +42,7 @@ REJECT = 0.5
 BEGINNINGS = (3, 4, 5, 6)
 COPY_WORDS = 5
 LEVELS = (1, 2, 3)
+KEEP_WORDS = 100_000
 
 WORD = re.compile(r"\w+")
 
@@ -78,7 +78,7 @@ class Model:
         seen: dict[str, tuple[str, ...]] = {}
 
         def score(text: str) -> float:
-            if len(seen) > 200_000:
+            if len(seen) > KEEP_WORDS:
                 seen.clear()
             words: dict[str, int] = {}
             for word in set(WORD.findall(text.lower())):
@@ -195,12 +195,14 @@ def _evidence(texts: DataFrame, place: dict[str, int]) -> list[dict]:
 def severity_of(model: Model) -> Callable[[str], Column]:
     """A column function: severity, probability of being toxic, and the decision for a text column."""
 
-    @F.pandas_udf("severity double, p_toxic double, toxic boolean")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    types = {"severity": pa.float64(), "p_toxic": pa.float64(), "toxic": pa.bool_()}
+
+    @F.arrow_udf("severity double, p_toxic double, toxic boolean")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weigh = model.scorer()
-        for texts in batches:
-            above = [model.exceeds(weigh(text or "")) or [0.0] for text in texts]
-            yield pd.DataFrame({"severity": map(sum, above), "p_toxic": [a[0] for a in above], "toxic": [a[0] >= REJECT for a in above]})
+        for column in batches:
+            above = [model.exceeds(weigh(text)) or [0.0] for _, texts in text_slices(pa.nulls(len(column)), column) for text in texts]
+            yield struct_array(types, [(sum(a), a[0], a[0] >= REJECT) for a in above])
 
     return judge
 
