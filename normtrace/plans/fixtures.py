@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normtrace.operators.graph import distinct_edges
@@ -115,9 +115,15 @@ def daily_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _activate(daily_facts(spark, sf_dir), ["norm_id", "scenario_id"])
 
 
-def label_states(vectors: DataFrame, norm_id, dims: int = 64) -> DataFrame:
+def mean_vector(vectors: DataFrame) -> Column:
+    """Mean of the embeddings of a group, element by element, as wide as the widest of the table."""
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(width)]).alias("vector")
+
+
+def label_states(vectors: DataFrame, norm_id) -> DataFrame:
     """States as mean vectors per norm and label: one map-side aggregation, no exploded elements."""
-    means = F.array(*[F.avg(F.element_at("embedding", i + 1).cast("double")) for i in range(dims)])
+    means = mean_vector(vectors)
     names = F.array(*[F.lit(s) for s in LABEL_STATES])
-    return vectors.groupBy(norm_id.alias("norm_id"), "label").agg(means.alias("vector")).select(
+    return vectors.groupBy(norm_id.alias("norm_id"), "label").agg(means).select(
         "norm_id", F.col("label").alias("u_pos"), F.element_at(names, F.col("label") + 1).alias("state_id"), "vector")

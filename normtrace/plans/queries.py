@@ -293,8 +293,8 @@ def projection_coverage(spark, sf):
 @query
 def zscore_degenerate(spark, sf):
     """All states of a norm share one vector, and the facts of label 0 are zero vectors."""
-    overall = _vectors(spark, sf).groupBy(_vector_norm().alias("norm_id")).agg(
-        F.array(*[F.avg(F.element_at("embedding", i + 1).cast("double")) for i in range(64)]).alias("vector"))
+    vectors = _vectors(spark, sf)
+    overall = vectors.groupBy(_vector_norm().alias("norm_id")).agg(fx.mean_vector(vectors))
     states = overall.select("norm_id", "vector", F.posexplode(F.array(*[F.lit(s) for s in fx.LABEL_STATES[:3]])).alias("u_pos", "state_id"))
     facts = _vectors(spark, sf).select(
         _vector_norm().alias("norm_id"), "vec_id",

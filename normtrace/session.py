@@ -60,7 +60,8 @@ def shared_folder(spark: SparkSession) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work one partition per core when the input comes in fewer.
 
-    Inputs of any size have more splits than that and are left alone; a small file is not.
+    That is a shuffle of whole rows, worth it where the work on a row costs far more than moving it; an
+    input with as many splits as cores is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
