@@ -23,7 +23,7 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     ids = [{r.doc_id for r in k.select("doc_id").collect()} for k in kept]
     gone = ids[0] - ids[1]
     toxic = {i for i, t in label.items() if t}
-    assert len(toxic & gone) > 0.6 * len(toxic)  # few labels here; recall is tested on larger tables
+    assert toxic <= gone
     assert sum(label.get(i) == 0 for i in gone) <= 0.02 * len(label)  # 4 of 399 here, from 51 toxic labels
     letters = {r.doc_id for r in kept[1].collect() if r.text and any(map(str.isalpha, r.text))}
     assert ids[2] <= letters and len(letters - ids[2]) <= 0.01 * len(letters)

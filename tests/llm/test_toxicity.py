@@ -61,3 +61,27 @@ def test_odd_documents(small, odd_docs, no_docs):
 def test_nothing_to_learn(small, no_docs, odd_docs):
     for model in (toxicity.learn(no_docs, small[1]), toxicity.learn(small[0], small[1].where("toxic = 0")), toxicity.learn(small[0], small[1].limit(0))):
         assert {r.severity for r in toxicity.score(odd_docs, model).collect()} == {0.0}
+
+
+def test_few_labels_and_rare_words(spark):
+    """Words of 4 toxic texts each, at toxic shares of 10, 50 and 70 percent."""
+    fill = "amber birch cedar delta ember fjord grove heath inlet jetty kelp lagoon".split()
+    bad = "vile rotten hateful nasty".split()
+    for clean in (144, 16, 7):
+        plain = [[fill[(i * k) % 12] + fill[(i + 3 * k) % 12] for k in range(1, 6)] for i in range(16 + clean)]
+        texts = [" ".join([bad[i % 4]] * (i < 16) + words) for i, words in enumerate(plain)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i < 16)) for i in range(len(texts))], "doc_id long, toxic int")
+        tried = spark.createDataFrame([(0, "some vile thing"), (1, "some nasty thing"), (2, "some fine thing")], "doc_id long, text string")
+        model = toxicity.learn(docs, labels)
+        assert {r.doc_id: r.toxic for r in toxicity.score(docs, model).collect()} == {i: i < 16 for i in range(len(texts))}
+        assert [r.severity > 0 for r in toxicity.score(tried, model).collect()] == [True] * 3
+        got = {r.doc_id: r.p_toxic for r in toxicity.score(tried, model).collect()}
+        assert min(got[0], got[1]) > got[2]
+
+
+def test_few_labels_of_the_smallest_table(spark):
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    gone = {r.doc_id for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect() if r.toxic}
+    assert {i for i, t in label.items() if t} <= gone and not any(label.get(i) == 0 for i in gone)
