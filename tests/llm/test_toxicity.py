@@ -14,7 +14,7 @@ def test_held_out_labels(spark):
     out = toxicity.score(docs, model).join(labels.where(fold).withColumnRenamed("toxic", "label"), "doc_id").collect()
     toxic, clean = [r for r in out if r.label], [r for r in out if not r.label]
     assert sum(r.toxic for r in toxic) / len(toxic) > 0.9
-    assert sum(r.toxic for r in clean) / len(clean) < 0.015  # some stems of toxic words also occur in clean ones
+    assert sum(r.toxic for r in clean) / len(clean) < 0.005
     assert np.mean([r.severity for r in toxic]) > 1 > np.mean([r.severity for r in clean])
 
 
@@ -85,3 +85,13 @@ def test_few_labels_of_the_smallest_table(spark):
     label = {r.doc_id: r.toxic for r in labels.collect()}
     gone = {r.doc_id for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect() if r.toxic}
     assert {i for i, t in label.items() if t} <= gone and not any(label.get(i) == 0 for i in gone)
+
+
+def test_long_clean_texts_do_not_gain(spark):
+    """One bad beginning that clean words share, in ever longer clean texts."""
+    docs = [(i, f"clowns{i} show" if i < 20 else " ".join(["clothes"] * (i % 5 == 0) + [f"word{i * 7 + k}" for k in range(i % 40 + 3)])) for i in range(220)]
+    labels = [(i, int(i < 20)) for i in range(220)]
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert not any(f.startswith("3") for f in model.weights) and min(model.weights.values()) < 0
+    long = spark.createDataFrame([(0, "cloth clock cloud clothes " + " ".join(f"other{k} thing{k}" for k in range(5000)))], "doc_id long, text string")
+    assert not toxicity.score(long, model).first().toxic
