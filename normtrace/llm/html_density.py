@@ -4,8 +4,7 @@ Every element of the page's tree gets the characters and tags below it, and how
 links. Its composite density is characters per tag, weighed down by the share of link characters; the
 density sum of an element adds the densities of its children. The element with the greatest sum is the
 centre of the main text and kept whole. The least density on the path from it to the body is the
-threshold that other subtrees must reach to be kept as well. An article element around the centre
-settles the question: it is taken, and nothing beside it.
+threshold that other subtrees must reach to be kept as well. Between equal sums an article element is preferred.
 
 Scripts, styles, forms, menus, headers and footers of the page, sidebars, adverts, notices and reader
 comments, as tags, roles, classes and ids name them, are cut off before anything is counted.
@@ -50,7 +49,6 @@ newsletter subscribe subscription signup login comment comments discussion disqu
 recommended widget toolbar pagination pager copyright disclaimer skip search""".split())
 KEEP_INSIDE = ("article", "main")
 CONTAINERS = set("html body div section article main center table tbody td".split())
-ARTICLE_SHARE = 4
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -191,23 +189,15 @@ def main_elements(root: Element) -> list[Element]:
     """Subtrees that make up the main text, in page order."""
     order = weigh(root)
     body = next((e for e in order if e.tag == "body"), root)
-    best = max(order, key=lambda e: e.total)
+    best = max(order, key=lambda e: (e.total, e.tag in KEEP_INSIDE))
     path, least = best, best.density
     while path is not None and path is not body:
         least = min(least, path.density)
         path = path.parent
     if best.total == 0:
         return [root]
-    # an article around the best element, or one that holds much of its text, is meant
-    up = best
-    while up is not None and up.tag not in KEEP_INSIDE:
-        up = up.parent
-    if up is not None:
-        best = up
     while best.parent is not None and best.tag not in CONTAINERS:
         best = best.parent
-    while inner := [e for e in _below(best) if e.tag in KEEP_INSIDE and ARTICLE_SHARE * e.chars > best.chars]:
-        best = inner[0]
     kept: list[Element] = [best]
     inside_best = set(map(id, _below(best))) | {id(best)}
     above = set()
@@ -215,8 +205,6 @@ def main_elements(root: Element) -> list[Element]:
     while path is not None:
         above.add(id(path))
         path = path.parent
-    if best.tag in KEEP_INSIDE:
-        return kept
     open_ = [body]
     while open_:
         element = open_.pop()

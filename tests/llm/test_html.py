@@ -59,3 +59,13 @@ def test_odd_rows(spark):
     got = html_density.extract_pages(frame).collect()
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got), key=str) == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1), (2, "v", "", 0)], key=str)
     assert html_density.extract_pages(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, parts", [
+    (f"<body><div><p>{PARAGRAPH}</p></div><div><p>{PARAGRAPH}</p></div>", 2),
+    (f"<body><article><p>{PARAGRAPH}</p></article><article><p>{PARAGRAPH}</p></article>", 2),
+    (f"<body><main><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><article><p>{PARAGRAPH}</p></article></main>", 3),
+    (f"<body><article><p>{PARAGRAPH}</p><article><p>{PARAGRAPH}</p></article></article>", 2),
+])
+def test_no_two_and_nested_articles(html, parts):
+    assert html_density.main_text(html) == "\n\n".join([PARAGRAPH.strip()] * parts)
