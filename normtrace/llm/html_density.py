@@ -7,7 +7,10 @@ centre of the main text and kept whole. The least density on the path from it to
 threshold that other subtrees must reach to be kept as well. Between equal sums an article element is preferred.
 
 Scripts, styles, forms, menus, headers and footers of the page, sidebars, adverts, notices and reader
-comments, as tags, roles, classes and ids name them, are cut off before anything is counted.
+comments, as tags, roles, classes and ids name them, are cut off before anything is counted. A class or id
+names one only as a whole: each of its words is such a name, a place or a holder. A subtree named by class or
+id that has most of the page's text outside links stays and is weighed like any other, reader comments only
+where there is nothing else.
 
 Text comes out by block, white space inside a block as one space, blocks in page order.
 
@@ -47,6 +50,10 @@ WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored
 breadcrumbs sidebar aside footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal
 newsletter subscribe subscription signup login comment comments discussion disqus reply replies respond share sharing social related
 recommended widget toolbar pagination pager copyright disclaimer skip search""".split())
+COMMENTS = set("comment comments discussion disqus reply replies respond".split())
+# Words that may stand beside one of WORDS in a class or an id.
+BESIDE = set("""left right top bottom upper lower primary secondary site page global sticky fixed main bar box area list item items
+wrap wrapper container section block links link buttons button icons unit slot form inner outer""".split())
 KEEP_INSIDE = ("article", "main")
 CONTAINERS = set("html body div section article main center table tbody td".split())
 
@@ -56,12 +63,13 @@ NAME_WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "never", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "never", "named", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Element | None, never: bool = False):
         self.tag, self.parent, self.never = tag, parent, never
+        self.named: set[str] = set()
         self.parts: list[Element | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
     def children(self) -> Iterator[Element]:
@@ -69,7 +77,7 @@ class Element:
 
 
 def never_main(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page furniture by its name, role, class or id."""
+    """Whether an element is page furniture by its name or role, or hidden."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
     if not attributes or tag in ("body", "html", *KEEP_INSIDE):
@@ -80,11 +88,50 @@ def never_main(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if name.lower() in ("class", "id") and not WORDS.isdisjoint(NAME_WORD.findall(value)):
-            return True
     return False
 
 
+def furniture_names(tag: str, attributes: str) -> set[str]:
+    """The furniture that classes and ids of an element name."""
+    if not attributes or tag in ("body", "html", *KEEP_INSIDE):
+        return set()
+    out: set[str] = set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in unescape("".join(values)).lower().split():
+                words = set(NAME_WORD.findall(token))
+                if words <= WORDS | BESIDE:
+                    out |= words & WORDS
+    return out
+
+
+def keep_most(root: Element) -> None:
+    """Cut elements named furniture, but for those with most of the text outside links."""
+    order, named, open_ = [], [], [root]
+    while open_:
+        element = open_.pop()
+        order.append(element)
+        if element.named:
+            named.append(element)
+        open_ += (c for c in element.children() if not c.never)
+    if not named:
+        return
+    for element in reversed(order):
+        if element.tag != "a":
+            element.plain = sum(len("".join(unescape(p).split())) if isinstance(p, str) else 0 if p.never or p.named else p.plain for p in element.parts)
+    every = root.plain + sum(e.plain for e in named)
+    comments = sum(e.plain for e in named if e.named & COMMENTS)
+    stay: set[int] = set()
+    for element in named:
+        if 2 * element.plain > every - (0 if element.named & COMMENTS else comments) and (not element.named & COMMENTS or element.plain == every):
+            up: Element | None = element
+            while up is not None:
+                stay.add(id(up))
+                up = up.parent
+    for element in named:
+        element.never = id(element) not in stay
+
+
 def parse(html: str) -> Element:
     """The tree of a page; elements that are never main text keep no contents."""
     root = now = Element("html", None)
@@ -137,6 +184,7 @@ def parse(html: str) -> Element:
         if now.tag == "head" and tag not in HEAD:
             now = close(now)
         child = Element(tag, now, never_main(tag, token[3], inside > 0))
+        child.named = furniture_names(tag, token[3])
         now.parts.append(child)
         if tag in VOID or token[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
@@ -156,6 +204,7 @@ def parse(html: str) -> Element:
 
 def weigh(root: Element) -> list[Element]:
     """Counts, densities and sums of every element; the elements from the root down."""
+    keep_most(root)
     order, open_ = [], [root]
     while open_:
         element = open_.pop()

@@ -69,3 +69,16 @@ def test_odd_rows(spark):
 ])
 def test_no_two_and_nested_articles(html, parts):
     assert html_density.main_text(html) == "\n\n".join([PARAGRAPH.strip()] * parts)
+
+
+@pytest.mark.parametrize("html, title", [
+    (f"<body><div class='content with-sidebar'><p>{PARAGRAPH}</p></div>", ""),
+    (f"<body><div id='page' class='no-ads'><p>{PARAGRAPH}</p></div>", ""),
+    (f"<body><div><div class='entry-header'><h1>Title</h1></div><p>{PARAGRAPH}</p></div>", "Title\n\n"),
+    (f"<body><div class='search-results'><p>{PARAGRAPH}</p></div>", ""),
+    (f"<body><div class=sidebar><p>{PARAGRAPH}</p></div><div class=nav><a href=1>{PARAGRAPH}</a></div>", ""),
+    (f"<body><div><p>{PARAGRAPH}</p></div><div class=comments><p>{PARAGRAPH * 5}</p></div>", ""),
+    (f"<body><div class=comments><p>{PARAGRAPH}</p></div>", ""),
+])
+def test_names_of_content(html, title):
+    assert html_density.main_text(html) == title + PARAGRAPH.strip()
