@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normtrace.llm import best_fit, best_fit_decreasing, chat, hash_forest, html_density, language, multiset_hash, pieces, simhash, toxicity
+from normtrace.llm import best_fit, best_fit_decreasing, chat, fill_middle, hash_forest, html_density, language, multiset_hash, pieces, prefix_trie, quality_ledger, simhash, toxicity
 from normtrace.llm.oracles import ORACLES
 
 
@@ -73,6 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,4 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiset_hash": op8_multiset_hash,
     "op9_pieces": op9_pieces,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_quality_ledger": op12_quality_ledger,
+    "op13_prefix_trie": op13_prefix_trie,
 }
