@@ -23,19 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtrace.llm.batches import struct_array, text_slices
 
 ORDER = 4
 SAMPLE_ROWS = 300
-LEAST_ROWS = 5
 LEAST_SEEN = 2
 UNDETERMINED = "und"
 BYTES_AT_ONCE = 1 << 18
 SCALE = 8.0
-REJECT_BITS = 7.0
 
 # Every ASCII character that is no letter reads as one space.
 PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
@@ -198,17 +196,25 @@ def freeze(counts: list[tuple[str, int, int, int]], order: int = ORDER, least_se
     return Model(langs, order, flat, slots, np.concatenate(adds), np.concatenate(owed))
 
 
+def sample_texts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(lang, text)``: ``sample_rows`` distinct texts of every language (all, if fewer), by a hash of text.
+
+    A share drawn by the same hash, about twice as many, is all that is sorted.
+    """
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = labelled.join(texts, "lang").where(draw * F.col("n") < 2 * sample_rows + 50).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 20)), "h")
+    return drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select("lang", "text")
+
+
 def learn(docs: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on whole texts of about ``sample_rows`` rows of every language, chosen by a hash of text."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n >= LEAST_ROWS}
-    if not rows:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, sample_rows / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    samples = labelled.where(draw < share[F.col("lang")])
-    counts = count_strings(samples, order).where((F.col("length") < 3) | (F.col("n") >= LEAST_SEEN))
+    """Fit on ``sample_rows`` distinct whole texts of every language that is named, however few they are."""
+    counts = count_strings(sample_texts(docs, sample_rows), order).where((F.col("length") < 3) | (F.col("n") >= LEAST_SEEN))
     table = counts.toArrow()
+    if not table.num_rows:
+        return None
     return freeze(list(zip(*[table.column(c).to_pylist() for c in ("lang", "length", "string", "n")])), order)
 
 
@@ -242,6 +248,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_unreadable(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without rows of no language: no letters, or nothing any learned language would write."""
+    """``docs`` without rows that no language claims; without a model, rows without a letter."""
     found = language_of(model)("text")
-    return docs.where((found["lang_pred"] != UNDETERMINED) & (found["bits"] <= REJECT_BITS))
+    readable = F.col("text").rlike(r"\p{L}") if model is None else found["lang_pred"] != UNDETERMINED
+    return docs.where(readable)

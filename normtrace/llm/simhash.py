@@ -174,12 +174,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     group = member.join(named, "root").select("fp", "component_id")
     return found.join(group, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the least doc_id.
-
-    Rows without doc_id stay: nothing tells them apart.
-    """
-    least = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)

@@ -80,3 +80,19 @@ def test_nothing_to_learn(spark, no_docs, odd_docs):
     assert language.learn(no_docs) is None
     assert {r.lang_pred for r in language.identify(odd_docs, None).collect()} == {"und"}
     assert language.identify(no_docs, None).count() == 0
+
+
+@pytest.mark.parametrize("labelled", [0, 1, 4])
+def test_few_or_no_labels_keep_lettered_texts(spark, labelled):
+    rows = [(i, f"some plain words number {'x' * i}", "en" if i < labelled else None) for i in range(20)] + [(20, "12 34", None), (21, None, None), (22, "чистый текст", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.drop_unreadable(docs, language.learn(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(20), 22]
+
+
+def test_samples_are_distinct_texts_up_to_an_exact_count(spark):
+    rows = [(f"text {i % 500}", "en") for i in range(2000)] + [("copied", "en")] * 3000 + [("one", "de"), (None, "fr"), ("unnamed", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    for size, en in ((50, 50), (10_000, 501)):
+        found = [tuple(r) for r in language.sample_texts(docs, size).collect()]
+        assert len(found) == len(set(found)) == en + 1 and ("de", "one") in found

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from normtrace.llm import queries, simhash
+from normtrace.llm import near_copies, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,8 +28,8 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     letters = {r.doc_id for r in kept[1].collect() if r.text and any(map(str.isalpha, r.text))}
     assert ids[2] <= letters and len(letters - ids[2]) <= 0.01 * len(letters)
     groups = {}
-    for r in simhash.near_duplicates(kept[2]).collect():
-        groups.setdefault(r.component_id, set()).add(r.doc_id)
+    for r in near_copies.near_groups(kept[2]).collect():
+        groups.setdefault(r.group_id, set()).add(r.doc_id)
     assert ids[3] == {min(g) for g in groups.values()} and kept[3].count() == len(ids[3])
 
 
@@ -48,3 +48,8 @@ def test_odd_documents(spark, odd_docs, no_docs):
         for name, stage in pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert out.count() <= docs.count() or name == "best_fit_packing"
+    lettered = [r for r in odd.collect() if r.text and any(map(str.isalpha, r.text))]
+    stages = dict(pipeline.STAGES)
+    assert stages["toxicity"](spark, odd, SF).count() == odd.count()
+    assert stages["language"](spark, odd, SF).count() == len(lettered)
+    assert stages["near_duplicates"](spark, odd, SF).count() == len({(r.text or "").strip() for r in odd.collect()})

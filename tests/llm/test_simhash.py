@@ -56,11 +56,8 @@ def test_odd_documents(odd_docs):
     assert got == expected(odd_docs.collect())
 
 
-def test_keep_one(odd_docs, no_docs):
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 4, 5, 6, 7, 9]
-    assert simhash.near_duplicates(no_docs).count() == simhash.keep_one(no_docs).count() == 0
+def test_no_documents(no_docs):
+    assert simhash.near_duplicates(no_docs).count() == 0
 
 
 def test_links_lose_nothing(spark):
