@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from normtrace.functions.states import DEFAULT_RANK, ENTITY_RANKS, entity
+from normtrace.operators import cycles
 from normtrace.session import settle
 
 EDGE = ["norm_id", "source", "target"]
@@ -83,17 +84,28 @@ def edge_audit(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEF
     )
 
 
-def reachability(edges: DataFrame, settled: bool = False) -> DataFrame:
+def reachability(edges: DataFrame, settled: bool = False, limit: int = cycles.LOCAL_EDGES) -> DataFrame:
     """``(norm_id, src, dst)``: every state that can be reached from ``src`` over one edge or more.
 
+    Norms of up to ``limit`` edges are closed where their edges meet, by bit vectors; larger ones in
+    rounds. ``settled`` edges are a written or literal table of distinct edges without nulls and are
+    taken as they are.
+    """
+    small, large = cycles.split_by_size(edges if settled else settle(distinct_edges(edges), "edges"), limit)
+    near = cycles.reach_of_small(small)
+    return near if large is None else near.unionByName(_closed_in_rounds(settle(large, "edges")))
+
+
+def _closed_in_rounds(edges: DataFrame) -> DataFrame:
+    """Closure of large norms, all together.
+
     Round i knows all pairs up to distance 2^i, with their distances. Only pairs at exactly that
     distance are extended, by all known pairs, and each pair up to twice as far is found that way once
     per vertex in its middle: on chains and trees once. Rounds are logarithmic in the longest shortest
-    path; each writes the new pairs only. All norms, small or large, are closed together. ``settled``
-    edges are a written or literal table of distinct edges without nulls and are taken as they are.
+    path; each writes the new pairs only.
     """
     pair = ["norm_id", "src", "dst"]
-    known = (edges if settled else settle(distinct_edges(edges), "edges")).select("norm_id", F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("far"))
+    known = edges.select("norm_id", F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1).alias("far"))
     reach = farthest = 1
     while farthest == reach:
         front = known.where(F.col("far") == reach)
@@ -110,39 +122,28 @@ def reachability(edges: DataFrame, settled: bool = False) -> DataFrame:
     return known.select(*pair)
 
 
-def cyclic_core(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """Edges left after trimming vertices without a way in or a way out, again and again.
-
-    These are the edges whose source lies on or after a cycle and whose target lies on or before
-    one; every cycle is among them, and an acyclic graph leaves none.
-    """
-    reach = reachability(edges) if reach is None else reach
-    on_cycle = reach.where("src = dst").select("norm_id", F.col("src").alias("v"))
-    ends = reach.select(F.col("norm_id").alias("n"), F.col("src").alias("s"), F.col("dst").alias("d"))
-    same_norm = F.col("n") == F.col("norm_id")
-    after = on_cycle.join(ends, same_norm & (F.col("s") == F.col("v"))) \
-        .select("norm_id", F.col("d").alias("source")).distinct()
-    before = on_cycle.join(ends, same_norm & (F.col("d") == F.col("v"))) \
-        .select("norm_id", F.col("s").alias("target")).distinct()
-    return (
-        edges.select(*EDGE).distinct()
-        .join(after, ["norm_id", "source"], "left_semi")
-        .join(before, ["norm_id", "target"], "left_semi")
-        .select(*EDGE)
-    )
+def cyclic_core(edges: DataFrame, settled: bool = False, limit: int = cycles.LOCAL_EDGES) -> DataFrame:
+    """Edges left after trimming vertices without a way in or a way out (see :func:`cycles.cyclic_core`)."""
+    return cycles.cyclic_core(edges.select(*EDGE) if settled else settle(distinct_edges(edges), "edges"), limit)
 
 
-def break_cycles(
-    edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEFAULT_RANK, reach: DataFrame | None = None,
-) -> DataFrame:
+def break_cycles(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEFAULT_RANK, settled: bool = False) -> DataFrame:
     """Edges with a ``removed`` flag: core edges along which (rank, name) does not grow.
 
-    What stays is acyclic, and the choice does not depend on any order of visit.
+    What stays is acyclic, and the choice depends on single edges only; for a cut that removes no edge
+    without need, see :func:`cut_cycles`.
     """
-    core = cyclic_core(edges, reach).withColumn("_core", F.lit(True))
-    ranked = rank_edges(edges.select(*EDGE).distinct(), entity_rank, default_rank)
+    edges = edges.select(*EDGE) if settled else settle(distinct_edges(edges), "edges")
+    core = cyclic_core(edges, settled=True).withColumn("_core", F.lit(True))
+    ranked = rank_edges(edges, entity_rank, default_rank)
     grows = F.struct("source_rank", "source") < F.struct("target_rank", "target")
     return (
         ranked.join(core, EDGE, "left")
         .select(*EDGE, (F.col("_core").isNotNull() & ~grows).alias("removed"))
     )
+
+
+def cut_cycles(edges: DataFrame, entity_rank: DataFrame, default_rank: int = DEFAULT_RANK, limit: int = cycles.LOCAL_EDGES) -> DataFrame:
+    """Edges with a ``removed`` flag: per witness cycle the edge along which the rank falls most, if needed."""
+    ranked = settle(rank_edges(distinct_edges(edges), entity_rank, default_rank), "ranked")
+    return cycles.minimal_cut(ranked, limit)

@@ -70,6 +70,14 @@ SELECT d.norm_id, d.source, d.target,
        c.source IS NOT NULL AND NOT (d.rs < d.rt OR (d.rs = d.rt AND d.source < d.target)) AS removed
 FROM ranked d LEFT JOIN core c ON c.norm_id = d.norm_id AND c.source = d.source AND c.target = d.target"""
 
+ORACLES["cycle_components"] = f"""WITH RECURSIVE {DECLARED}, {CLOSURE.format(edges='declared')},
+states AS (SELECT norm_id, source AS state_id FROM declared UNION SELECT norm_id, target FROM declared),
+mates AS (
+  SELECT norm_id, state_id, state_id AS mate, false AS cyclic FROM states
+  UNION ALL SELECT a.norm_id, a.src, a.dst, true FROM reach a JOIN reach b ON b.norm_id = a.norm_id AND b.src = a.dst AND b.dst = a.src)
+SELECT norm_id, state_id, min(mate) AS component_id, count(DISTINCT mate) AS n_states, bool_or(cyclic) AS cyclic FROM mates GROUP BY ALL"""
+ORACLES["cut_is_minimal"] = f"WITH {DECLARED} SELECT norm_id, count(*) AS n_edges, true AS minimal, true AS acyclic FROM declared GROUP BY norm_id"
+
 # --- causal check ------------------------------------------------------------------------------
 
 ACTIVATE = """acts AS (

@@ -16,7 +16,7 @@ from normtrace.functions import answers as ax
 from normtrace.functions import states as sx
 from normtrace.functions import text as tx
 from normtrace.operators import benchmark as bm
-from normtrace.operators import causal, graph, models, preconditions, scenarios, scoring, similarity
+from normtrace.operators import causal, cycles, graph, models, preconditions, scenarios, scoring, similarity
 from normtrace.plans import audit as au
 from normtrace.plans import conformance as cf
 from normtrace.plans import fixtures as fx
@@ -91,15 +91,47 @@ def norm_reach(spark, sf):
 @query
 def cyclic_core(spark, sf):
     edges = settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges")
-    return graph.cyclic_core(edges, graph.reachability(edges, settled=True))
+    return graph.cyclic_core(edges, settled=True)
 
 
 @query
 def broken_cycles(spark, sf):
     edges = settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges")
-    return graph.break_cycles(edges, fx.event_ranks(spark), reach=graph.reachability(edges, settled=True))
+    return graph.break_cycles(edges, fx.event_ranks(spark), settled=True)
 
 
+@query
+def cycle_components(spark, sf):
+    return cycles.cycle_components(settle(graph.distinct_edges(fx.declared_edges(spark, sf)), "edges"))
+
+
+def _ranked(spark, sf):
+    return settle(graph.rank_edges(graph.distinct_edges(fx.declared_edges(spark, sf)), fx.event_ranks(spark)), "ranked")
+
+
+@query
+def witness_cycles(spark, sf):
+    return cycles.witness_cycles(_ranked(spark, sf))
+
+
+@query
+def minimal_cut(spark, sf):
+    return cycles.minimal_cut(_ranked(spark, sf))
+
+
+@query
+def cut_is_minimal(spark, sf):
+    """Per norm: edges, edges cut, and that the rest is acyclic and no cut edge could be put back."""
+    cut = settle(cycles.minimal_cut(_ranked(spark, sf)), "cut")
+    kept = settle(cut.where("NOT removed").select("norm_id", "source", "target"), "kept")
+    reach = graph.reachability(kept, settled=True)
+    loops = reach.where("src = dst").groupBy("norm_id").agg(F.count("*").alias("n_loops"))
+    closing = cut.where("removed").join(reach.select("norm_id", F.col("dst").alias("source"), F.col("src").alias("target")), ["norm_id", "source", "target"], "left_semi")
+    needed = closing.unionByName(cut.where("removed AND source = target").select(closing.columns)).groupBy("norm_id").agg(F.count("*").alias("n_needed"))
+    counts = cut.groupBy("norm_id").agg(F.count("*").alias("n_edges"), F.count_if("removed").alias("n_cut"))
+    return counts.join(loops, "norm_id", "left").join(needed, "norm_id", "left").select(
+        "norm_id", "n_edges", (F.col("n_cut") == F.coalesce("n_needed", F.lit(0))).alias("minimal"), (F.coalesce("n_loops", F.lit(0)) == 0).alias("acyclic"))
+
 # --- causal check (literal norms, one scenario per user) -------------------------------------------
 
 

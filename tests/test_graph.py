@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from normtrace.operators import graph
+from normtrace.operators import cycles, graph
+from normtrace.session import settle
 
 EDGES = "norm_id bigint, source string, target string"
 
@@ -66,3 +68,83 @@ def test_cyclic_core_and_breaking(spark):
     assert {e[:3] for e in flagged if e[3]} <= core
     for n in range(20):
         assert not trim({e[1:3] for e in flagged if e[0] == n and not e[3]})
+
+
+def plain_reach(edges):
+    reach = set(edges)
+    while True:
+        more = {(a, d) for a, b in reach for c, d in edges if b == c} - reach
+        if not more:
+            return reach
+        reach |= more
+
+
+@pytest.fixture(scope="module")
+def tangled():
+    rng = random.Random(7)
+    names = [f"E{i}:s" for i in range(9)]
+    given = {(n, a, b) for n in range(30) for a in names for b in names if rng.random() < 0.04 * (1 + n % 5)}
+    return given | {(None, "a", "b"), (None, "b", "a"), (None, "b", "c"), (99, "x", "x")}
+
+
+@pytest.mark.parametrize("limit", [cycles.LOCAL_EDGES, 8])
+def test_components_core_and_reach_at_any_size(spark, tangled, limit):
+    """All norms where their edges meet, or the larger ones in rounds."""
+    df = settle(spark.createDataFrame(sorted(tangled, key=str), EDGES), "edges")
+    want, core, pairs = set(), set(), set()
+    for n in {e[0] for e in tangled}:
+        edges = {e[1:] for e in tangled if e[0] == n}
+        reach = plain_reach(edges)
+        pairs |= {(n, *p) for p in reach}
+        core |= {(n, *e) for e in trim(edges)}
+        for v in {x for e in edges for x in e}:
+            mates = {w for w in {x for e in edges for x in e} if (v, w) in reach and (w, v) in reach} | {v}
+            want.add((n, v, min(mates), len(mates), (v, v) in reach))
+    assert rows(cycles.cycle_components(df, limit)) == want
+    assert rows(cycles.cyclic_core(df, limit)) == core
+    assert rows(graph.reachability(df, settled=True, limit=limit)) == pairs
+
+
+@pytest.mark.parametrize("limit", [cycles.LOCAL_EDGES, 12])
+def test_cut_is_acyclic_and_minimal(spark, tangled, limit):
+    df = spark.createDataFrame(sorted(tangled, key=str), EDGES)
+    ranks = spark.createDataFrame([(f"E{i}", i % 4) for i in range(9)], "entity string, rank int")
+    flagged = rows(graph.cut_cycles(df, ranks, limit=limit))
+    assert {e[:3] for e in flagged} == tangled
+    smaller = 0
+    for n in {e[0] for e in tangled}:
+        kept, gone = ({e[1:3] for e in flagged if e[0] == n and e[3] == removed} for removed in (False, True))
+        assert not trim(kept)
+        if limit == cycles.LOCAL_EDGES:
+            reach = plain_reach(kept)
+            assert all(s == t or (t, s) in reach for s, t in gone)
+            smaller += len(trim(kept | gone)) - len(gone)
+    assert limit < cycles.LOCAL_EDGES or smaller > 0
+
+
+def test_witnesses_are_cycles_and_lose_their_worst_edge(spark):
+    two_rings = [("A:1", "B:1"), ("B:1", "C:1"), ("C:1", "A:1"), ("C:1", "D:1"), ("D:1", "B:1"), ("D:1", "E:1")]
+    df = spark.createDataFrame([(1, *e) for e in two_rings], EDGES)
+    ranks = spark.createDataFrame([(x, i) for i, x in enumerate("ABCDE")], "entity string, rank int")
+    found = sorted(cycles.witness_cycles(graph.rank_edges(df, ranks)).collect())
+    cuts = {}
+    for r in found:
+        cuts.setdefault(r.cut_no, []).append(r)
+    for links in cuts.values():
+        assert all(a.target == b.source for a, b in zip(links, links[1:] + links[:1])) and sum(r.worst for r in links) == 1
+    assert {(r.source, r.target) for r in found if r.worst and not r.put_back} == {("C:1", "A:1"), ("D:1", "B:1")}
+
+
+def test_a_long_ring_and_a_long_chain(spark):
+    n = 100_000
+    name = lambda c: F.concat(F.lit("s"), F.lpad(c.cast("string"), 6, "0"))
+    ring = spark.range(n).select(F.lit(0).cast("bigint").alias("norm_id"), name(F.col("id")).alias("source"), name((F.col("id") + 1) % n).alias("target"))
+    found = cycles.cycle_components(ring).agg(F.count("*"), F.min("component_id"), F.max("component_id"), F.min("n_states")).first()
+    assert tuple(found) == (n, "s000000", "s000000", n)
+    assert cycles.cyclic_core(ring.where("source != 's000500'")).count() == 0
+
+
+def test_no_edges(spark):
+    none = spark.createDataFrame([], EDGES)
+    ranks = spark.createDataFrame([("E1", 1)], "entity string, rank int")
+    assert cycles.cycle_components(none).count() == graph.reachability(none).count() == graph.cyclic_core(none).count() == graph.cut_cycles(none, ranks).count() == 0
