@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtrace.llm.batches import struct_array, text_slices
+from normtrace.session import settle
 
 ORDER = 4
 SAMPLE_ROWS = 300
@@ -199,14 +200,17 @@ def freeze(counts: list[tuple[str, int, int, int]], order: int = ORDER, least_se
 def sample_texts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(lang, text)``: ``sample_rows`` distinct texts of every language (all, if fewer), by a hash of text.
 
-    A share drawn by the same hash, about twice as many, is all that is sorted.
+    Only hashes are counted and drawn, of those about twice as many as needed are ordered; the written
+    choice, ``sample_rows`` hashes of a language, is then small enough to find its texts where they are.
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    texts = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = labelled.join(texts, "lang").where(draw * F.col("n") < 2 * sample_rows + 50).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 20)), "h")
-    return drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select("lang", "text")
+    hashes = settle(labelled.select("lang", "h").distinct(), "hashes")
+    texts = settle(hashes.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    draw = F.pmod(F.col("h"), F.lit(1 << 20))
+    drawn = hashes.join(texts, "lang").where(draw * F.col("n") < F.lit((2 * sample_rows + 50) << 20).cast("long"))
+    order = Window.partitionBy("lang").orderBy(draw, "h")
+    chosen = settle(drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select("lang", "h"), "sample")
+    return labelled.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def learn(docs: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -> Model | None:
