@@ -160,12 +160,17 @@ def unsuccessful(generations: DataFrame) -> DataFrame:
     return generations.where(~F.col("status").eqNullSafe(F.lit(SUCCESS)))
 
 
-def upsert(old: DataFrame, retried: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Retried rows over old ones; a retry that ended rate-limited (null status) changes nothing."""
+def upsert(old: DataFrame, retried: DataFrame, keys: list[str], columns: list[str] | None = None, attempt: str | None = None) -> DataFrame:
+    """Retried rows over old ones; a retry that ended rate-limited (null status) changes nothing.
+
+    Of several retries of a key one counts: the last by ``attempt`` (any order, null first), then a
+    success before a failure, then the greatest hash. Old rows stay as many as they are.
+    """
     columns = columns or [c for c in METRIC_NAMES if c in old.columns]
-    new = retried.where(F.col("status").isNotNull() & ~_rate_limited(F.col("status"))).select(
-        *keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in columns])
-    pick = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    order = F.struct(*([attempt] if attempt else []), F.col("status") == SUCCESS, F.xxhash64(*columns))
+    new = retried.where(F.col("status").isNotNull() & ~_rate_limited(F.col("status"))).groupBy(*keys).agg(
+        F.lit(True).alias("_new"), F.max_by(F.struct(*columns), order).alias("_last"))
+    pick = lambda c: F.when(F.col("_new"), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c)
     rest = [c for c in old.columns if c not in keys and c not in columns]
     return old.join(new, keys, "left").select(*keys, *rest, *[pick(c) for c in columns])
 

@@ -415,6 +415,18 @@ SELECT model, count(*) AS n_total, count(*) FILTER (status = '{models.SUCCESS}')
        count(*) - count(*) FILTER (status = '{models.SUCCESS}') AS n_failure,
        round(count(*) FILTER (status = '{models.SUCCESS}')::DOUBLE / count(*), 6) AS ratio FROM final GROUP BY model"""
 
+ORACLES["resumed_calls"] = f"""WITH d AS (
+  SELECT doc_id, text, length(text) - length(replace(text, ' ', '')) + 1 AS w, {STATUS} AS status FROM documents)
+SELECT doc_id, CASE WHEN status = '{models.SUCCESS}' THEN {ANSWER} END AS text, CAST(CASE WHEN status = '{models.SUCCESS}' THEN w END AS INTEGER) AS completion_tokens,
+       CASE WHEN text IS NOT NULL THEN status END AS status, CASE WHEN text IS NULL THEN NULL WHEN status = '{models.SUCCESS}' THEN 1 ELSE 2 END::INTEGER AS attempts
+FROM d"""
+ORACLES["retried_keys"] = f"""WITH l AS (
+  SELECT l_orderkey, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS text,
+         CASE WHEN l_linestatus = 'F' THEN '{models.SUCCESS}' WHEN l_linenumber < 3 THEN 'Erreur: 429' ELSE 'Erreur: timeout' END AS status,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS n
+  FROM lineitem WHERE l_linestatus = 'F' OR l_linenumber >= 3)
+SELECT o_orderkey, coalesce(l.text, 'before') AS text, coalesce(l.status, 'none') AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey AND n = 1"""
+
 # --- comparison of models ------------------------------------------------------------------------
 
 GENERATIONS = f"""gen AS (

@@ -16,7 +16,7 @@ from normtrace.functions import answers as ax
 from normtrace.functions import states as sx
 from normtrace.functions import text as tx
 from normtrace.operators import benchmark as bm
-from normtrace.operators import causal, cycles, graph, models, preconditions, scenarios, scoring, similarity
+from normtrace.operators import causal, cycles, graph, ledger, models, preconditions, scenarios, scoring, similarity
 from normtrace.plans import audit as au
 from normtrace.plans import conformance as cf
 from normtrace.plans import fixtures as fx
@@ -731,6 +731,26 @@ def success_ratio(spark, sf):
     return ratio.withColumn("ratio", F.round("ratio", 6))
 
 
+@query
+def resumed_calls(spark, sf):
+    """Document texts asked in two passes over one ledger; the texts a model fails on are asked again."""
+    docs = spread(fx.table(spark, sf, "documents")).select("doc_id", F.col("text").alias("prompt"))
+    folder = fresh_path(spark, "ledger")
+    done = ledger.ask(docs, "prompt", lambda: _echo_model(), folder, "echo", passes=2, files_at_once=8)
+    return done.select("doc_id", "text", "completion_tokens", "status", "attempts")
+
+
+@query
+def retried_keys(spark, sf):
+    """Every line of an order is an attempt at it; the last one recorded counts."""
+    status = F.when(F.col("l_linestatus") == "F", F.lit(models.SUCCESS)).when(F.col("l_linenumber") < 3, F.lit("Erreur: 429")).otherwise("Erreur: timeout")
+    lines = fx.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("attempt"),
+        F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("text"), status.alias("status"))
+    old = fx.table(spark, sf, "orders").select("o_orderkey", F.lit("before").alias("text"), F.lit("none").alias("status"))
+    return models.upsert(old, lines, ["o_orderkey"], ["text", "status"], attempt="attempt")
+
+
 # --- comparison of models ----------------------------------------------------------------------------
 
 
