@@ -210,7 +210,8 @@ def sample_texts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     drawn = hashes.join(texts, "lang").where(draw * F.col("n") < F.lit((2 * sample_rows + 50) << 20).cast("long"))
     order = Window.partitionBy("lang").orderBy(draw, "h")
     chosen = settle(drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select("lang", "h"), "sample")
-    return labelled.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    # a language's sample is bounded: counted in one place, its strings come out once each
+    return labelled.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text").repartition("lang")
 
 
 def learn(docs: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -> Model | None:
