@@ -11,6 +11,8 @@ from tools.check_oracles import TABLES, compare
 SF = "/root/testdata/sf0.001"
 SLOW = {"text_corpus_scan", "stream_causal", "stream_contamination", "csv_audit_report"}  # many files or batches; run by tools/check_oracles.py
 
+NO_SQL = {"witness_cycles", "minimal_cut"}  # which cut is found is beyond SQL; cut_is_minimal and test_graph.py hold it
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -22,11 +24,11 @@ def con():
 
 
 def test_same_keys():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | NO_SQL
     assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW - NO_SQL))
 def test_query_equals_sql(spark, con, name):
     verdict, _ = compare(spark, con, name, contract.queries()[name], contract.oracle_sql()[name], SF)
     assert verdict.startswith("ok"), verdict
