@@ -15,7 +15,8 @@ where there is nothing else.
 Text comes out by block, white space inside a block as one space, blocks in page order.
 
 Defined results: a null or empty page has an empty text; tags left open end with what holds them, stray
-end tags are ignored, a text without tags is one block; repeated rows come out as often as they occur;
+end tags are ignored, a text without tags is one block; a page of any length and depth takes time in proportion to its
+length, however broken its tags are; repeated rows come out as often as they occur;
 nulls in other columns are kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -44,7 +45,7 @@ HEAD = set("title meta link style script base noscript template".split())
 FENCES = set("ul ol dl table select menu article section div body html".split())
 
 # What is never main text: elements, roles, and words of classes and ids.
-NEVER = set("script style noscript template iframe form nav footer aside button select textarea input svg canvas object head menu dialog".split())
+NEVER = set("script style noscript template iframe nav footer aside button select textarea input svg canvas object head menu dialog".split())
 ROLES = set("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
 WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb
 breadcrumbs sidebar aside footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal
@@ -57,8 +58,8 @@ wrap wrapper container section block links link buttons button icons unit slot f
 KEEP_INSIDE = ("article", "main")
 CONTAINERS = set("html body div section article main center table tbody td".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?)?")
 NAME_WORD = re.compile(r"[a-z]+")
 
 
@@ -76,32 +77,26 @@ class Element:
         return (p for p in self.parts if isinstance(p, Element))
 
 
-def never_main(tag: str, attributes: str, inside: bool) -> bool:
+def never_main(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether an element is page furniture by its name or role, or hidden."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
     if not attributes or tag in ("body", "html", *KEEP_INSIDE):
         return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        value = unescape("".join(values)).lower()
-        if name.lower() == "role" and value in ROLES:
-            return True
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+    return (attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+            or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)))
 
 
-def furniture_names(tag: str, attributes: str) -> set[str]:
-    """The furniture that classes and ids of an element name."""
-    if not attributes or tag in ("body", "html", *KEEP_INSIDE):
+def furniture_names(tag: str, attributes: dict[str, str]) -> set[str]:
+    """The furniture that classes and ids of an element name; a form names itself."""
+    if tag in ("body", "html", *KEEP_INSIDE):
         return set()
-    out: set[str] = set()
-    for name, *values in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id"):
-            for token in unescape("".join(values)).lower().split():
-                words = set(NAME_WORD.findall(token))
-                if words <= WORDS | BESIDE:
-                    out |= words & WORDS
+    out: set[str] = {"form"} if tag == "form" else set()
+    for name in ("class", "id"):
+        for token in attributes.get(name, "").lower().split():
+            words = set(NAME_WORD.findall(token))
+            if words <= WORDS | BESIDE:
+                out |= words & WORDS
     return out
 
 
@@ -132,73 +127,116 @@ def keep_most(root: Element) -> None:
         element.never = id(element) not in stay
 
 
+class Tags:
+    """The tags of a page in one forward scan: text before, name, whether it ends an element, attributes.
+
+    A quote that nothing closes is part of its value. A tag without an end, which only the last ones of a
+    page can be, stops at the next ``>``; without one the rest of the page is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.at, self.whole = html, 0, True
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, dict[str, str], bool]]:
+        html, size = self.html, len(self.html)
+        seen = self.at
+        while (start := html.find("<", seen)) >= 0:
+            after = html[start + 1:start + 2]
+            if after in ("!", "?"):
+                end = html.find("-->", start + 2) + 3 if html.startswith("<!--", start) else html.find(">", start) + 1
+                text, self.at = html[self.at:start], end if end > start else size
+                yield text, "", False, {}, False
+            else:
+                name = TAG_NAME.match(html, start + 1 + (after == "/"))
+                if not name:
+                    seen = start + 1
+                    continue
+                read = self.attributes(name.end())
+                if not read:
+                    break
+                end, found = read
+                text, self.at = html[self.at:start], end
+                yield text, name[0].lower(), after == "/", found, html[name.end():end - 1].rstrip().endswith("/")
+            seen = self.at
+        if self.at < size:
+            yield html[self.at:], "", False, {}, False
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str]] | None:
+        """Where the tag ends and its attributes, the first of each name; None if it has no end."""
+        html, size, found, start = self.html, len(self.html), {}, at
+        while self.whole and at < size:
+            if html[at] == ">":
+                return at + 1, found
+            one = ATTRIBUTE.match(html, at)
+            at = one.end()
+            if one[1]:
+                found.setdefault(one[1].lower(), unescape(one[2] or one[3] or one[4] or ""))
+        self.whole = False
+        end = html.find(">", start)
+        return (end + 1, {}) if end >= 0 else None
+
+
 def parse(html: str) -> Element:
     """The tree of a page; elements that are never main text keep no contents."""
-    root = now = Element("html", None)
-    at, size = 0, len(html)
-    inside = 0
-
-    def close(element: Element) -> Element:
-        nonlocal inside
-        inside -= element.tag in KEEP_INSIDE
-        return element.parent or root
-
-    def drop_to(tags: tuple[str, ...], fences: set[str]) -> None:
-        """Close the nearest open element of ``tags`` unless a fence stands before it."""
-        nonlocal now
-        up = now
-        while up is not root and up.tag not in tags:
-            if up.tag in fences:
-                return
-            up = up.parent
-        if up is not root:
-            while now is not up:
-                now = close(now)
-            now = close(now)
-
-    while at < size:
-        token = TOKEN.search(html, at)
-        if not token:
-            break
-        if token.start() > at:
-            now.parts.append(html[at:token.start()])
-        at = token.end()
-        tag = (token[2] or "").lower()
-        if not tag:
+    root = Element("html", None)
+    stack = [root]
+    depths: dict[str, list[int]] = {}
+    has_body = False
+    tags = Tags(html)
+
+    def push(element: Element) -> None:
+        depths.setdefault(element.tag, []).append(len(stack))
+        stack.append(element)
+
+    def close(depth: int) -> None:
+        """Close the element at ``depth`` and all in it."""
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
+
+    def deepest(names: tuple[str, ...] | set[str]) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
+    def drop_to(names: tuple[str, ...], fences: set[str]) -> None:
+        """Close the nearest open element of ``names`` unless a fence stands before it."""
+        depth = deepest(names)
+        if depth and depth >= deepest(fences):
+            close(depth)
+
+    for text, tag, ends, attributes, closed in tags:
+        if text:
+            stack[-1].parts.append(text)
+        if not tag or tag == "html" and not ends:
             continue
-        if token[1]:
+        if ends:
             drop_to((tag,), {"table", "article", "body"} - {tag} if tag not in ("body", "html") else set())
             continue
-        if tag == "html":
-            continue
         if tag == "body":
-            if all(c.tag != "body" for c in root.children()):
-                while now is not root:
-                    now = close(now)
-                root.parts.append(now := Element("body", root))
+            if not has_body:
+                close(1)
+                body = Element("body", root)
+                root.parts.append(body)
+                push(body)
+                has_body = True
             continue
         if tag in CLOSES_P:
             drop_to(("p",), FENCES)
         if tag in SIBLINGS:
             drop_to(SIBLINGS[tag], FENCES - set(SIBLINGS[tag]))
-        if now.tag == "head" and tag not in HEAD:
-            now = close(now)
-        child = Element(tag, now, never_main(tag, token[3], inside > 0))
-        child.named = furniture_names(tag, token[3])
-        now.parts.append(child)
-        if tag in VOID or token[3].rstrip().endswith("/") and tag in ("svg", "path"):
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+        inside = bool(depths.get("article") or depths.get("main"))
+        child = Element(tag, stack[-1], never_main(tag, attributes, inside))
+        child.named = furniture_names(tag, attributes)
+        stack[-1].parts.append(child)
+        if tag in VOID or closed and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
+            end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, tags.at)
             if not child.never:
-                child.parts.append(html[at:end.start() if end else size])
-            at = html.find(">", end.start()) + 1 if end else size
-            at = at or size
+                child.parts.append(html[tags.at:end.start() if end else len(html)])
+            tags.at = html.find(">", end.start()) + 1 or len(html) if end else len(html)
             continue
-        inside += tag in KEEP_INSIDE
-        now = child
-    if at < size:
-        now.parts.append(html[at:])
+        push(child)
     return root
 
 

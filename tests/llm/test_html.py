@@ -1,6 +1,8 @@
 """Main text of pages: planted articles, odd markup."""
 
+import math
 import re
+import time
 from html import unescape
 
 import pytest
@@ -82,3 +84,63 @@ def test_no_two_and_nested_articles(html, parts):
 ])
 def test_names_of_content(html, title):
     assert html_density.main_text(html) == title + PARAGRAPH.strip()
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><div><p title='a hidden gem'>{PARAGRAPH}</p></div>",
+    f"<body><div><p title='the hidden house' data-note='class=menu'>{PARAGRAPH}</p></div>",
+    f"<body><div><p data-x=it's>{PARAGRAPH}</p></div>",
+    f"<body><div><p>{PARAGRAPH.replace('the story', '<a href=page?id=menu>the story</a>')}</p></div>",
+    f"<body><form action=/ method=post><nav>Home</nav><div><p>{PARAGRAPH}</p></div><input name=state></form>",
+    f"<body><div class='a\" b'><p title=\"never closed>{PARAGRAPH}</p></div>",
+    f"<body><div><p>{PARAGRAPH}</p></div><form><p>mail <input></form>",
+])
+def test_attributes_quotes_and_forms(html):
+    assert html_density.main_text(html) == PARAGRAPH.strip()
+
+
+@pytest.mark.parametrize("piece", ["<a b ", '<a b="', "<a b='>", "</p", "<p ' \" ", "<!-", "<div></b></i>", "<p><table></p>", "</ul><li>", "<body>x", "<script>", "<title>x", "< "])
+def test_broken_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    html_density.parse(page)
+    assert time.process_time() - start < 8
+
+
+def test_stray_ends_on_deep_pages():
+    start = time.process_time()
+    html_density.main_text("<p><table>" + "<div>" * 20_000 + "word" + "</p></b>" * 20_000)
+    assert time.process_time() - start < 8
+
+
+def plain_density(element):
+    """Characters, tags, link characters and link tags of a subtree, counted by recursion."""
+    counts = [0, 0, 0, 0]
+    for part in element.parts:
+        if isinstance(part, str):
+            counts[0] += sum(not c.isspace() for c in unescape(part))
+        else:
+            below = plain_density(part)
+            counts = [a + b for a, b in zip(counts, below)]
+            counts[1] += 1
+            counts[3] += part.tag == "a"
+    if element.tag == "a":
+        counts[2] = counts[0]
+    return counts
+
+
+def test_densities_equal_a_plain_count(spark):
+    for page in queries.table(spark, "/root/testdata/sf0.001", "pages").collect():
+        root = html_density.parse(page.html)
+        order = html_density.weigh(root)
+        _, _, links, _ = plain_density(root)
+        share = links / max(1, root.chars)
+        want = {}
+        for e in order:
+            chars, tags, link_chars, link_tags = plain_density(e)
+            weight = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+            base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+            want[id(e)] = chars / max(1, tags) * math.log(weight) / base if chars and weight > 1 else 0.0
+        for e in order:
+            assert e.density == pytest.approx(want[id(e)])
+            assert e.total == pytest.approx(sum(want[id(c)] for c in e.children()))
