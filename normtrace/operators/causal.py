@@ -11,13 +11,14 @@ contaminated state stays so. With ``first(k)`` the least (step, position) at whi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtrace.session import settle
 
 SCENARIO = ["norm_id", "scenario_id"]
 NO_STRINGS = "array<string>"
+STEPS_PER_BLOCK = 65_536
 
 
 def place(step: Column, u_pos: Column) -> Column:
@@ -176,34 +177,58 @@ def contaminated(decisions: DataFrame) -> DataFrame:
         *SCENARIO, "state_id", F.col("activated").alias("attempted"))
 
 
-def _steps_of_states(decisions: DataFrame) -> DataFrame:
-    """Per scenario: first steps of its validated states and of its violations (few per scenario).
+def _beside(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys``, null keys being keys like any other."""
+    renamed = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= rows[k].eqNullSafe(renamed[f"_{k}"])
+    return rows.join(renamed, same, "left").drop(*[f"_{k}" for k in keys])
 
-    Written first: its size is known then, and a join with a hot scenario on the long side can be split
-    by AQE, which it cannot be straight on top of an aggregation.
-    """
-    steps = decisions.where("activated").groupBy(*SCENARIO).agg(
-        F.collect_list(F.when(~F.col("contaminated"), F.struct("state_id", "first_step"))).alias("valid"),
-        F.collect_list(F.when(F.col("contaminated"), F.col("first_step"))).alias("violated"),
-    )
-    return settle(steps, "steps")
 
-
-def step_trace(facts: DataFrame, decisions: DataFrame) -> DataFrame:
+def step_trace(facts: DataFrame, decisions: DataFrame, steps_per_block: int = STEPS_PER_BLOCK) -> DataFrame:
     """Per step: size of the validated set after it, violations so far, and new violations.
 
-    Each step counts the few decisions of its scenario up to itself, so no running sum has to see a
-    scenario as a whole and a long one can be split over tasks (AQE skew join).
+    Running sums over steps and decisions in one sorted pass. A scenario is cut into blocks of steps; a
+    task sums within its block, and what the blocks before it add up to comes from a table with one row per
+    scenario and later block. So no task sees a long scenario as a whole, and the work is that of a sort,
+    whatever the number of states. A scenario without decisions counts nothing; decisions of a scenario
+    without facts are not shown; repeated rows come out as often as they occur.
     """
-    upto = lambda steps: F.size(F.filter(steps, lambda s: s <= F.col("step")))
-    none = F.array().cast("array<int>")
-    valid = F.coalesce(F.transform("valid", lambda v: v["first_step"]), none)
-    violated = F.coalesce("violated", none)
-    return facts.select(*SCENARIO, "step").join(_steps_of_states(decisions), SCENARIO, "left").select(
+    block = F.floor(F.col("step") / steps_per_block).alias("_block")
+    marks = settle(
+        decisions.where("activated").groupBy(*SCENARIO, F.col("first_step").alias("step")).agg(
+            F.count_if(~F.col("contaminated")).alias("valid"), F.count_if("contaminated").alias("violated")),
+        "marks").select("*", block)
+    steps = facts.select(*SCENARIO, "step", block)
+    nothing = [F.lit(0).cast("long").alias("valid"), F.lit(0).cast("long").alias("violated")]
+
+    blocks = [*SCENARIO, "_block"]
+    before = Window.partitionBy(*SCENARIO).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        steps.where("_block > 0").select(*blocks).distinct().select(*blocks, *nothing)
+        .unionByName(marks.select(*blocks, "valid", "violated"))
+        .groupBy(*blocks).agg(F.sum("valid").alias("valid"), F.sum("violated").alias("violated"))
+        .select(*blocks, F.sum("valid").over(before).alias("_valid"), F.sum("violated").over(before).alias("_violated"))
+        .where("_block > 0")
+    )
+
+    ordered = Window.partitionBy(*blocks).orderBy("step")
+    upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+    summed = (
+        steps.select("*", *nothing, F.lit(True).alias("_shown"))
+        .unionByName(marks.withColumn("_shown", F.lit(False)))
+        .select(*blocks, "step", "_shown", F.sum("valid").over(upto).alias("valid"),
+                F.sum("violated").over(upto).alias("violated"), F.sum("violated").over(at).alias("new"))
+        .where("_shown")
+    )
+    carried = lambda own, offset: (F.col(own) + F.coalesce(offset, F.lit(0))).cast("int")
+    return _beside(summed, offsets, blocks).select(
         *SCENARIO, "step",
-        upto(valid).alias("n_validated"),
-        upto(violated).alias("n_violations"),
-        F.size(F.filter(violated, lambda s: s == F.col("step"))).alias("n_new_violations"),
+        carried("valid", "_valid").alias("n_validated"),
+        carried("violated", "_violated").alias("n_violations"),
+        F.col("new").cast("int").alias("n_new_violations"),
     )
 
 
@@ -211,17 +236,20 @@ def activation_trace(activations: DataFrame, decisions: DataFrame, links: DataFr
     """Per activation the preconditions not validated by the end of its step (the displayed set).
 
     This uses the validated set after the step, so it can differ from the missing set of a violation.
+    Every active state gets, once per scenario, the steps at which its preconditions were validated; an
+    activation looks only at those of its own state.
     """
-    no_strings = F.array().cast(NO_STRINGS)
-    reached = F.transform(
-        F.filter("valid", lambda v: v["first_step"] <= F.col("step")), lambda v: v["state_id"])
-    return (
-        activations.join(links.select("norm_id", "state_id", "pres"), ["norm_id", "state_id"], "left")
-        .join(_steps_of_states(decisions).drop("violated"), SCENARIO, "left")
-        .select(*SCENARIO, "step", "u_pos", "state_id",
-                F.array_sort(F.array_except(F.coalesce("pres", no_strings), F.coalesce(reached, no_strings)))
-                .alias("missing_after_step"))
-    )
+    state = [*SCENARIO, "state_id"]
+    active = settle(decisions.where("activated").select(*state, "first_step", "contaminated"), "active")
+    needed = active.join(links.select("norm_id", "state_id", "pres"), ["norm_id", "state_id"]).select(
+        *state, F.explode("pres").alias("pre"))
+    valid = active.where("NOT contaminated").select(*SCENARIO, F.col("state_id").alias("pre"), F.col("first_step").alias("since"))
+    waits = _beside(needed, valid, [*SCENARIO, "pre"]).groupBy(*state).agg(
+        F.collect_list(F.struct("pre", "since")).alias("waits"))
+    late = F.filter("waits", lambda w: w["since"].isNull() | (w["since"] > F.col("step")))
+    missing = F.array_sort(F.transform(late, lambda w: w["pre"]))
+    return _beside(activations, waits, state).select(
+        *SCENARIO, "step", "u_pos", "state_id", F.coalesce(missing, F.array().cast(NO_STRINGS)).alias("missing_after_step"))
 
 
 def coverage(facts: DataFrame, activations: DataFrame) -> DataFrame:

@@ -63,8 +63,9 @@ def user_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "step", "event_type", "k")
 
 
-def user_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _activate(user_facts(spark, sf_dir), ["norm_id", "scenario_id"])
+def user_activations(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """Of the given facts, or of those of the events."""
+    return _activate(user_facts(spark, sf_dir) if facts is None else facts, ["norm_id", "scenario_id"])
 
 
 def event_edges(spark: SparkSession) -> DataFrame:

@@ -163,7 +163,9 @@ def contaminated_states(spark, sf):
 
 @query
 def step_trace(spark, sf):
-    return causal.step_trace(fx.user_facts(spark, sf), _user_decisions(spark, sf)).drop("norm_id")
+    facts = fx.user_facts(spark, sf)
+    decisions = au.audit(fx.event_norms(spark), fx.user_activations(spark, sf, facts))
+    return causal.step_trace(facts, decisions).drop("norm_id")
 
 
 @query

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from normtrace.operators import causal, graph, scoring
@@ -131,6 +132,43 @@ def test_traces(spark):
     assert (cover["n_facts"], cover["n_active"]) == (5, 2)
 
 
+@pytest.mark.parametrize("steps_per_block", [1, 7, 65_536])
+def test_step_trace_of_long_scenarios(spark, steps_per_block):
+    rng = random.Random(5)
+    facts, decided = [], []
+    for scenario in (None, 1, 2, 3):
+        facts += [(0, scenario, step) for step in sorted(rng.sample(range(400), 120))] if scenario != 3 else []
+        places = rng.sample([step for _, s, step in facts if s == scenario] or [4], 40 if scenario in (None, 1) else 1)
+        decided += [(0, scenario, f"s{i}", step, True, rng.random() < 0.4) for i, step in enumerate(places * 2)]
+        decided.append((0, scenario, "downstream", None, False, True))
+    facts += [(9, 1, 5), (0, 1, facts[130][2])]  # no decisions; a repeated row
+    keys = "norm_id bigint, scenario_id bigint"
+    got = causal.step_trace(
+        spark.createDataFrame(facts, f"{keys}, step int"),
+        spark.createDataFrame(decided, f"{keys}, state_id string, first_step int, activated boolean, contaminated boolean"), steps_per_block)
+    want = []
+    for norm, scenario, step in facts:
+        own = [d for d in decided if d[:2] == (norm, scenario) and d[4]]
+        bad = [d[3] for d in own if d[5]]
+        want.append((norm, scenario, step, sum(d[3] <= step and not d[5] for d in own), sum(b <= step for b in bad), bad.count(step)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_activation_trace_equals_a_walk(spark):
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(12)]
+    edges = [(0, a, b) for i, a in enumerate(names) for b in names[i + 1:] if rng.random() < 0.25]
+    norms = norms_of(spark, edges)
+    rows = [(0, s, step, 0, rng.choice(names)) for s in range(6) for step in range(40)] + [(0, 7, 0, 0, "unknown")]
+    acts = spark.createDataFrame(rows, ACTS)
+    decisions = au.audit(norms, acts)
+    since = {(r.scenario_id, r.state_id): r.first_step for r in causal.validated(decisions).collect()}
+    got = {tuple(r)[1:5]: r.missing_after_step for r in causal.activation_trace(acts, decisions, norms.links).collect()}
+    assert got == {
+        (s, step, 0, state): sorted(a for _, a, b in edges if b == state and since.get((s, a), 10**9) > step)
+        for _, s, step, _, state in rows}
+
+
 def test_report(spark):
     norms = norms_of(spark, [(0, "a", "b"), (0, "b", "c")])
     acts = spark.createDataFrame(
