@@ -266,6 +266,10 @@ SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
 ORACLES["zscore_projection_batched"] = ORACLES["zscore_projection"]
 ORACLES["zscore_projection_floor0"] = f"""WITH {_label_means('vec_id % 4')}, {_project(FACTS, 'vec_id', 0.8, 0.0)}
 SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
+ORACLES["zscore_pruned"] = f"""WITH states AS (
+  SELECT vec_id % 4 AS norm_id, CAST(vec_id AS INTEGER) AS u_pos, 'v' || vec_id AS state_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+{_project(FACTS, 'vec_id', 2.0, 0.2)}
+SELECT vec_id, u_pos, state_id, round(sim, 4) AS sim FROM chosen"""
 ORACLES["projection_coverage"] = f"""WITH {_label_means('vec_id % 4')}, {_project(FACTS, 'vec_id', 0.5, 0.5)}
 SELECT vec_id % 4 AS norm_id, CAST(e.label AS BIGINT) AS scenario_id, count(*) AS n_facts,
        count(*) FILTER (e.vec_id IN (SELECT vec_id FROM chosen)) AS n_active FROM embeddings e GROUP BY ALL"""

@@ -16,7 +16,7 @@ from normtrace.functions import answers as ax
 from normtrace.functions import states as sx
 from normtrace.functions import text as tx
 from normtrace.operators import benchmark as bm
-from normtrace.operators import causal, cycles, graph, ledger, models, preconditions, scenarios, scoring, similarity
+from normtrace.operators import causal, cycles, graph, ledger, models, preconditions, scenarios, scoring, similarity, universes
 from normtrace.plans import audit as au
 from normtrace.plans import conformance as cf
 from normtrace.plans import fixtures as fx
@@ -314,6 +314,14 @@ def zscore_projection_floor0(spark, sf):
                                         lam=0.8, floor=0.0))
 
 
+@query
+def zscore_pruned(spark, sf):
+    """Every vector is a state of its norm too: thresholds from moments, blocks of states pruned by bounds."""
+    states = _vectors(spark, sf).select(_vector_norm().alias("norm_id"), F.col("vec_id").cast("int").alias("u_pos"),
+                                        F.concat(F.lit("v"), "vec_id").alias("state_id"), F.col("embedding").alias("vector"))
+    return _selected(universes.project_pruned(_vector_facts(spark, sf), universes.index_states(states), lam=2.0))
+
+
 @query
 def projection_coverage(spark, sf):
     """Each label is a scenario, each vector a fact."""

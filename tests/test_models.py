@@ -4,6 +4,7 @@ import pytest
 from normtrace.operators import benchmark as bm
 from normtrace.operators import models as md
 from normtrace.operators import scoring, similarity as sm
+from normtrace.operators import universes as un
 
 
 def make_loader():
@@ -97,13 +98,34 @@ def test_projection(spark, lam, floor):
     want = {(n, i): plain_selection(f, norms[n], lam, floor) for n, i, f in facts}
     for found in (sm.project(df, universe, lam=lam, floor=floor),
                   sm.project_batched(df, universe, lam=lam, floor=floor),
-                  sm.project_batched(df, universe, lam=lam, floor=floor, facts_per_group=7)):
+                  sm.project_batched(df, universe, lam=lam, floor=floor, facts_per_group=7),
+                  un.project_pruned(df, un.index_states(states, 2), lam=lam, floor=floor, per_group=7)):
         got = {}
         for r in found.collect():
             got.setdefault((r["norm_id"], r["fact"]), set()).add(r["u_pos"])
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_pruned_search_of_a_large_norm(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 8))
+    us = np.concatenate([centres[rng.integers(20, size=3000)] + 0.05 * rng.normal(size=(3000, 8)), np.zeros((1, 8))])
+    states = spark.createDataFrame([(1, i, f"s{i}", u.tolist()) for i, u in enumerate(us)] + [(2, 0, "a", [1.0]), (2, 1, "b", [1.0, 2.0]), (3, 0, "c", None)],
+                                   "norm_id bigint, u_pos int, state_id string, vector array<double>")
+    fs = centres[rng.integers(20, size=60)] + 0.05 * rng.normal(size=(60, 8))
+    rows = [(1, i, f.tolist()) for i, f in enumerate(fs)] + [(1, 100 + i, fs[0].tolist()) for i in range(40)] + [(2, 500, [1.0]), (3, 501, [1.0]), (1, 502, [1.0]), (None, 503, [1.0])]
+    facts = spark.createDataFrame(rows, "norm_id bigint, u_pos bigint, vector array<double>").withColumnRenamed("u_pos", "key")
+    index = un.index_states(states, 100)
+    got = {}
+    for r in un.project_pruned(facts, index, lam=2.0, floor=0.2, per_group=16).collect():
+        got.setdefault(r["key"], set()).add(r["u_pos"])
+    assert got == {i: plain_selection(np.array(f), us, 2.0, 0.2) for n, i, f in rows if n == 1 and len(f) == 8}
+    n_blocks = index.blocks.count()
+    opened = un.open_blocks(facts.where("norm_id = 1 AND size(vector) = 8").select("norm_id", sm.F.col("key").cast("string").alias("key"), un._unit("vector").alias("vector")), index, 2.0, 0.2).count()
+    assert opened < 0.6 * 100 * n_blocks  # bounds leave whole blocks shut
+    assert un.project_pruned(facts.limit(0), index).count() == 0 and un.project_pruned(facts, un.index_states(states.limit(0))).count() == 0
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "A b a"), (2, ""), (3, None)], "id int, text string")
     hashed = {r["id"]: r["vector"] for r in sm.hash_embed(df, ["id"], "text", 8).collect()}
