@@ -485,3 +485,5 @@ ORACLES["batched_generations"] = r"""SELECT min(doc_id) AS doc_id, 'Succès' AS
 ORACLES["timed_calls"] = """SELECT page_id, url AS answer, true AS timed FROM pages"""
 ORACLES["corpus_file_status"] = """SELECT 'lang=' || lang AS folder, CASE WHEN doc_id % 10 = 0 THEN 'not UTF-8' ELSE 'read' END AS status, count(*) AS n_files
 FROM documents GROUP BY ALL"""
+ORACLES["corpus_files_once"] = f"""SELECT 'lang=' || lang AS folder, CASE WHEN doc_id % 10 <> 0 THEN {PY_STRIP.format('text')} END AS text,
+       CASE WHEN doc_id % 10 = 0 THEN 'not UTF-8' END AS reason FROM documents"""

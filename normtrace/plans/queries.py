@@ -24,6 +24,7 @@ from normtrace.plans.normative import norm_summary
 from normtrace.session import fresh_path, settle, spread
 from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
+from normtrace.sources import files as fl
 from normtrace.streaming import incremental as inc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -835,6 +836,16 @@ def corpus_file_status(spark, sf):
     return cp.file_status(spark, path).groupBy(F.split_part("source", F.lit("/"), F.lit(1)).alias("folder"), "status").agg(F.count("*").alias("n_files"))
 
 
+@query
+def corpus_files_once(spark, sf):
+    """One file per document, every tenth no UTF-8: texts, or why there is none, in one pass."""
+    path = fresh_path(spark, "corpus")
+    odd = F.when(F.col("doc_id") % 10 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    docs = spread(fx.table(spark, sf, "documents")).select("lang", F.concat("text", odd).alias("value"))
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path)
+    return fl.read_files(spark, path).select(F.split_part("source", F.lit("/"), F.lit(1)).alias("folder"), "text", "reason")
+
+
 @query
 def csv_round_trip(spark, sf):
     path = fresh_path(spark, "csv")

@@ -5,6 +5,7 @@ from normtrace.operators import preconditions as pc
 from normtrace.operators import scenarios as sn
 from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
+from normtrace.sources import files as fl
 from normtrace.sources.traces import number_steps
 
 
@@ -130,3 +131,34 @@ def test_numbering_of_ties_and_nothing(spark):
     assert sorted(r["step"] for r in got if r["k"] is None) == list(range(300))
     assert number_steps(same.limit(0), ["k"], ["at"]).count() == 0
 
+
+
+@pytest.mark.parametrize("bytes_per_task", [1, fl.BYTES_PER_TASK])
+def test_files_with_reasons_in_one_pass(spark, tmp_path, bytes_per_task):
+    folder = tmp_path / "corpus" / "er+ é 50%"
+    folder.mkdir(parents=True)
+    (folder / "one.txt").write_text(" first\nsecond \n", encoding="utf-8")
+    (folder / "empty.txt").write_text("")
+    (folder / "skip.md").write_text("no")
+    (folder / "long.txt").write_text("word " * 400_000)
+    (folder / "broken.txt").write_bytes(b"ab\xff\xfe c")
+    (folder / "folder.txt").mkdir()
+    root = str(tmp_path / "corpus")
+    want = {("one.txt", "first\nsecond", None), ("empty.txt", "", None), ("long.txt", ("word " * 400_000).strip(), None),
+            ("broken.txt", None, cp.NOT_UTF8)}
+    for path in (root, f"file:{root}"):
+        found = fl.read_files(spark, path, bytes_per_task=bytes_per_task)
+        assert {tuple(r) for r in found.collect()} == {(f"er+ é 50%/{name}", text, reason) for name, text, reason in want}
+    assert found.rdd.getNumPartitions() == (4 if bytes_per_task == 1 else 1)
+    (tmp_path / "none").mkdir()
+    assert fl.read_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_file_gone_after_listing(tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text(name)
+    reader = fl.CorpusReader({"path": str(tmp_path)})
+    group, = reader.partitions()
+    (tmp_path / "a.txt").unlink()
+    rows = [row for batch in reader.read(group) for row in batch.to_pylist()]
+    assert [(r["text"], r["reason"]) for r in rows] == [(None, cp.FAILED), ("b.txt", None)]
