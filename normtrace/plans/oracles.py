@@ -474,6 +474,15 @@ ORACLES["process_graph_flows"] = """SELECT o_orderkey AS file_index, CAST(i AS I
        o_orderkey || '-' || (i + 1) AS tgt,
        CASE WHEN i < 2 THEN '' WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'No' END AS condition
 FROM orders CROSS JOIN range(3) AS r(i)"""
+MESSAGES = """SELECT o_orderkey AS file_index, 'MessageFlow' AS section, 0 AS link_pos, o_orderkey || '-1' AS src,
+       o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '-pool' ELSE '-2' END AS tgt, CAST(NULL AS VARCHAR) AS condition, CAST(NULL AS VARCHAR) AS item FROM orders"""
+NOTES = """SELECT o_orderkey AS file_index, 'Association' AS section, 0 AS link_pos, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS tgt,
+       CAST(NULL AS VARCHAR) AS condition, '"note"' AS item FROM orders"""
+ORACLES["process_graph_links"] = f"""WITH flows AS ({ORACLES["process_graph_flows"]})
+SELECT file_index, 'SequenceFlow' AS section, flow_pos AS link_pos, src, tgt, condition, CAST(NULL AS VARCHAR) AS item FROM flows
+UNION ALL {MESSAGES} UNION ALL {NOTES}"""
+ORACLES["process_graph_dangling"] = f"""SELECT file_index, section, link_pos, 'tgt' AS side, tgt AS "end" FROM ({MESSAGES}) WHERE file_index % 3 = 0
+UNION ALL SELECT file_index, section, link_pos, side, CAST(NULL AS VARCHAR) FROM ({NOTES}), (VALUES ('src'), ('tgt')) AS s(side)"""
 # Fails on MACHINERY; request before country in BUILDING, else country is tried first and contaminated.
 ORACLES["csv_audit_report"] = """SELECT c_custkey || '#m' AS norm_id, CASE WHEN fails THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.5 END::DOUBLE AS average_score,
        CASE WHEN NOT fails THEN 'open' ELSE 'EXTRACTION_FAILED' END AS intent_T, 2::BIGINT AS nb_edges, 'Scenario 1: main' AS scenario,

@@ -25,6 +25,7 @@ from normtrace.session import fresh_path, settle, spread
 from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
 from normtrace.sources import files as fl
+from normtrace.sources import graphs as gr
 from normtrace.streaming import incremental as inc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -888,6 +889,28 @@ def process_graph_flows(spark, sf):
     return cp.process_flows(cp.read_process_graphs(spark, path, multi_line=False))
 
 
+def _messaging_graphs(spark, sf):
+    """The documents of orders with messages: to the check, or to a pool that no document holds; notes are plain texts."""
+    path = fresh_path(spark, "graphs")
+    key = F.col("file_index").cast("string")
+    pool = F.when(F.col("file_index") % 3 == 0, F.lit("-pool")).otherwise(F.lit("-2"))
+    message = F.struct(F.concat(key, F.lit("-1")).alias("src"), F.concat(key, pool).alias("tgt"), F.lit("é").alias("label"))
+    graphs = _order_graphs(spark, sf).withColumn("MessageFlow", F.array(message)).withColumn("Association", F.array(F.lit("note")))
+    cp.write_report(graphs, path)
+    return gr.read_documents(spark, path, multi_line=False)
+
+
+@query
+def process_graph_links(spark, sf):
+    return gr.links(_messaging_graphs(spark, sf)).select("file_index", "section", "link_pos", "src", "tgt", "condition",
+                                                         F.when(F.col("src").isNull(), F.col("item")).alias("item"))
+
+
+@query
+def process_graph_dangling(spark, sf):
+    return gr.dangling_ends(_messaging_graphs(spark, sf))
+
+
 # --- stream -------------------------------------------------------------------------------------------------
 
 

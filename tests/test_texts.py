@@ -6,6 +6,7 @@ from normtrace.operators import scenarios as sn
 from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
 from normtrace.sources import files as fl
+from normtrace.sources import graphs as gr
 from normtrace.sources.traces import number_steps
 
 
@@ -162,3 +163,20 @@ def test_file_gone_after_listing(tmp_path):
     (tmp_path / "a.txt").unlink()
     rows = [row for batch in reader.read(group) for row in batch.to_pylist()]
     assert [(r["text"], r["reason"]) for r in rows] == [(None, cp.FAILED), ("b.txt", None)]
+
+
+def test_graph_sections_of_any_shape(spark, tmp_path):
+    (tmp_path / "a.json").write_text("""{"file_index": 5, "step_nodes": [{"resourceId": "n1", "NodeText": "é"}, 7], "data_nodes": [{"resourceId": "d"}],
+        "SequenceFlow": [{"src": "n1", "tgt": "n2", "condition": "Yes"}], "MessageFlow": [{"src": "n1", "tgt": "d", "payload": {"kind": [1, null]}}],
+        "Association": "none", "text_nodes": []}""", encoding="utf-8")
+    (tmp_path / "b.json").write_text("{ broken")
+    (tmp_path / "c.json").write_text('{"MessageFlow": ["x"]}')
+    (tmp_path / "empty.json").write_text("")
+    docs = gr.read_documents(spark, str(tmp_path))
+    assert {tuple(r) for r in gr.nodes(docs).drop("item").collect()} == {
+        (5, "step_nodes", 0, "n1", "é", None, None), (5, "step_nodes", 1, None, None, None, None), (5, "data_nodes", 0, "d", None, None, None)}
+    assert {tuple(r) for r in gr.links(docs).collect()} == {
+        (5, "SequenceFlow", 0, "n1", "n2", "Yes", '{"condition":"Yes","src":"n1","tgt":"n2"}'),
+        (5, "MessageFlow", 0, "n1", "d", None, '{"payload":{"kind":[1,null]},"src":"n1","tgt":"d"}'), (None, "MessageFlow", 0, None, None, None, '"x"')}
+    assert {tuple(r) for r in gr.dangling_ends(docs).collect()} == {
+        (5, "SequenceFlow", 0, "tgt", "n2"), (None, "MessageFlow", 0, "src", None), (None, "MessageFlow", 0, "tgt", None)}
