@@ -60,12 +60,12 @@ def user_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scenario per user: ``norm_id, scenario_id, step`` and the event."""
     ordered = number_steps(events(spark, sf_dir), ["user_id"], ["ts", "event_id"])
     return ordered.select((F.col("user_id") % N_NORMS).alias("norm_id"), F.col("user_id").alias("scenario_id"),
-                          "step", "event_type", "k")
+                          "step", "event_type", "k", "ts")
 
 
-def user_activations(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+def user_activations(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None, timed: bool = False) -> DataFrame:
     """Of the given facts, or of those of the events."""
-    return _activate(user_facts(spark, sf_dir) if facts is None else facts, ["norm_id", "scenario_id"])
+    return _activate(user_facts(spark, sf_dir) if facts is None else facts, ["norm_id", "scenario_id", *(["ts"] if timed else [])])
 
 
 def event_edges(spark: SparkSession) -> DataFrame:
@@ -109,11 +109,11 @@ def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = events(spark, sf_dir).withColumn("day", F.date_diff("ts", F.lit("2024-01-01")).cast("long"))
     ordered = number_steps(daily, ["user_id", "day"], ["ts", "event_id"])
     return ordered.select(F.col("user_id").alias("norm_id"), F.col("day").alias("scenario_id"),
-                          "step", "event_type", "k")
+                          "step", "event_type", "k", "ts")
 
 
-def daily_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _activate(daily_facts(spark, sf_dir), ["norm_id", "scenario_id"])
+def daily_activations(spark: SparkSession, sf_dir: str, timed: bool = False) -> DataFrame:
+    return _activate(daily_facts(spark, sf_dir), ["norm_id", "scenario_id", *(["ts"] if timed else [])])
 
 
 def mean_vector(vectors: DataFrame) -> Column:

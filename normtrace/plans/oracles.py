@@ -192,6 +192,12 @@ SELECT w.scenario_id, w.state_id, CAST(w.step AS INTEGER) AS step, NOT w.bad AS
 FROM walk w JOIN firsts f ON f.scenario_id = w.scenario_id AND f.n = w.n"""
 
 ORACLES["stream_contamination"] = f"""WITH RECURSIVE {USER} SELECT scenario_id, state_id FROM cont"""
+# a scenario is closed six hours after its last event, by a watermark one hour behind the last event of all
+ORACLES["stream_closed"] = f"""WITH RECURSIVE {DAILY},
+ended AS (SELECT user_id AS norm_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS scenario_id, max(ts) AS ts FROM events GROUP BY ALL)
+SELECT r.norm_id, r.scenario_id, r.n_validated, r.n_violations, r.n_contaminated,
+       e.ts + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed
+FROM results r JOIN ended e ON e.norm_id = r.norm_id AND e.scenario_id = r.scenario_id"""
 ORACLES["corpus_violations"] = f"""WITH RECURSIVE {DAILY}
 SELECT norm_id, scenario_id, CAST(step AS INTEGER) AS transition_index, state_id AS attempted_state,
        array_to_string(list_sort(missing), '|') AS missing_preconditions FROM viol"""

@@ -26,10 +26,12 @@ from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
 from normtrace.sources import files as fl
 from normtrace.sources import graphs as gr
+from normtrace.streaming import closing as cl
 from normtrace.streaming import incremental as inc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+STREAM_SPLIT = 15  # first day of the second run of a stream
 
 
 def query(fn: Query) -> Query:
@@ -925,8 +927,26 @@ def _streamed(spark, sf, norms):
 
 @query
 def stream_contamination(spark, sf):
-    norms = fx.event_norms(spark)
-    return inc.downstream(_streamed(spark, sf, norms), norms.reach).select("scenario_id", "state_id")
+    """Contamination as the stream itself tells it; the files come in no order of time, so nothing counts as late."""
+    path = fresh_path(spark, "activations")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fx.user_activations(spark, sf, timed=True).repartition(files, "step").write.parquet(path)
+    stream = spark.readStream.schema(cl.ACTIVATIONS).option("maxFilesPerTrigger", max(1, files // 2)).parquet(path)
+    rows = cl.run_available(spark, stream, fx.event_norms(spark).links, delay="3650 days")
+    return cl.latest(rows).where("contaminated").select("scenario_id", "state_id")
+
+
+@query
+def stream_closed(spark, sf):
+    """Daily scenarios followed in two runs of the stream, and which of them are closed by then."""
+    norms, path = fx.declared_norms(spark, sf), fresh_path(spark, "activations")
+    acts = settle(fx.daily_activations(spark, sf, timed=True), "daily")
+    folder = fresh_path(spark, "closing-stream")
+    for half in (F.col("scenario_id") < STREAM_SPLIT, F.col("scenario_id") >= STREAM_SPLIT):
+        acts.where(half).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(cl.ACTIVATIONS).parquet(path)
+        rows = cl.run_available(spark, stream, norms.links, folder, idle_seconds=6 * 3600, delay="1 hour")
+    return cl.walk_summary(rows).drop("walk")
 
 
 @query

@@ -9,7 +9,7 @@ from normtrace.plans.queries import QUERIES
 from tools.check_oracles import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"text_corpus_scan", "stream_causal", "stream_contamination", "csv_audit_report"}  # many files or batches; run by tools/check_oracles.py
+SLOW = {"text_corpus_scan", "stream_causal", "stream_contamination", "stream_closed", "csv_audit_report"}  # many files or batches; run by tools/check_oracles.py
 
 NO_SQL = {"witness_cycles", "minimal_cut"}  # which cut is found is beyond SQL; cut_is_minimal and test_graph.py hold it
 
