@@ -221,6 +221,7 @@ ORACLES["report_json"] = f"""WITH RECURSIVE {DAILY}, {NORM_SIZES}
 SELECT norm_id, CAST(scenario_id AS VARCHAR) AS scenario, average_score, nb_edges, score,
        CAST(n_violations AS INTEGER) AS n_violations, CAST(n_contaminated AS INTEGER) AS n_contaminated
 FROM results JOIN sizes USING (norm_id) JOIN means USING (norm_id)"""
+ORACLES["report_folders"] = ORACLES["report_json"]
 ORACLES["error_isolation"] = f"""WITH RECURSIVE {DAILY},
 failed AS (SELECT DISTINCT norm_id, scenario_id FROM facts WHERE event_type = 'error')
 SELECT r.norm_id, count(*) AS n_scenarios, count(*) FILTER (f.norm_id IS NULL) AS n_valid,

@@ -24,6 +24,7 @@ from normtrace.plans.normative import norm_summary
 from normtrace.session import fresh_path, settle, spread
 from normtrace.sources import columns as co
 from normtrace.sources import corpus as cp
+from normtrace.sources import documents as dc
 from normtrace.sources import files as fl
 from normtrace.sources import graphs as gr
 from normtrace.streaming import closing as cl
@@ -238,6 +239,20 @@ def report_json(spark, sf):
         F.size("violations").alias("n_violations"), F.size("contaminated_states").alias("n_contaminated"))
 
 
+@query
+def report_folders(spark, sf):
+    """One document per norm as ordered lines over several files, read back: every scenario with the head of its norm."""
+    norms = fx.declared_norms(spark, sf)
+    results = settle(au.number_scenarios(settle(_daily_results(spark, sf, norms), "results")), "numbered")
+    path = fresh_path(spark, "documents")
+    dc.write_documents(dc.report_fragments(results, norm_summary(norms.states, norms.edges)), path)
+    heads, entries = dc.read_documents(spark, path)
+    own = heads.select("norm_id", "average_score", "normative_reference.nb_edges")
+    return entries.join(own, "norm_id").select(
+        "norm_id", "scenario", "average_score", "nb_edges", "score",
+        F.size("violations").alias("n_violations"), F.size("contaminated_states").alias("n_contaminated"))
+
+
 @query
 def unevaluated_scenarios(spark, sf):
     """Every customer is a scenario over its orders' status; those without an order score 1.0."""
