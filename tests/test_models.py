@@ -1,3 +1,6 @@
+import re
+from hashlib import md5
+
 import numpy as np
 import pytest
 
@@ -131,6 +134,17 @@ def test_embedding(spark):
     hashed = {r["id"]: r["vector"] for r in sm.hash_embed(df, ["id"], "text", 8).collect()}
     assert sum(hashed[1]) == 3 and max(hashed[1]) >= 2 and sum(hashed[2]) == sum(hashed[3]) == 0
 
+    texts = ["Été_1 été_1 ½ x-y", "a " * 5000 + "b", "-", "\n", "ÄÖ 数 数 ٣", "x"]
+    odd = spark.createDataFrame([(i, t, "other", 0) for i, t in enumerate(texts)] + [(5, "x", "other", 0)], "id int, text string, vector string, bucket int")
+    for dims in (1, 7, 300):
+        want = []
+        for i, t in [*enumerate(texts), (5, "x")]:
+            counts = [0.0] * dims
+            for word in re.findall(r"\w+", t.lower()):
+                counts[int(md5(word.encode()).hexdigest()[:8], 16) % dims] += 1
+            want.append((i, counts))
+        assert sorted(map(tuple, sm.hash_embed(odd, ["id"], "text", dims).collect())) == sorted(want)
+
     def embedder():
         return lambda texts: np.array([[len(t), t.count("a")] for t in texts])
 
