@@ -57,6 +57,26 @@ def test_registered_query_recall(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_recall_at_production_parameters(spark, clusters):
+    """More vectors than one shard compares, random or in tight clusters, by the settings of the registered query."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((12000, 32))
+    if clusters:
+        vectors = rng.standard_normal((clusters, 32))[rng.integers(0, clusters, len(vectors))] + 0.05 * vectors
+    vectors = vectors.astype(np.float32)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in hash_forest.nearest_neighbours(frame, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    every, hits = vectors.astype(float), 0
+    for q in range(0, len(every), 100):
+        d = ((every - every[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits / (10 * len(got)) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]),
             (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0]), (100, [3.0, 2.0, 1.0]), (None, [1.0, 1.0]), (200, None), (300, [0.0, 0.0])]
