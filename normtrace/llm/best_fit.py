@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from normtrace.llm.batches import record_batch, text_slices
 from normtrace.llm.ids import VOCABULARY, id_bytes, piece_starts
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 LIMIT = 2048
 OPEN = 512
@@ -108,6 +108,6 @@ def pack_pieces(pieces: DataFrame, tasks: int, limit: int = LIMIT, most_open: in
 
 def pack_documents(docs: DataFrame, limit: int = LIMIT, most_open: int = OPEN, vocabulary: str = VOCABULARY, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """One row per piece with its sequence and offset. Lengths are measured once and kept."""
-    pieces = settle(measure_pieces(docs, limit, vocabulary), "pieces")
+    pieces = settle_packed(measure_pieces(docs, limit, vocabulary), "pieces")
     tasks = -(-max(1, pieces.count()) // pieces_per_task)
     return pack_pieces(pieces, tasks, limit, most_open)

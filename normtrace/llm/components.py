@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _lowest(pairs: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: neighbours above (``large``) or not above a vertex move to its smallest one."""
     pairs = _both_ways(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved = pairs.join(settle(_lowest(pairs), "lowest").withColumnRenamed("v", "a"), "a")
+    moved = pairs.join(settle_packed(_lowest(pairs), "lowest").withColumnRenamed("v", "a"), "a")
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,11 +36,11 @@ def component_roots(edges: DataFrame) -> DataFrame:
     vertex with very many neighbours is only a skewed join, which adaptive execution splits.
     Null ends are dropped, loops and repeated edges decide nothing, no edges give no rows.
     """
-    now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    now = settle_packed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(now)
     while before[0]:
-        now = settle(_star(settle(_star(now, True), "edges"), False), "edges")
+        now = settle_packed(_star(settle_packed(_star(now, True), "edges"), False), "edges")
         after = mark(now)
         if after == before:
             break

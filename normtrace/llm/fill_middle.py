@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normtrace.llm.batches import record_batch, text_slices
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 FRAME_CHARS = 1 << 15
@@ -210,4 +210,4 @@ def with_digests(made: DataFrame) -> DataFrame:
 
 def digest_documents(docs: DataFrame, epoch: int = 1) -> DataFrame:
     """Store written once, outputs of one epoch, and their digests."""
-    return with_digests(fill_middle(settle(store_frames(docs), "frames"), epoch))
+    return with_digests(fill_middle(settle_packed(store_frames(docs), "frames"), epoch))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 NEAREST = 10
 TREES = 48
@@ -112,7 +112,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, least: int = LEAST_CANDIDATES) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows of ``vectors(vec_id, embedding)`` that ``is_query`` tells."""
-    rows = settle(usable(vectors), "vectors").withColumn("asks", is_query)
+    rows = settle_packed(usable(vectors), "vectors").withColumn("asks", is_query)
     sizes = {r.width: (r.n, r.q) for r in rows.groupBy("width").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
     count = lambda i, most: F.coalesce(F.create_map(*[F.lit(x) for w, n in sizes.items() for x in (w, -(-max(1, n[i]) // most))])[F.col("width")], F.lit(1)) if sizes else F.lit(1)
     shards, blocks = count(0, shard_rows), count(1, query_rows)

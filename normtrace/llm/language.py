@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtrace.llm.batches import struct_array, text_slices
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 ORDER = 4
 SAMPLE_ROWS = 300
@@ -204,12 +204,12 @@ def sample_texts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     choice, ``sample_rows`` hashes of a language, is then small enough to find its texts where they are.
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    hashes = settle(labelled.select("lang", "h").distinct(), "hashes")
-    texts = settle(hashes.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    hashes = settle_packed(labelled.select("lang", "h").distinct(), "hashes")
+    texts = settle_packed(hashes.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     draw = F.pmod(F.col("h"), F.lit(1 << 20))
     drawn = hashes.join(texts, "lang").where(draw * F.col("n") < F.lit((2 * sample_rows + 50) << 20).cast("long"))
     order = Window.partitionBy("lang").orderBy(draw, "h")
-    chosen = settle(drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select("lang", "h"), "sample")
+    chosen = settle_packed(drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select("lang", "h"), "sample")
     # a language's sample is bounded: counted in one place, its strings come out once each
     return labelled.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text").repartition("lang")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normtrace.llm.batches import record_batch
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 SHARD_TURNS = 1 << 17
 GROUP = 5
@@ -53,8 +53,8 @@ def encoded(conversations: DataFrame) -> DataFrame:
     The dictionary has a row per distinct turn, counted on the map side; the join back is left to
     adaptive execution, which splits the partition of a turn that very many rows share.
     """
-    turns = settle(_turns(conversations), "turns")
-    ids = settle(turns.select("digest").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
+    turns = settle_packed(_turns(conversations), "turns")
+    ids = settle_packed(turns.select("digest").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
     placed = F.array_sort(F.collect_list(F.struct("turn", "digest", "id", "bytes")))
     lists = turns.join(ids, "digest").groupBy("conv_id").agg(placed.alias("t"))
     return lists.select("conv_id", F.col("t.id").alias("ids"), F.col("t.bytes").alias("bytes"))
@@ -124,7 +124,7 @@ def member_digests(members: DataFrame) -> DataFrame:
 
 def distinct_sequences(sequences: DataFrame) -> DataFrame:
     """``(ids, bytes, n, conv_id, sha)``: each distinct sequence, its members, the smallest, and their digest."""
-    counted = settle(sequences.groupBy("ids").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
+    counted = settle_packed(sequences.groupBy("ids").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
                      .withColumn("seq", F.monotonically_increasing_id()), "sequences")
     shared = counted.where("n > 1").select("ids", "seq")
     shas = member_digests(sequences.select("conv_id", "ids").join(shared, "ids"))
@@ -327,8 +327,8 @@ def trie_nodes(sequences: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFram
     ``conv_id`` (smallest member), ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, and over
     the subtree ``n_leaves`` and ``saved_tokens``; ``ends_sha256`` of the members that end here.
     """
-    shards = settle(trie_shards(settle(distinct_sequences(sequences), "distinct"), shard_turns), "shards")
-    merged = settle(merge_partial(shards), "merged")
+    shards = settle_packed(trie_shards(settle_packed(distinct_sequences(sequences), "distinct"), shard_turns), "shards")
+    merged = settle_packed(merge_partial(shards), "merged")
     top = merged.where("depth IS NOT NULL")
     named = top.select(F.col("no").alias("_no"), F.col("conv_id").alias("_conv"))
     counts = ["n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -340,5 +340,5 @@ def trie_nodes(sequences: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFram
 
 def conversation_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """The trie of the rebuilt ``conversations(conv_id, turn, role, text)``."""
-    sequences = settle(rebuilt(settle(encoded(conversations), "encoded")), "rebuilt")
+    sequences = settle_packed(rebuilt(settle_packed(encoded(conversations), "encoded")), "rebuilt")
     return trie_nodes(sequences, shard_turns)

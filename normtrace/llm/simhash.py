@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from normtrace.llm.batches import text_slices
 from normtrace.llm.components import component_roots
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 WORDS = 3
 SEED = 42
@@ -166,11 +166,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``."""
-    found = settle(fingerprints(docs, words, seed), "fingerprints")
-    distinct = settle(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = settle(component_roots(links(distinct.select("fp"), radius)), "roots")
+    found = settle_packed(fingerprints(docs, words, seed), "fingerprints")
+    distinct = settle_packed(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = settle_packed(component_roots(links(distinct.select("fp"), radius)), "roots")
     member = distinct.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = settle(member.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = settle_packed(member.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     group = member.join(named, "root").select("fp", "component_id")
     return found.join(group, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

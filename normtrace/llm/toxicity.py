@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normtrace.llm.batches import record_batch, struct_array, text_slices
-from normtrace.session import settle
+from normtrace.session import settle_packed
 
 SAMPLE_ROWS = 6000
 GRADES = 4
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # at most sample_rows narrow rows are broadcast
     drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    texts = settle(drawn.mapInArrow(read, "toxic int, copy long, words array<string>").dropDuplicates(["copy", "toxic"]), "labelled")
+    texts = settle_packed(drawn.mapInArrow(read, "toxic int, copy long, words array<string>").dropDuplicates(["copy", "toxic"]), "labelled")
     word = F.explode("words").alias("word")
     begins = [F.when(F.length("word") >= n, F.concat(F.lit(str(n)), F.substring("word", 1, n))) for n in BEGINNINGS]
     numbered = texts.select("copy", "toxic", word).select("copy", "toxic", F.explode(F.array(F.concat(F.lit("="), "word"), *begins)).alias("feature")).where("feature IS NOT NULL")

@@ -53,3 +53,10 @@ def test_once_is_not_repeated_by_a_filter(spark):
     plan = df.where("v IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") == 1
     assert df.count() == 10
+
+
+def test_settled_table_of_repeated_values_is_no_broadcast(spark):
+    names = F.array(*[F.lit(f"state number {i}") for i in range(20)])
+    links = session.settle(spark.range(40_000).select((F.col("id") % 20).alias("norm_id"), names.alias("downs")), "links")
+    joined = spark.range(1_000_000).withColumnRenamed("id", "norm_id").join(links, "norm_id", "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
