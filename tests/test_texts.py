@@ -180,3 +180,13 @@ def test_graph_sections_of_any_shape(spark, tmp_path):
         (5, "MessageFlow", 0, "n1", "d", None, '{"payload":{"kind":[1,null]},"src":"n1","tgt":"d"}'), (None, "MessageFlow", 0, None, None, None, '"x"')}
     assert {tuple(r) for r in gr.dangling_ends(docs).collect()} == {
         (5, "SequenceFlow", 0, "tgt", "n2"), (None, "MessageFlow", 0, "src", None), (None, "MessageFlow", 0, "tgt", None)}
+
+
+def test_text_files_are_those_of_the_text_writer_without_a_process_each(spark, tmp_path):
+    rows = [("a\nb", "en", "x/y"), ("", "fr", None), (None, "d=e", 'q"%'), ("ü", "en", "x/y")]
+    texts = spark.createDataFrame(rows * 250, "value string, lang string, source string").repartition(4)
+    cp.write_texts(texts, f"file://{tmp_path}/ours", ["lang", "source"])
+    texts.write.partitionBy("lang", "source").option("maxRecordsPerFile", 1).text(f"{tmp_path}/sparks")
+    held = lambda name: sorted((str(f.parent.relative_to(tmp_path / name)), f.read_bytes()) for f in (tmp_path / name).rglob("*.txt"))
+    assert len(held("ours")) == 1000 and held("ours") == held("sparks")
+    assert not list((tmp_path / "ours").rglob("*.crc"))
