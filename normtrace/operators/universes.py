@@ -24,6 +24,7 @@ from normtrace.session import settle
 
 STATES_PER_BLOCK = 1024
 VECTORS_PER_GROUP = 4096
+BOUNDS_AT_ONCE = 1 << 20
 AXES = 3
 SLACK = 1e-12  # of rounding; greatest similarities closer than this count as equal
 
@@ -117,12 +118,21 @@ def open_blocks(vectors: DataFrame, universe: Universe, lam: float, floor: float
 
     ``vectors(norm_id, key, vector)`` are dealt to groups by their key, as many as their number asks for.
     """
+    return _each_block(_choose_blocks(vectors, universe, lam, floor, per_group))
+
+
+def _each_block(asked: DataFrame) -> DataFrame:
+    return asked.select("norm_id", F.explode("blocks").alias("block"), "part", "key", "vector", "bar", "flat")
+
+
+def _choose_blocks(vectors: DataFrame, universe: Universe, lam: float, floor: float, per_group: int) -> DataFrame:
+    """One row per vector that opens a block, with the names of its blocks; a row per pair would hold it as often as that."""
     parts = vectors.groupBy("norm_id").agg(F.ceil(F.count("*") / per_group).alias("parts"))
     dealt = vectors.join(parts, "norm_id").select("norm_id", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key", "vector")
     norm = universe.moments.select("norm_id", "mean", "moment").join(
         universe.blocks.groupBy("norm_id").agg(F.collect_list(F.struct("block", "centre", "radius")).alias("blocks")), "norm_id")
     sent = norm.join(parts, "norm_id").select("norm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "mean", "moment", "blocks")
-    columns = ["norm_id", "block", "part", "key", "vector", "bar", "flat"]
+    columns = ["norm_id", "blocks", "part", "key", "vector", "bar", "flat"]
 
     def choose(facts: pd.DataFrame, norms: pd.DataFrame) -> pd.DataFrame:
         if facts.empty or norms.empty:
@@ -137,12 +147,16 @@ def open_blocks(vectors: DataFrame, universe: Universe, lam: float, floor: float
         mu, spread = x @ mean, np.sqrt(np.maximum(((x @ np.asarray(norms["moment"].iloc[0]).reshape(len(mean), -1)) * x).sum(axis=1), 0.0))
         flat = spread < FLAT_SPREAD
         bar = np.where(flat, mu - SLACK, mu + lam * spread)
-        at, block = np.nonzero(x @ centres.T + radii[None, :] >= np.maximum(bar, floor)[:, None] - 2 * SLACK)
+        low = np.maximum(bar, floor) - 2 * SLACK
         names = np.array([b["block"] for b in blocks], dtype=object)
-        found = facts.iloc[at].reset_index(drop=True)
-        return found.assign(block=names[block], bar=bar[at], flat=flat[at])[columns]
-
-    schema = T.StructType([dealt.schema["norm_id"], *T.StructType.fromDDL("block string, part long, key string, vector array<double>, bar double, flat boolean")])
+        opened, some = [], max(1, BOUNDS_AT_ONCE // len(blocks))
+        for at in range(0, len(x), some):
+            near = x[at:at + some] @ centres.T + radii[None, :] >= low[at:at + some, None]
+            opened += [names[row] for row in near]
+        found = facts.assign(blocks=opened, bar=bar, flat=flat)[columns]
+        return found[[len(names_) > 0 for names_ in opened]]
+
+    schema = T.StructType([dealt.schema["norm_id"], *T.StructType.fromDDL("blocks array<string>, part long, key string, vector array<double>, bar double, flat boolean")])
     return dealt.groupBy("norm_id", "part").cogroup(sent.groupBy("norm_id", "part")).applyInPandas(choose, schema)
 
 
@@ -162,7 +176,7 @@ def project_pruned(
     rows = facts.where(_whole(vector)).select("norm_id", key.alias("_key"), F.col(vector).alias("_vector"), F.struct(*kept).alias("_row") if kept else F.lit(1).alias("_row"))
     distinct = settle(rows.groupBy("norm_id", F.col("_key").alias("key")).agg(F.first("_vector").alias("vector"))
                       .select("norm_id", "key", _unit("vector").alias("vector")), "vectors")
-    asked = settle(open_blocks(distinct, universe, lam, floor, per_group), "asked")
+    asked = _each_block(settle(_choose_blocks(distinct, universe, lam, floor, per_group), "asked"))
     groups = ["norm_id", "block", "part"]
     opened = asked.select(*[F.col(g).alias(g) for g in groups]).distinct()
     sent = universe.states.join(opened, ["norm_id", "block"]).select(*[F.col(g).alias(g) for g in groups], "u_pos", "state_id", "vector")

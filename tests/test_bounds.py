@@ -4,6 +4,7 @@ import random
 
 from normtrace import session
 from normtrace.operators import causal
+from normtrace.operators import universes as un
 from normtrace.plans import audit as au
 from tests.test_causal import ACTS, norms_of, random_case
 
@@ -20,3 +21,14 @@ def test_scenarios_are_dealt_by_rows_not_by_cores(spark, monkeypatch):
     missing = causal.with_missing(decided, norms.links)
     assert missing.rdd.getNumPartitions() == -(-decided.count() // 3)
     assert sorted(map(str, missing.collect())) == want
+
+
+def test_a_vector_is_held_once_whatever_it_opens(spark):
+    rng = random.Random(9)
+    states = [(1, i, f"s{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    index = un.index_states(spark.createDataFrame(states, "norm_id bigint, u_pos int, state_id string, vector array<double>"), 10)
+    asks = spark.createDataFrame([(1, str(i), [1.0, 0.0, 0.0, float(i)]) for i in range(5)], "norm_id bigint, key string, vector array<double>")
+    asks = asks.select("norm_id", "key", un._unit("vector").alias("vector"))
+    chosen = un._choose_blocks(asks, index, 0.5, 0.0, 4096).collect()
+    pairs = {(r.key, r.block) for r in un.open_blocks(asks, index, 0.5, 0.0).collect()}
+    assert len(chosen) <= 5 < len(pairs) and pairs == {(r.key, b) for r in chosen for b in r.blocks}
