@@ -1,7 +1,8 @@
 """Causal check over a stream whose scenarios end: state is freed, contamination is sent by the processor.
 
-The state of a scenario is one small map, as in :mod:`normtrace.streaming.incremental`, and here also holds
-what a violated state spoils downstream. A row is sent out for every state, activated or only contaminated,
+The state of a scenario is one row: its clock, and an entry for each of its states with what it spoils downstream
+when violated. Spark brings it along with the rows and takes it back with the result, so that a scenario costs no
+calls to the state store. A row is sent out for every state, activated or only contaminated,
 whose decision or contamination changed, with a higher ``revision``; no batch step follows.
 
 A scenario is closed when the watermark (greatest ``ts`` less ``delay``) passes ``ts`` of its end marker, a row
@@ -17,111 +18,102 @@ key like any other. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from normtrace.operators.causal import SCENARIO
 from normtrace.session import fresh_path
 from normtrace.streaming.incremental import stream_settings
 
 ACTIVATIONS = "norm_id long, scenario_id long, step int, u_pos int, state_id string, ts timestamp"
-SEEN = ("step int, u_pos int, pres array<string>, downs array<string>, missing array<string>, contaminated boolean, "
-        "revision int")
-CLOCK = "walk long, last long, ends long, timer long"
+SEEN = ("state_id:string,step:int,u_pos:int,pres:array<string>,downs:array<string>,missing:array<string>,"
+        "contaminated:boolean,revision:int")
+STATE = f"walk long, last long, ends long, timer long, seen array<struct<{SEEN}>>"
 ROWS = ("norm_id long, scenario_id long, walk long, state_id string, step int, u_pos int, valid boolean, "
         "missing array<string>, contaminated boolean, revision int, closed boolean")
 NAMES = [part.split()[0] for part in ROWS.split(", ")]
+KEYS = [*SCENARIO, "nulls"]  # which of the keys are null, as pandas has no nulls among whole numbers
 
 
 def _batch_firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The first place and the latest time of each state of each scenario of an Arrow batch."""
-    keys = [*SCENARIO, "state_id"]
+    keys = [*KEYS, "state_id"]
     for pdf in batches:
         pdf["ts"] = pdf.groupby(keys, dropna=False)["ts"].transform("max")
         yield pdf.sort_values(["step", "u_pos"], kind="stable").drop_duplicates(keys)
 
 
-class ClosingWalk(StatefulProcessor):
-    """State per scenario: ``state_id -> first place, neighbours, what was sent``, and the clock that ends it."""
+def _walk(idle_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """What one scenario does with its rows of a batch, or when its time is over."""
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    def closing(key: tuple, walk: int) -> pd.DataFrame:
+        return pd.DataFrame([(*key, walk, None, None, None, None, None, None, None, True)], columns=[*KEYS, *NAMES[2:]])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", "state_id string", SEEN)
-        self.clock = handle.getValueState("clock", CLOCK)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0]: list(v) for k, v in self.seen.iterator()}
-        now = max(0, timerValues.getCurrentWatermarkInMs())
-        walk, last, ends, timer = self.clock.get() if self.clock.exists() else (now, None, None, None)
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = max(0, state.getCurrentWatermarkMs())
+        walk, last, ends, timer, seen = state.get if state.exists else (now, None, None, None, [])
+        if state.hasTimedOut:
+            if timer == idle_ms and last is None and ends is None:  # begun without time, before any watermark
+                state.update((walk, last, ends, now + idle_ms, seen))
+                state.setTimeoutTimestamp(now + idle_ms)
+                return
+            state.remove()
+            yield closing(key, walk)
+            return
+        known = {entry[0]: list(entry)[1:] for entry in seen}
         moved = set()
-        for pdf in rows:
-            times = pdf["ms"].dropna()
-            if len(times):
-                last = max(last or 0, int(times.max()))
-            for state, step, pos, pres, downs, ms in zip(*(pdf[c] for c in ("state_id", "step", "u_pos", "pres", "downs", "ms"))):
-                if state is None:
-                    if not pd.isna(ms):
+        for pdf in pdfs:
+            for name, step, pos, pres, downs, ms in zip(*(pdf[c].tolist() for c in ("state_id", "step", "u_pos", "pres", "downs", "ms"))):
+                timed = not pd.isna(ms)
+                if timed:
+                    last = max(last or 0, int(ms))
+                if name is None:
+                    if timed:
                         ends = max(ends or 0, int(ms))
                     continue
-                old = known.get(state)
+                old = known.get(name)
                 if old is None or old[0] is None:
-                    known[state] = [int(step), int(pos), _listed(pres), _listed(downs), None, *(old[5:] if old else (False, 0))]
+                    known[name] = [int(step), int(pos), _listed(pres), _listed(downs), None, *(old[5:] if old else (False, 0))]
                 elif (step, pos) < (old[0], old[1]):
                     old[0], old[1] = int(step), int(pos)
                 else:
                     continue
-                moved.add(state)
-        self._set_clock(walk, last, ends, timer, now)
+                moved.add(name)
         if moved:
-            yield pd.DataFrame([(*key, walk, *row, False) for row in self._decide(known, moved)], columns=NAMES)
-
-    def _decide(self, known: dict, moved: set) -> Iterator[tuple]:
-        """Walk the scenario again in order; rows of the states that are new or judged otherwise than before."""
-        valid, spoiled, judged = set(), set(), {}
-        active = sorted((e for e in known.items() if e[1][0] is not None), key=lambda e: (e[1][0], e[1][1], e[0]))
-        for state, entry in active:
-            judged[state] = sorted(set(entry[2]) - valid)
-            if judged[state]:
-                spoiled.add(state)
-                spoiled.update(entry[3])
-            else:
-                valid.add(state)
-        for state in sorted(known.keys() | spoiled):
-            entry = known.setdefault(state, [None, None, [], [], None, False, 0])
-            missing, tainted = judged.get(state), state in spoiled
-            before = None if entry[4] is None else list(entry[4])
-            if state in moved or before != missing or entry[5] != tainted:
-                entry[4:] = missing, tainted, entry[6] + 1
-                self.seen.updateValue((state,), tuple(entry))
-                yield state, entry[0], entry[1], None if missing is None else not missing, missing, tainted, entry[6]
-
-    def _set_clock(self, walk: int, last: int | None, ends: int | None, timer: int | None, now: int) -> None:
-        wanted = ends if ends is not None else (last if last is not None else now) + self.idle_ms
-        if wanted != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(wanted)
-        self.clock.update((walk, last, ends, wanted))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.clock.exists():
-            walk, last, ends, timer = self.clock.get()
-            if timer == self.idle_ms and last is None:  # begun without time, before any watermark
-                self._set_clock(walk, last, ends, None, timerValues.getCurrentWatermarkInMs())
-                return
-            self.seen.clear()
-            self.clock.clear()
-            yield pd.DataFrame([(*key, walk, None, None, None, None, None, None, None, True)], columns=NAMES)
-
-    def close(self) -> None:
-        pass
+            yield pd.DataFrame([(*key, walk, *row, False) for row in _decide(known, moved)], columns=[*KEYS, *NAMES[2:]])
+        wanted = ends if ends is not None else (last if last is not None else now) + idle_ms
+        if wanted < now:  # over already
+            state.remove()
+            yield closing(key, walk)
+        else:
+            state.update((walk, last, ends, wanted, [(name, *entry) for name, entry in known.items()]))
+            state.setTimeoutTimestamp(max(1, wanted))
+
+    return run
+
+
+def _decide(known: dict, moved: set) -> Iterator[tuple]:
+    """Walk the scenario again in order; rows of the states that are new or judged otherwise than before."""
+    valid, spoiled, judged = set(), set(), {}
+    active = sorted((e for e in known.items() if e[1][0] is not None), key=lambda e: (e[1][0], e[1][1], e[0]))
+    for state, entry in active:
+        judged[state] = sorted(set(entry[2]) - valid)
+        if judged[state]:
+            spoiled.add(state)
+            spoiled.update(entry[3])
+        else:
+            valid.add(state)
+    for state in sorted(known.keys() | spoiled):
+        entry = known.setdefault(state, [None, None, [], [], None, False, 0])
+        missing, tainted = judged.get(state), state in spoiled
+        before = None if entry[4] is None else list(entry[4])
+        if state in moved or before != missing or entry[5] != tainted:
+            entry[4:] = missing, tainted, entry[6] + 1
+            yield state, entry[0], entry[1], None if missing is None else not missing, missing, tainted, entry[6]
 
 
 def _listed(names) -> list:
@@ -133,14 +125,24 @@ def closing_decisions(activations: DataFrame, links: DataFrame, idle_seconds: in
 
     Has to be started inside :func:`stream_settings`.
     """
-    firsts = activations.select("norm_id", "scenario_id", "step", "u_pos", "state_id", "ts").mapInPandas(_batch_firsts, ACTIVATIONS)
-    return (
-        firsts.withWatermark("ts", delay)
-        .join(links.select("norm_id", "state_id", "pres", "downs"), ["norm_id", "state_id"], "left")
-        .select(*SCENARIO, "state_id", "step", "u_pos", "pres", "downs", F.unix_millis("ts").alias("ms"))
-        .groupBy(*SCENARIO)
-        .transformWithStateInPandas(ClosingWalk(idle_seconds * 1000), ROWS, "Update", "EventTime")
+    nulls = sum((F.when(F.col(c).isNull(), 2**i).otherwise(0) for i, c in enumerate(SCENARIO)), F.lit(0))
+    keyed = activations.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SCENARIO], nulls.alias("nulls"),
+                               "step", "u_pos", "state_id", "ts")
+    firsts = keyed.mapInPandas(_batch_firsts, ACTIVATIONS.replace("step", "nulls int, step", 1))
+    near = links.select(F.col("norm_id").alias("_norm"), F.col("state_id").alias("_state"), "pres", "downs")
+    known = (F.col("nulls").bitwiseAND(F.lit(1)) == 0) & (F.col("norm_id") == F.col("_norm")) & (F.col("state_id") == F.col("_state"))
+    sent = (
+        firsts.withWatermark("ts", delay).join(near, known, "left")
+        .select(*KEYS, "state_id", "step", "u_pos", "pres", "downs", F.unix_millis("ts").alias("ms"), "ts")
+        .groupBy(*KEYS)
+        .applyInPandasWithState(_walk(idle_seconds * 1000), ROWS.replace("walk", "nulls int, walk", 1), STATE, "Update", GroupStateTimeout.EventTimeTimeout)
     )
+    return sent.select(*_own_keys(), *NAMES[2:])
+
+
+def _own_keys() -> list[Column]:
+    """The keys with their nulls."""
+    return [F.when(F.col("nulls").bitwiseAND(F.lit(2**i)) == 0, F.col(c)).alias(c) for i, c in enumerate(SCENARIO)]
 
 
 def run_available(
@@ -188,5 +190,6 @@ def walk_summary(rows: DataFrame) -> DataFrame:
 def open_states(spark: SparkSession, folder: str) -> DataFrame:
     """What the stream in ``folder`` still keeps, from its last checkpoint: ``norm_id, scenario_id, state_id`` and the entry."""
     with stream_settings(spark):
-        kept = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/progress")
-    return kept.select("key.*", F.col("user_map_key.state_id").alias("state_id"), "user_map_value.*")
+        kept = spark.read.format("statestore").load(f"{folder}/progress")
+    entries = kept.select("key.*", F.inline("value.groupState.seen"))
+    return entries.select(*_own_keys(), *[c for c in entries.columns if c not in KEYS])

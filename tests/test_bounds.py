@@ -6,7 +6,10 @@ from normtrace import session
 from normtrace.operators import causal
 from normtrace.operators import universes as un
 from normtrace.plans import audit as au
+from normtrace.streaming import closing as cl
+from normtrace.streaming.incremental import stream_settings
 from tests.test_causal import ACTS, norms_of, random_case
+from tests.test_closing import follow
 
 
 def test_scenarios_are_dealt_by_rows_not_by_cores(spark, monkeypatch):
@@ -32,3 +35,14 @@ def test_a_vector_is_held_once_whatever_it_opens(spark):
     chosen = un._choose_blocks(asks, index, 0.5, 0.0, 4096).collect()
     pairs = {(r.key, r.block) for r in un.open_blocks(asks, index, 0.5, 0.0).collect()}
     assert len(chosen) <= 5 < len(pairs) and pairs == {(r.key, b) for r in chosen for b in r.blocks}
+
+
+def test_a_scenario_is_one_row_of_state_and_keys_stay_exact(spark, tmp_path):
+    norms, big = norms_of(spark, [(0, "a", "b")]), 2**53 + 1
+    batch = [(0, big, 0, 0, "b", 1), (0, big, 1, 0, "a", 2), (None, None, 0, 0, "a", 1), (0, None, 0, 0, "b", 1)]
+    sent = follow(spark, norms, [batch], str(tmp_path), idle_seconds=86400, delay="1 day")
+    assert {(r.norm_id, r.scenario_id, r.state_id) for r in sent.collect()} == {(0, big, "a"), (0, big, "b"), (None, None, "a"), (0, None, "b")}
+    with stream_settings(spark):
+        assert spark.read.format("statestore").load(f"{tmp_path}/run/progress").count() == 3
+    kept = {(r.norm_id, r.scenario_id, r.state_id) for r in cl.open_states(spark, f"{tmp_path}/run").collect()}
+    assert kept == {(0, big, "a"), (0, big, "b"), (None, None, "a"), (0, None, "b")}
