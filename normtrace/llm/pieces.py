@@ -105,16 +105,17 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """A short text after all merges, the best first and the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, place = -np.inf, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1], -np.inf)
-                if score > best:
-                    best, place = score, i
-            if place < 0:
-                return parts
-            parts[place:place + 2] = [parts[place] + parts[place + 1]]
+        parts, score, none = list(text), self.scores.get, -np.inf
+        gains = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > none:
+            i = gains.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i < len(gains):
+                gains[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                gains[i - 1] = score(parts[i - 1] + parts[i], none)
+        return parts
 
     def stays(self, before: str, piece: str) -> bool:
         """Whether two pieces (or nothing and a piece) come out of the merges as they are."""
@@ -205,8 +206,30 @@ class Pieces:
                     seen[word] = ids
         return b"".join(out)
 
+    def short(self, word: str) -> list[str]:
+        """The path of :meth:`search` for a short word of a BPE model: done as soon as the end has its one good path."""
+        begins, longest, together, size = self.begins, self.longest, self.together, len(word)
+        last: list[str | None] = ["", *[None] * size]
+        for start in range(size):
+            before = last[start]
+            if before is None:
+                continue
+            stays = together.get(before) or {}
+            for end in range(start + 1, min(start + longest, size) + 1):
+                piece = word[start:end]
+                whole = begins.get(piece)
+                if (whole or end == start + 1) and last[end] is None:
+                    good = stays.get(piece)
+                    if good or good is None and self.stays(before, piece):
+                        last[end] = piece
+                if whole is None:
+                    break
+            if last[size] is not None:
+                break
+        return self._path(last, size, 0)
+
     def ids_of(self, word: str) -> bytes:
-        pieces = list(self.search(word))
+        pieces = self.short(word) if self.kind == BPE and len(word) <= KEEP_CHARS else list(self.search(word))
         try:
             return b"".join([self.packed[piece] for piece in pieces])
         except KeyError:  # characters outside the model

@@ -80,3 +80,9 @@ def test_documents(odd_docs, documents, no_docs, bpe):
         assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=str)
         assert all(r.restored for r in pieces.digest_documents(docs).collect())
     assert pieces.digest_documents(no_docs).count() == 0
+
+
+def test_short_words_stop_at_their_one_path(bpe):
+    random.seed(10)
+    for word in ("▁", "▁a", *("▁" + "".join(random.choices("aenthisroué☃", k=random.randint(1, 40))) for _ in range(500))):
+        assert bpe[0].short(word) == list(bpe[0].search(word)), word
