@@ -21,7 +21,8 @@ from normtrace.sources.corpus import FAILED, NOT_UTF8
 
 SCHEMA = "source string, text string, reason string"
 BYTES_PER_TASK = 128 * 2**20
-OPENING = 2**20  # what opening a file costs, in bytes read
+OPENING = 2**16  # what opening a file costs, in bytes read; a task of small files takes some 2,000 of them
+ROW_BYTES = 2**10
 BATCH_BYTES = 8 * 2**20
 
 
@@ -34,12 +35,14 @@ class CorpusReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.glob = options["path"], options.get("glob", "*.txt")
         self.limit = int(options.get("bytespertask", BYTES_PER_TASK))
+        self.hidden = options.get("hidden", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
         """Files in order of path, cut where a task has its share."""
         system, base = _opened(self.root)
         files = sorted((f for f in system.get_file_info(fs.FileSelector(base, recursive=True))
-                        if f.type != fs.FileType.Directory and fnmatchcase(f.base_name, self.glob)), key=lambda f: f.path)
+                        if f.type != fs.FileType.Directory and fnmatchcase(f.base_name, self.glob)
+                        and (self.hidden or not _is_hidden(f.path[len(base):]))), key=lambda f: f.path)
         groups: list[list[str]] = []
         held = self.limit
         for file in files:
@@ -64,7 +67,7 @@ class CorpusReader(DataSourceReader):
             except OSError:
                 reason = FAILED
             rows.append(("/".join(path.split("/")[-2:]), text, reason))
-            size += OPENING // 1024 + len(text or "")
+            size += ROW_BYTES + len(text or "")
             if size > BATCH_BYTES:
                 yield _batch(rows)
                 rows, size = [], 0
@@ -73,7 +76,7 @@ class CorpusReader(DataSourceReader):
 
 
 class CorpusFiles(DataSource):
-    """``spark.read.format("corpus_files")`` with ``path``, ``glob``, ``bytesPerTask``."""
+    """``spark.read.format("corpus_files")`` with ``path``, ``glob``, ``bytesPerTask``, ``hidden``."""
 
     @classmethod
     def name(cls) -> str:
@@ -90,15 +93,23 @@ def _opened(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root if "://" in root or root.startswith("/") else f"file://{root.removeprefix('file:')}")
 
 
+def _is_hidden(path: str) -> bool:
+    """Does Spark leave out the file, for its name or that of a folder it lies in?"""
+    return any(name.startswith(".") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+               or name.endswith("._COPYING_") for name in path.split("/"))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*rows)], ["source", "text", "reason"])
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*.txt", bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
+def read_files(spark: SparkSession, root: str, glob: str = "*.txt", bytes_per_task: int = BYTES_PER_TASK, hidden: bool = True) -> DataFrame:
     """``source, text, reason`` of every file under ``root``: stripped text, or null and why.
 
-    An empty file has an empty text; an empty folder gives no rows; a missing one stops the job.
+    An empty file has an empty text; an empty folder gives no rows; a missing one stops the job. ``hidden`` files are
+    those that Spark's readers leave out.
     """
     spark.dataSource.register(CorpusFiles)
-    files = spark.read.format("corpus_files").option("path", root).option("glob", glob).option("bytesPerTask", bytes_per_task).load()
+    files = spark.read.format("corpus_files").option("path", root).option("glob", glob).option("bytesPerTask", bytes_per_task) \
+        .option("hidden", hidden).load()
     return files.select("source", strip(F.col("text")).alias("text"), "reason")

@@ -6,6 +6,7 @@ from normtrace import session
 from normtrace.operators import causal
 from normtrace.operators import universes as un
 from normtrace.plans import audit as au
+from normtrace.sources import files as fl
 from normtrace.streaming import closing as cl
 from normtrace.streaming.incremental import stream_settings
 from tests.test_causal import ACTS, norms_of, random_case
@@ -26,6 +27,12 @@ def test_scenarios_are_dealt_by_rows_not_by_cores(spark, monkeypatch):
     assert sorted(map(str, missing.collect())) == want
 
 
+def test_a_task_takes_thousands_of_small_files(tmp_path):
+    for i in range(3000):
+        (tmp_path / f"{i}.txt").write_text("x")
+    assert len(fl.CorpusReader({"path": str(tmp_path)}).partitions()) == 2
+
+
 def test_a_vector_is_held_once_whatever_it_opens(spark):
     rng = random.Random(9)
     states = [(1, i, f"s{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
