@@ -23,6 +23,7 @@ PROCESS_GRAPH = (
 
 
 READ, NOT_UTF8, FAILED = "read", "not UTF-8", "failed"
+TASKS_PER_CORE = 16
 
 
 def write_texts(texts: DataFrame, path: str, folders: list[str]) -> None:
@@ -32,13 +33,10 @@ def write_texts(texts: DataFrame, path: str, folders: list[str]) -> None:
     local and mounted folders the tasks write their files themselves. Their names follow from the place of a row in its
     partition: a task that is tried again writes over its own files. Other file systems get the text writer.
     """
-    spark = texts.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    if not whole.startswith("file:"):
+    root = _local_root(texts.sparkSession, path)
+    if root is None:
         texts.write.partitionBy(*folders).option("maxRecordsPerFile", 1).text(path)
         return
-    root = "/" + whole.removeprefix("file:").lstrip("/")
     os.makedirs(root)
 
     def write(rows: Iterator[Row]) -> None:
@@ -54,6 +52,13 @@ def write_texts(texts: DataFrame, path: str, folders: list[str]) -> None:
     texts.select(F.col("value").cast("binary").alias("value"), *[F.col(c).cast("string").alias(c) for c in folders]).foreachPartition(write)
 
 
+def _local_root(spark: SparkSession, path: str) -> str | None:
+    """The path on a local or mounted folder, null on any other file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "/" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else None
+
+
 def _escaped(value: str | None) -> str:
     """A value as Spark writes it in the name of a folder."""
     return re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
@@ -66,17 +71,33 @@ def read_corpus(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFram
     tells which). A file that cannot be read at all stops the job.
     """
     files = _files(spark.read.option("wholetext", True), "text", root, glob)
-    return files.where(F.is_valid_utf8("value")).select(_source(), strip(F.col("value")).alias("text"))
+    return _merged(files.where(F.is_valid_utf8("value")).select(_source(), strip(F.col("value")).alias("text")))
 
 
 def file_status(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """``source, status`` of every file listed under ``root``: read, not UTF-8, or failed on reading."""
+    """``source, status`` of every file listed under ``root``: read, not UTF-8, or failed on reading.
+
+    Spark's readers keep about 2 KB a file on the driver and list the folder for each of two scans, so files of local and
+    mounted folders are opened once, by :func:`normtrace.sources.files.read_files`; other folders, and patterns of
+    Hadoop's own kind, get Spark's readers.
+    """
+    local = None if set(root) & set("*?[{\\") or set(glob) & set("[{\\") else _local_root(spark, root)
+    return _status_of_scans(spark, root, glob) if local is None else _status_once(spark, local, glob)
+
+
+def _status_once(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    from normtrace.sources.files import read_files  # it takes its reasons from here
+
+    return read_files(spark, root, glob, hidden=False).select("source", F.coalesce("reason", F.lit(READ)).alias("status"))
+
+
+def _status_of_scans(spark: SparkSession, root: str, glob: str) -> DataFrame:
     path = F.col("_metadata.file_path").alias("_path")
     listed = _files(spark.read, "binaryFile", root, glob).select(path, _source())
     tried = _files(spark.read.option("wholetext", True).option("ignoreCorruptFiles", True), "text", root, glob)
     opened = tried.select(path, F.is_valid_utf8("value").alias("_valid"))
     status = F.when(F.col("_valid").isNull(), FAILED).when(F.col("_valid"), READ).otherwise(NOT_UTF8)
-    return listed.join(opened, "_path", "left").select("source", status.alias("status"))
+    return _merged(listed).join(_merged(opened), "_path", "left").select("source", status.alias("status"))
 
 
 def unreadable_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
@@ -88,6 +109,15 @@ def _files(reader: DataFrameReader, kind: str, root: str, glob: str) -> DataFram
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format(kind).load(root)
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Rows of files in tasks that take many files each.
+
+    Spark counts opening a file as 4 MB, so that a task has some 30 small files and most of its time goes in its start.
+    Files are still read one after the other, so a task holds no more than before.
+    """
+    return rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _source() -> Column:
     path = F.split(F.col("_metadata.file_path"), "/")
     name = F.concat_ws("/", F.element_at(path, -2), F.element_at(path, -1))

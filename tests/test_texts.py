@@ -155,6 +155,27 @@ def test_files_with_reasons_in_one_pass(spark, tmp_path, bytes_per_task):
     assert fl.read_files(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_many_small_files_are_few_tasks_and_one_opening_each(spark, tmp_path):
+    """A task takes thousands of small files; both ways to tell what became of them agree, Spark's hidden ones left out."""
+    folder = tmp_path / "root é 50%" / "a+b"
+    folder.mkdir(parents=True)
+    for i in range(3000):
+        (folder / f"{i}.txt").write_bytes(b"\xff" if i % 10 == 0 else b"text")
+    for name in (".h.txt", "_h.txt", "_k=v.txt", "x.md"):
+        (folder / name).write_text("x")
+    (folder / "_temporary").mkdir()
+    (folder / "_temporary" / "y.txt").write_text("y")
+    root = str(tmp_path / "root é 50%")
+    assert fl.read_files(spark, root).rdd.getNumPartitions() == 2
+    once = cp.file_status(spark, root)
+    assert once._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    found = sorted(map(tuple, once.collect()))
+    assert len(found) == 3001 and found == sorted(map(tuple, cp._status_of_scans(spark, root, "*.txt").collect()))
+    scan = cp.read_corpus(spark, root)
+    assert scan.rdd.getNumPartitions() <= cp.TASKS_PER_CORE * spark.sparkContext.defaultParallelism and scan.count() == 2701
+    assert cp.file_status(spark, f"{root}/*").count() == 3001
+
+
 def test_file_gone_after_listing(tmp_path):
     for name in ("a.txt", "b.txt"):
         (tmp_path / name).write_text(name)
