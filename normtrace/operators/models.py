@@ -20,6 +20,7 @@ RATE_LIMIT_MARK = "429"
 MAX_TRIES = 3
 PAUSE_SECONDS = 5.0
 AT_ONCE = 8
+CHARS_AT_ONCE = 2**20  # of prompts whose answers a worker holds before it gives them back
 STAYED_LIMITED = "rate-limited to the end"
 EMPTY_REPORT = "Error: The model returned an empty or malformed audit report."
 
@@ -92,6 +93,14 @@ def _call_with_retries(model: Model, prompts: list[str], pool: ThreadPoolExecuto
     return rows
 
 
+def _slices(prompts: pd.Series, most: int = CHARS_AT_ONCE) -> Iterator[pd.Series]:
+    """A batch in parts, in order; one begins with each prompt that reaches a further multiple of ``most`` characters."""
+    passed = prompts.str.len().fillna(0).cumsum().to_numpy() // most
+    ends = [i + 1 for i in range(len(prompts) - 1) if passed[i] < passed[i + 1]]
+    for begin, end in zip([0, *ends], [*ends, len(prompts)]):
+        yield prompts.iloc[begin:end]
+
+
 def generate(
     df: DataFrame, prompt: str, loader: Loader, tries: int = 1, pause: float = PAUSE_SECONDS,
     out: str = "generation", at_once: int = AT_ONCE,
@@ -107,7 +116,7 @@ def generate(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loader()
         with ThreadPoolExecutor(at_once) as pool:
-            for batch in batches:
+            for batch in (part for whole in batches for part in _slices(whole)):
                 asked = batch.notna()
                 rows = [dict.fromkeys(METRIC_NAMES)] * len(batch)
                 for i, row in zip(asked.to_numpy().nonzero()[0], _call_with_retries(model, batch[asked].tolist(), pool, tries, pause)):

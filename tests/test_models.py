@@ -2,6 +2,7 @@ import re
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from normtrace.operators import benchmark as bm
@@ -41,6 +42,20 @@ def test_generate_with_metrics(spark):
     assert "429" in got[3]["status"]
 
 
+def test_long_prompts_are_asked_a_few_at_a_time(spark):
+    """A worker holds the answers to about a million characters of prompts at once, whatever an Arrow batch brings."""
+    parts = list(md._slices(pd.Series(["abc", None, "", "defg", "h" * 9, "i"]), 4))
+    assert [list(p.fillna("null")) for p in parts] == [["abc", "null", ""], ["defg"], ["h" * 9, "i"]] and len(list(md._slices(pd.Series([], dtype=str), 4))) == 1
+
+    class Lists:
+        def batch(self, prompts):
+            return [{"text": f"{p[:2]} {len(prompts)}"} for p in prompts]
+
+    df = spark.range(10, numPartitions=1).selectExpr("id", "CASE WHEN id <> 4 THEN concat(lpad(id, 2, '0'), repeat('x', 400000)) END AS prompt")
+    got = {r["id"]: r["text"] for r in md.generate_flat(df, "prompt", lambda: Lists()).collect()}
+    assert got[4] is None and all(got[i].startswith(f"{i:02d} ") and int(got[i].split()[1]) <= 3 for i in range(10) if i != 4)
+
+
 def test_retries_and_upsert(spark):
     old = spark.createDataFrame(
         [(1, "kept", md.SUCCESS), (2, None, "Erreur: 429"), (3, None, None), (4, None, "Erreur: x")],
