@@ -2,8 +2,9 @@
 
 A document is its head, one line per scenario, and its foot. The lines of all norms are dealt by range of
 (norm, part, place) and written in that order to a folder per norm; the files of a folder, put together by name,
-are the document. No row and no task holds more than its share of a norm. For very many small norms one object
-per line (``corpus.write_report``) makes fewer files.
+are the document. No row and no task holds more than its share of a norm. Each folder and file costs the driver some
+memory when they are listed, so ``write_packed`` gives a folder to large norms only: a small document is a line of a
+file that it shares with others.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normtrace.operators.scoring import average_score
+from normtrace.session import settle_counted
 
 HEAD, ENTRY, FOOT = 0, 1, 2
 KEEP_NULLS = {"ignoreNullFields": "false"}
 OPENING, CLOSING = ',"scenarios":[', "]}"
+PACKED_CHARS = 2**18  # longest document that is one line of a shared file
+LINES, FOLDERS = "lines", "folders"
 HEAD_FIELDS = ("norm_id bigint, execution_time_seconds double, average_score double, "
                "normative_reference struct<intent_T:string,nb_states:bigint,nb_edges:bigint>")
 ENTRY_FIELDS = ("scenario string, score double, intent_F string, "
@@ -72,6 +76,36 @@ def write_documents(fragments: DataFrame, path: str, files: int | None = None, m
     ranged.sortWithinPartitions(*keys, "line").select("norm_id", "line").write.partitionBy("norm_id").mode(mode).text(path)
 
 
+def write_packed(fragments: DataFrame, path: str, most: int = PACKED_CHARS) -> bool:
+    """Write documents of up to ``most`` characters as lines of ``path/lines``, larger ones as folders of ``path/folders``.
+
+    So there are no more folders than ``most`` goes into the text of all documents. Tells whether any document is that large.
+    ``fragments`` is read two or three times, so what it comes from should be a settled table.
+    """
+    long = fragments.groupBy("norm_id").agg(F.sum(F.length("line")).alias("n")).where(F.col("n") > most)
+    long, n_long = settle_counted(long.select(F.col("norm_id").alias("_long")), "long-norms")
+    is_long = F.col("norm_id").eqNullSafe(F.col("_long"))
+    short = fragments.join(long, is_long, "left_anti") if n_long else fragments
+    in_order = F.array_sort(F.collect_list(F.struct("part", "place", "line")))
+    documents = short.groupBy("norm_id").agg(in_order.alias("_lines"))
+    documents.select(F.array_join(F.transform("_lines", lambda entry: entry["line"]), "").alias("value")).write.text(f"{path}/{LINES}")
+    if n_long:
+        write_documents(fragments.join(long, is_long, "left_semi"), f"{path}/{FOLDERS}")
+    return n_long > 0
+
+
+def read_packed(spark: SparkSession, path: str, folders: bool) -> tuple[DataFrame, DataFrame]:
+    """As :func:`read_documents`, of what :func:`write_packed` wrote; ``folders`` is what that told."""
+    entry = F.from_json("value", f"{HEAD_FIELDS}, scenarios array<struct<{ENTRY_FIELDS}>>")
+    documents = spark.read.schema("value string").text(f"{path}/{LINES}").select(entry.alias("d"))
+    heads = documents.select("d.norm_id", "d.execution_time_seconds", "d.average_score", "d.normative_reference")
+    entries = documents.select("d.norm_id", F.inline("d.scenarios"))
+    if not folders:
+        return heads, entries
+    long_heads, long_entries = read_documents(spark, f"{path}/{FOLDERS}")
+    return heads.unionByName(long_heads), entries.unionByName(long_entries)
+
+
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(heads, scenarios) of the written documents: the fields of each, with ``norm_id``; lines are parsed where they lie."""
     lines = spark.read.schema("value string, norm_id bigint").text(path).where(F.col("value") != CLOSING)

@@ -86,3 +86,20 @@ def test_no_results(spark, tmp_path):
     assert dc.report_fragments(none, spark.createDataFrame([(1, None, 3, 2)], NORMS)).count() == 0
     dc.write_documents(dc.report_fragments(none, spark.createDataFrame([], NORMS)), str(tmp_path / "out"))
     assert documents(str(tmp_path / "out")) == {}
+
+
+@pytest.mark.parametrize("most, n_folders", [(dc.PACKED_CHARS, 0), (900, 1), (0, 41)])
+def test_small_norms_share_files(spark, tmp_path, most, n_folders):
+    """Only norms that are too long for a line get a folder; heads and scenarios are those of a folder per norm."""
+    rows = [(n, i, f"s{i}\n,", i / 9, i + 1, [(i, "b\n\"c\"", ["a", None])], ["x", "é"], None, None, None, None)
+            for n in [*range(40), None] for i in range(30 if n is None else 3)]
+    fragments = dc.report_fragments(spark.createDataFrame(rows, RESULTS), spark.createDataFrame([(n, "t", 3, 2) for n in range(40)], NORMS))
+    path = str(tmp_path / "out")
+    folders = dc.write_packed(fragments, path, most)
+    assert len(glob.glob(f"{path}/folders/norm_id=*")) == n_folders and folders == (n_folders > 0)
+    dc.write_documents(fragments, str(tmp_path / "plain"))
+    lines = [json.loads(line) for name in glob.glob(f"{path}/lines/part-*") for line in open(name, encoding="utf-8")]
+    packed = {"__HIVE_DEFAULT_PARTITION__" if d["norm_id"] is None else str(d["norm_id"]): d for d in lines}
+    assert len(lines) == 41 - n_folders and packed | documents(f"{path}/folders") == documents(str(tmp_path / "plain"))
+    for ours, theirs in zip(dc.read_packed(spark, path, folders), dc.read_documents(spark, str(tmp_path / "plain"))):
+        assert ours.columns == theirs.columns and sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
