@@ -4,6 +4,7 @@ import random
 
 from normtrace import session
 from normtrace.operators import causal
+from normtrace.operators import preconditions as pc
 from normtrace.operators import universes as un
 from normtrace.plans import audit as au
 from normtrace.sources import files as fl
@@ -53,3 +54,14 @@ def test_a_scenario_is_one_row_of_state_and_keys_stay_exact(spark, tmp_path):
         assert spark.read.format("statestore").load(f"{tmp_path}/run/progress").count() == 3
     kept = {(r.norm_id, r.scenario_id, r.state_id) for r in cl.open_states(spark, f"{tmp_path}/run").collect()}
     assert kept == {(0, big, "a"), (0, big, "b"), (None, None, "a"), (0, None, "b")}
+
+
+def test_norms_with_rules_are_not_sent_to_the_driver(spark):
+    """Beside the parsed rules, Catalyst takes norms for far fewer bytes than they are."""
+    norms = spark.range(200_000).withColumnRenamed("id", "norm_id")
+    answers = session.settle(norms.selectExpr("norm_id", """'{"Pre_text": {"A:B": ["x"]}}' AS raw"""), "answers")
+    states = session.settle(norms.selectExpr("norm_id", "explode(array('A:B', 'C:D')) AS state_id"), "states")
+    with_rules = pc.rules_of(answers, states)
+    named = with_rules.select("norm_id", "state_id")
+    assert "Broadcast" not in named._jdf.queryExecution().executedPlan().toString()
+    assert named.count() == 400_000 and with_rules.where("size(pres) = 1").count() == 200_000
