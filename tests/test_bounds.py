@@ -4,9 +4,12 @@ import random
 
 from normtrace import session
 from normtrace.operators import causal
+from normtrace.operators import graph
 from normtrace.operators import preconditions as pc
 from normtrace.operators import universes as un
 from normtrace.plans import audit as au
+from normtrace.plans import conformance as cf
+from normtrace.plans.queries import _audit_models
 from normtrace.sources import files as fl
 from normtrace.streaming import closing as cl
 from normtrace.streaming.incremental import stream_settings
@@ -65,3 +68,12 @@ def test_norms_with_rules_are_not_sent_to_the_driver(spark):
     named = with_rules.select("norm_id", "state_id")
     assert "Broadcast" not in named._jdf.queryExecution().executedPlan().toString()
     assert named.count() == 400_000 and with_rules.where("size(pres) = 1").count() == 200_000
+
+
+def test_rules_are_read_from_their_answers_once(spark):
+    texts = spark.createDataFrame([(n, f"text {n}") for n in range(3)], "norm_id bigint, text string")
+    side = cf.build_norm_side(texts, _audit_models(), graph.default_entity_rank(spark))
+    for part in (side.norms.weights, side.norms.links, side.norms.reach):
+        assert "parseJson(" not in part._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.norm_id, r.state_id, r.weight) for r in side.norms.weights.collect()} == {
+        (n, s, w) for n in range(3) for s, w in (("Request:Sent", 1), ("Country:Selected", 1), ("Account:Created", 0))}
