@@ -1,8 +1,9 @@
 """Causal check over a stream whose scenarios end: state is freed, contamination is sent by the processor.
 
-The state of a scenario is one row: its clock, and an entry for each of its states with what it spoils downstream
-when violated. Spark brings it along with the rows and takes it back with the result, so that a scenario costs no
-calls to the state store. A row is sent out for every state, activated or only contaminated,
+Scenarios share ``groups`` rows of state by a hash of their keys, as calling Python for a scenario alone costs far more than
+its walk. A row has the key, the time and a text for each of its open scenarios: the clock, and an entry for each state
+with what it spoils downstream when violated. A batch reads and writes only the texts of scenarios that it has rows of;
+the others of their groups pass through as they are. A row is sent out for every state, activated or only contaminated,
 whose decision or contamination changed, with a higher ``revision``; no batch step follows.
 
 A scenario is closed when the watermark (greatest ``ts`` less ``delay``) passes ``ts`` of its end marker, a row
@@ -18,7 +19,9 @@ key like any other. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +33,11 @@ from normtrace.session import fresh_path
 from normtrace.streaming.incremental import stream_settings
 
 ACTIVATIONS = "norm_id long, scenario_id long, step int, u_pos int, state_id string, ts timestamp"
-SEEN = ("state_id:string,step:int,u_pos:int,pres:array<string>,downs:array<string>,missing:array<string>,"
-        "contaminated:boolean,revision:int")
-STATE = f"walk long, last long, ends long, timer long, seen array<struct<{SEEN}>>"
+GROUPS = 1 << 11  # has to stay the same over all runs of a stream, whatever its number of partitions
+SEEN = ("state_id string, step int, u_pos int, pres array<string>, downs array<string>, missing array<string>, "
+        "contaminated boolean, revision int")
+STATE = "norm_id array<long>, scenario_id array<long>, nulls array<int>, timer array<long>, walk array<string>"
+ROWS_AT_ONCE = 1 << 14
 ROWS = ("norm_id long, scenario_id long, walk long, state_id string, step int, u_pos int, valid boolean, "
         "missing array<string>, contaminated boolean, revision int, closed boolean")
 NAMES = [part.split()[0] for part in ROWS.split(", ")]
@@ -48,50 +53,62 @@ def _batch_firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _walk(idle_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """What one scenario does with its rows of a batch, or when its time is over."""
-
-    def closing(key: tuple, walk: int) -> pd.DataFrame:
-        return pd.DataFrame([(*key, walk, None, None, None, None, None, None, None, True)], columns=[*KEYS, *NAMES[2:]])
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = max(0, state.getCurrentWatermarkMs())
-        walk, last, ends, timer, seen = state.get if state.exists else (now, None, None, None, [])
-        if state.hasTimedOut:
-            if timer == idle_ms and last is None and ends is None:  # begun without time, before any watermark
-                state.update((walk, last, ends, now + idle_ms, seen))
-                state.setTimeoutTimestamp(now + idle_ms)
-                return
-            state.remove()
-            yield closing(key, walk)
-            return
-        known = {entry[0]: list(entry)[1:] for entry in seen}
-        moved = set()
-        for pdf in pdfs:
-            for name, step, pos, pres, downs, ms in zip(*(pdf[c].tolist() for c in ("state_id", "step", "u_pos", "pres", "downs", "ms"))):
-                timed = not pd.isna(ms)
-                if timed:
-                    last = max(last or 0, int(ms))
+    """What the scenarios of a group do with their rows of a batch, and those whose time is over."""
+
+    def sent(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, now: int) -> Iterator[tuple]:
+        kept = {key: (timer, text) for *key_, timer, text in zip(*state.get) for key in [tuple(key_)]} if state.exists else {}
+        walks = {}  # of the scenarios with rows: (walk, last, ends, known, moved)
+        for pdf in () if state.hasTimedOut else pdfs:
+            for *key_, name, step, pos, pres, downs, ms in zip(*(pdf[c].tolist() for c in (*KEYS, "state_id", "step", "u_pos", "pres", "downs", "ms"))):
+                key = tuple(key_)
+                if key not in walks:
+                    walk, last, ends, seen = json.loads(kept.pop(key)[1]) if key in kept else (now, None, None, [])
+                    walks[key] = [walk, last, ends, {entry[0]: entry[1:] for entry in seen}, set()]
+                at = walks[key]
+                if not pd.isna(ms):
+                    at[1] = max(at[1] or 0, int(ms))
+                    if name is None:
+                        at[2] = max(at[2] or 0, int(ms))
                 if name is None:
-                    if timed:
-                        ends = max(ends or 0, int(ms))
                     continue
-                old = known.get(name)
+                known, old = at[3], at[3].get(name)
                 if old is None or old[0] is None:
                     known[name] = [int(step), int(pos), _listed(pres), _listed(downs), None, *(old[5:] if old else (False, 0))]
                 elif (step, pos) < (old[0], old[1]):
                     old[0], old[1] = int(step), int(pos)
                 else:
                     continue
-                moved.add(name)
-        if moved:
-            yield pd.DataFrame([(*key, walk, *row, False) for row in _decide(known, moved)], columns=[*KEYS, *NAMES[2:]])
-        wanted = ends if ends is not None else (last if last is not None else now) + idle_ms
-        if wanted < now:  # over already
+                at[4].add(name)
+        over = []
+        for key, (timer, text) in kept.items():
+            if max(1, timer) < now:
+                walk, last, ends, _ = json.loads(text)
+                if timer == idle_ms and last is None and ends is None:  # begun without time, before any watermark
+                    kept[key] = (now + idle_ms, text)
+                else:
+                    over.append((key, walk))
+        for key, (walk, last, ends, known, moved) in walks.items():
+            if moved:
+                for row in _decide(known, moved):
+                    yield *key, walk, *row, False
+            wanted = ends if ends is not None else (last if last is not None else now) + idle_ms
+            if wanted < now:  # over already
+                over.append((key, walk))
+            else:
+                kept[key] = (wanted, json.dumps([walk, last, ends, [(name, *entry) for name, entry in known.items()]]))
+        for key, walk in over:
+            kept.pop(key, None)
+            yield *key, walk, None, None, None, None, None, None, None, True
+        if kept:
+            state.update(tuple(map(list, zip(*((*key, *entry) for key, entry in kept.items())))))
+            state.setTimeoutTimestamp(max(1, min(timer for timer, _ in kept.values())))
+        elif state.exists:
             state.remove()
-            yield closing(key, walk)
-        else:
-            state.update((walk, last, ends, wanted, [(name, *entry) for name, entry in known.items()]))
-            state.setTimeoutTimestamp(max(1, wanted))
+
+    def run(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = sent(group, pdfs, state, max(0, state.getCurrentWatermarkMs()))
+        while part := list(islice(rows, ROWS_AT_ONCE)):
+            yield pd.DataFrame(part, columns=[*KEYS, *NAMES[2:]])
 
     return run
 
@@ -120,7 +137,7 @@ def _listed(names) -> list:
     return [] if names is None else list(names)
 
 
-def closing_decisions(activations: DataFrame, links: DataFrame, idle_seconds: int, delay: str) -> DataFrame:
+def closing_decisions(activations: DataFrame, links: DataFrame, idle_seconds: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """Decisions and contamination of a streaming ``activations`` table, closing rows among them.
 
     Has to be started inside :func:`stream_settings`.
@@ -133,8 +150,9 @@ def closing_decisions(activations: DataFrame, links: DataFrame, idle_seconds: in
     known = (F.col("nulls").bitwiseAND(F.lit(1)) == 0) & (F.col("norm_id") == F.col("_norm")) & (F.col("state_id") == F.col("_state"))
     sent = (
         firsts.withWatermark("ts", delay).join(near, known, "left")
-        .select(*KEYS, "state_id", "step", "u_pos", "pres", "downs", F.unix_millis("ts").alias("ms"), "ts")
-        .groupBy(*KEYS)
+        .select(F.pmod(F.xxhash64(*KEYS), F.lit(groups)).cast("int").alias("share"), *KEYS, "state_id", "step", "u_pos", "pres", "downs",
+                F.unix_millis("ts").alias("ms"), "ts")
+        .groupBy("share")
         .applyInPandasWithState(_walk(idle_seconds * 1000), ROWS.replace("walk", "nulls int, walk", 1), STATE, "Update", GroupStateTimeout.EventTimeTimeout)
     )
     return sent.select(*_own_keys(), *NAMES[2:])
@@ -147,16 +165,16 @@ def _own_keys() -> list[Column]:
 
 def run_available(
     spark: SparkSession, activations: DataFrame, links: DataFrame, folder: str | None = None, idle_seconds: int = 3600,
-    delay: str = "10 minutes", state_partitions: int | None = None,
+    delay: str = "10 minutes", state_partitions: int | None = None, groups: int = GROUPS,
 ) -> DataFrame:
     """Run over all input there is now and return every row sent out so far.
 
-    Progress and state live in ``folder``; a later call goes on from there.
+    Progress and state live in ``folder``; a later call goes on from there, with the same ``groups``.
     """
     folder = folder or fresh_path(spark, "closing-stream")
     with stream_settings(spark, state_partitions):
         query = (
-            closing_decisions(activations, links, idle_seconds, delay).writeStream
+            closing_decisions(activations, links, idle_seconds, delay, groups).writeStream
             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}"))
             .option("checkpointLocation", f"{folder}/progress")
             .outputMode("update").trigger(availableNow=True).start()
@@ -191,5 +209,13 @@ def open_states(spark: SparkSession, folder: str) -> DataFrame:
     """What the stream in ``folder`` still keeps, from its last checkpoint: ``norm_id, scenario_id, state_id`` and the entry."""
     with stream_settings(spark):
         kept = spark.read.format("statestore").load(f"{folder}/progress")
-    entries = kept.select("key.*", F.inline("value.groupState.seen"))
-    return entries.select(*_own_keys(), *[c for c in entries.columns if c not in KEYS])
+    scenarios = kept.select("value.groupState.*").select(F.inline(F.arrays_zip(*KEYS, "walk")))
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*key, *entry) for *key, walk in pdf.itertuples(index=False) for entry in json.loads(walk)[3]]
+            yield pd.DataFrame(rows, columns=[*KEYS, *names])
+
+    names = [part.split()[0] for part in SEEN.split(", ")]
+    read = scenarios.mapInPandas(entries, f"norm_id long, scenario_id long, nulls int, {SEEN}")
+    return read.select(*_own_keys(), *names)

@@ -25,6 +25,7 @@ ACTIVATIONS = "norm_id long, scenario_id long, step int, u_pos int, state_id str
 SEEN = "step int, u_pos int, pres array<string>, missing array<string>, revision int"
 DECISIONS = ("norm_id long, scenario_id long, state_id string, step int, u_pos int, valid boolean, "
              "missing array<string>, revision int")
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"  # a batch writes what changed, no copies of the files
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -102,7 +103,7 @@ def downstream(decisions: DataFrame, reach: DataFrame) -> DataFrame:
 @contextmanager
 def stream_settings(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
     """Settings a query takes over when it starts; the session has its own again afterwards."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, CHANGELOG: "true"}
     if state_partitions:
         wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
     usual = {key: spark.conf.get(key, None) for key in wanted}

@@ -84,3 +84,16 @@ def test_end_marker_late_rows_and_new_walks(spark, chain, tmp_path):
 def test_empty_stream(spark, chain, tmp_path):
     sent = follow(spark, chain, [[]], str(tmp_path))
     assert sent.count() == 0 and cl.walk_summary(sent).count() == 0
+
+
+def test_scenarios_share_rows_of_state(spark, chain, tmp_path):
+    """One group for all: the rows of one scenario neither touch the others nor keep them open."""
+    first = [(0, i, 1, 0, "b", i % 60) for i in range(300)] + [(0, 500, 1, 0, "b", None)]
+    second = [(0, 7, 0, 0, "a", 100), (0, 400, 0, 0, "a", 600)]  # 7 is heard of again, 400 makes the others late
+    third = [(0, 401, 0, 0, "a", 601)]
+    sent = follow(spark, chain, [first, second, third], str(tmp_path), idle_seconds=3600, delay="10 minutes", groups=1)
+    assert spark.read.format("statestore").load(f"{tmp_path}/run/progress").count() == 1
+    assert {r.scenario_id for r in cl.open_states(spark, f"{tmp_path}/run").collect()} == {400, 401}
+    assert sorted(r.scenario_id for r in sent.where("closed").collect()) == [*range(300), 500]
+    summary = {r.scenario_id: tuple(r)[3:] for r in cl.walk_summary(sent).collect()}
+    assert summary == {**{i: (0, 1, 3, True) for i in range(300)}, 7: (2, 0, 0, True), 400: (1, 0, 0, False), 401: (1, 0, 0, False), 500: (0, 1, 3, True)}
