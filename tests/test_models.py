@@ -1,3 +1,4 @@
+import os
 import re
 from hashlib import md5
 
@@ -9,6 +10,7 @@ from normtrace.operators import benchmark as bm
 from normtrace.operators import models as md
 from normtrace.operators import scoring, similarity as sm
 from normtrace.operators import universes as un
+from normtrace.session import shared_folder
 
 
 def make_loader():
@@ -144,6 +146,23 @@ def test_pruned_search_of_a_large_norm(spark):
     assert un.project_pruned(facts.limit(0), index).count() == 0 and un.project_pruned(facts, un.index_states(states.limit(0))).count() == 0
 
 
+def test_pruned_search_writes_no_pairs(spark, monkeypatch):
+    """All states are near enough: rows are found by the hundred thousand, and what is written does not grow with them."""
+    monkeypatch.setattr(un, "STATES_PER_TASK", 100)
+    monkeypatch.setattr(un, "FACTS_PER_ROW", 16)
+    rng = np.random.default_rng(5)
+    us, fs = rng.normal(size=(500, 8)), rng.normal(size=(400, 8))
+    states = [(1, i, f"s{i}", u.tolist()) for i, u in enumerate(us)] + [(2, i, f"t{i}", us[0].tolist()) for i in range(150)]
+    index = un.index_states(spark.createDataFrame(states, "norm_id bigint, u_pos int, state_id string, vector array<double>"), 40)
+    facts = [(1, i, f.tolist()) for i, f in enumerate(fs)] + [(1, 1000 + i, fs[0].tolist()) for i in range(200)] + [(2, 2000 + i, fs[i].tolist()) for i in range(5)]
+    written = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(shared_folder(spark).removeprefix("file:")) for x in names)
+    before = written()
+    found = un.project_pruned(spark.createDataFrame(facts, "norm_id bigint, fact bigint, vector array<double>"), index, lam=-9.0, floor=-2.0, per_group=64)
+    got = found.groupBy("norm_id", "fact").agg(sm.F.count("*").alias("n"), sm.F.countDistinct("u_pos").alias("d"), sm.F.min("u_pos").alias("first")).collect()
+    assert sorted(map(tuple, got)) == sorted((n, i, *((500, 500, 0) if n == 1 else (1, 1, 0))) for n, i, _ in facts)
+    assert written() - before < 2_000_000
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "A b a"), (2, ""), (3, None)], "id int, text string")
     hashed = {r["id"]: r["vector"] for r in sm.hash_embed(df, ["id"], "text", 8).collect()}
