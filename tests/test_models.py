@@ -1,6 +1,8 @@
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 from hashlib import md5
+from threading import Barrier
 
 import numpy as np
 import pandas as pd
@@ -146,6 +148,32 @@ def test_pruned_search_of_a_large_norm(spark):
     assert un.project_pruned(facts.limit(0), index).count() == 0 and un.project_pruned(facts, un.index_states(states.limit(0))).count() == 0
 
 
+def test_calls_are_taken_by_threads():
+    """No task per prompt; several calls run at a time, answers stand in order, failures at their place."""
+    submitted = []
+
+    class Pool(ThreadPoolExecutor):
+        def submit(self, *args, **kwargs):
+            submitted.append(1)
+            return super().submit(*args, **kwargs)
+
+    together = Barrier(4, timeout=20)
+
+    def model(prompt):
+        if prompt < "p0004":
+            together.wait()  # the first four are out at the same time
+        if prompt == "p0500":
+            raise ValueError("down")
+        return {"text": prompt.upper()}
+
+    prompts = [f"p{i:04d}" for i in range(1000)]
+    with Pool(4) as pool:
+        rows = md._call_all(model, prompts, pool)
+        assert md._call_all(model, [], pool) == []
+    assert [r["text"] for r in rows] == [None if p == "p0500" else p.upper() for p in prompts]
+    assert rows[500]["status"] == "Erreur: down" and len(submitted) <= 4
+
+
 def test_pruned_search_writes_no_pairs(spark, monkeypatch):
     """All states are near enough: rows are found by the hundred thousand, and what is written does not grow with them."""
     monkeypatch.setattr(un, "STATES_PER_TASK", 100)
